@@ -1 +1,80 @@
-"""Registered queries for keywords, lexicon jobs, segmentation and query logs."""
+"""Registered queries for tokens, keywords, lexicon jobs, segmentation and
+query logs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trawl.operators import keywords as K
+from trawl.operators import parse, tokenize
+from trawl.plans.catalog import r10, register
+from trawl.sources import tables as S
+
+STOP_K = 50
+TOP_N = 5
+
+
+def _documents(spark, sf):
+    return S.documents(spark, sf).select("doc_id", "text")
+
+
+def _stop(spark, sf):
+    return K.stop_words_by_frequency(_documents(spark, sf), STOP_K)
+
+
+def _idf(spark, sf):
+    return K.build_idf(parse.parse_documents(S.pages(spark, sf)))
+
+
+# ---------------------------------------------------------------- tokens
+
+@register("presplit")
+def q_presplit(spark, sf):
+    return tokenize.presplit(_documents(spark, sf)).select(
+        "doc_id", F.col("pos").cast("long").alias("pos"), "piece")
+
+
+@register("token_offsets")
+def q_token_offsets(spark, sf):
+    docs = tokenize.by_document(_documents(spark, sf))
+    return tokenize.token_offsets(docs).select(
+        "doc_id", F.col("pos").cast("long").alias("pos"), "word", "offset", "unicode_offset",
+        "unicode_length")
+
+
+@register("code_points")
+def q_code_points(spark, sf):
+    return tokenize.code_points(_documents(spark, sf)).select(
+        "doc_id", F.col("pos").cast("long").alias("pos"), "code", "byte_len")
+
+
+# ---------------------------------------------------------------- keywords
+
+@register("stop_words")
+def q_stop_words(spark, sf):
+    return _stop(spark, sf)
+
+
+@register("idf_table")
+def q_idf_table(spark, sf):
+    return _idf(spark, sf).select("word", r10("idf"))
+
+
+@register("keywords_tfidf")
+def q_keywords_tfidf(spark, sf):
+    kw = K.extract_keywords(_documents(spark, sf), _idf(spark, sf), _stop(spark, sf), TOP_N)
+    return kw.select("doc_id", F.col("rank").cast("long").alias("rank"), "word",
+                     F.array_join("offsets", ",").alias("offsets"), r10("weight"))
+
+
+@register("textrank_edges")
+def q_textrank_edges(spark, sf):
+    kept = K.keyword_tokens(_documents(spark, sf), _stop(spark, sf))
+    return K.cooccurrence_edges(kept)
+
+
+@register("keywords_textrank")
+def q_keywords_textrank(spark, sf):
+    kw = K.textrank_keywords(_documents(spark, sf), _stop(spark, sf), TOP_N)
+    return kw.select("doc_id", F.col("rank").cast("long").alias("rank"), "word",
+                     F.array_join("offsets", ",").alias("offsets"), r10("weight"))

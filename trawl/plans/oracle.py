@@ -178,4 +178,99 @@ FROM bq LEFT JOIN agg USING (query_id)"""
 WITH {BENCH_Q}, {_query_words('bq')}
 SELECT query_id, word FROM qw"""
 
+    q.update(_text_sql())
+    return q
+
+
+# documents -> tokens with positions and offsets
+DTOK = f"""
+dsplit AS (SELECT doc_id, regexp_extract_all(text, {_TOK}, 0) AS t FROM documents),
+dtok0 AS (
+  SELECT doc_id, unnest(generate_series(0, len(t) - 1)) AS pos, unnest(t) AS word FROM dsplit
+),
+dtok AS (
+  SELECT doc_id, pos, word,
+         coalesce(sum(strlen(word)) OVER (PARTITION BY doc_id ORDER BY pos
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset",
+         coalesce(sum(length(word)) OVER (PARTITION BY doc_id ORDER BY pos
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unicode_offset,
+         length(word) AS unicode_length
+  FROM dtok0
+),
+stop AS (
+  SELECT word FROM (
+    SELECT word, count(*) AS c FROM dtok0 WHERE length(word) > 1 GROUP BY word
+    ORDER BY c DESC, word LIMIT 50)
+),
+kept AS (
+  SELECT doc_id, pos, word, "offset" FROM dtok
+  WHERE length(word) > 1 AND word NOT IN (SELECT word FROM stop)
+)"""
+
+IDF = """
+idf AS (SELECT word, ln(n // df) AS idf FROM dfreq, ndocs),
+idfavg AS (SELECT CAST(sum(CAST(idf AS DECIMAL(38, 18))) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS a FROM idf)"""
+
+EDGES = """
+leads AS (
+  SELECT doc_id, word AS a,
+         [lead(word, 1) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w, lead(word, 4) OVER w] AS ps
+  FROM kept WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+),
+pairs AS (SELECT doc_id, a, b FROM (SELECT doc_id, a, unnest(ps) AS b FROM leads) WHERE b IS NOT NULL),
+edges AS (
+  SELECT doc_id, src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (
+    SELECT doc_id, a AS src, b AS dst FROM pairs UNION ALL SELECT doc_id, b AS src, a AS dst FROM pairs)
+  GROUP BY doc_id, src, dst
+)"""
+
+
+def _text_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    seps = "[^ \t\n，。]+|[ \t\n，。]"
+    q["presplit"] = f"""
+WITH s AS (SELECT doc_id, regexp_extract_all(text, '{seps}', 0) AS p FROM documents)
+SELECT doc_id, unnest(generate_series(0, len(p) - 1)) AS pos, unnest(p) AS piece FROM s"""
+
+    q["token_offsets"] = f"""
+WITH {DTOK}
+SELECT doc_id, pos, word, CAST("offset" AS BIGINT) AS "offset",
+       CAST(unicode_offset AS BIGINT) AS unicode_offset,
+       CAST(unicode_length AS BIGINT) AS unicode_length
+FROM dtok"""
+
+    q["code_points"] = """
+WITH c AS (SELECT doc_id, string_split(text, '') AS ch FROM documents)
+SELECT doc_id, pos, CAST(unicode(chr) AS BIGINT) AS code, CAST(strlen(chr) AS BIGINT) AS byte_len
+FROM (SELECT doc_id, unnest(generate_series(0, len(ch) - 1)) AS pos, unnest(ch) AS chr FROM c)"""
+
+    q["stop_words"] = f"""
+WITH {DTOK}
+SELECT word FROM stop"""
+
+    q["idf_table"] = f"""
+WITH {DOCS}, {POSTINGS}, {IDF}
+SELECT word, round(idf, 10) AS idf FROM idf"""
+
+    q["keywords_tfidf"] = f"""
+WITH {DOCS}, {POSTINGS}, {IDF}, {DTOK},
+counts AS (
+  SELECT doc_id, word, count(*) AS tf,
+         array_to_string(list("offset" ORDER BY "offset"), ',') AS offsets
+  FROM kept GROUP BY doc_id, word
+),
+scored AS (
+  SELECT c.doc_id, c.word, c.offsets,
+         c.tf * coalesce(i.idf, (SELECT a FROM idfavg)) AS weight
+  FROM counts c LEFT JOIN idf i USING (word)
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, word) AS rank FROM scored
+)
+SELECT doc_id, CAST(rank AS BIGINT) AS rank, word, offsets, round(weight, 10) AS weight
+FROM ranked WHERE rank <= 5"""
+
+    q["textrank_edges"] = f"""
+WITH {DTOK}, {EDGES}
+SELECT doc_id, src, dst, weight FROM edges"""
     return q
