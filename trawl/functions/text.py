@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 # Tokenizer for text without lexicon words: a letter followed by letters or
 # digits, a digit followed by digits or dots, any other single character.
 LATIN_TOKEN_RE = r"[A-Za-z][A-Za-z0-9]*|[0-9][0-9.]*|(?s:.)"
+# The multi-character alternatives alone.  Letters never fall inside a number
+# or single-character token, so the letter runs found by LETTER_RUN_RE are
+# exactly the letter tokens of LATIN_TOKEN_RE; likewise for RUN_RE.
+RUN_RE = r"[A-Za-z][A-Za-z0-9]*|[0-9][0-9.]*"
+LETTER_RUN_RE = r"[A-Za-z][A-Za-z0-9]*"
 # Default pre-split separators: space, tab, newline, full-width comma and
 # full-width full stop.
 DEFAULT_SEPARATORS = " \t\n，。"
@@ -48,6 +53,28 @@ def latin_tokens(col) -> Column:
     return F.regexp_extract_all(_c(col), F.lit(LATIN_TOKEN_RE), 0)
 
 
+def letter_runs(col) -> Column:
+    """ARRAY<STRING> of the tokens that start with an ASCII letter."""
+    return F.regexp_extract_all(_c(col), F.lit(LETTER_RUN_RE), 0)
+
+
+def runs(col) -> Column:
+    """ARRAY<STRING> of the letter and number tokens (every token longer than
+    one character is one of them)."""
+    return F.regexp_extract_all(_c(col), F.lit(RUN_RE), 0)
+
+
+def run_gaps(col) -> Column:
+    """Text between consecutive runs: element i precedes run i (size = runs + 1)."""
+    return F.split(_c(col), RUN_RE, -1)
+
+
+def token_count(col) -> Column:
+    """Number of tokens: every run collapses to one character, every other
+    character is a token of its own."""
+    return F.char_length(F.regexp_replace(_c(col), RUN_RE, "x"))
+
+
 def starts_with_ascii_letter(col) -> Column:
     """True when the first character is in [A-Za-z] (index-word predicate)."""
     code = F.ascii(_c(col))

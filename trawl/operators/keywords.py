@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawl.operators.index import corpus_size, doc_frequency, postings_tf
-from trawl.operators.tokenize import by_document, token_offsets
+from trawl.functions import text as TX
+from trawl.operators.tokenize import by_document
 from trawl.session import bounded_broadcast
 
 # Fixed values of the TextRank variant that must match the reference.
@@ -51,28 +52,50 @@ def idf_average(idf: DataFrame, n_lines=None):
 def stop_words_by_frequency(docs: DataFrame, k: int = 50, text_col: str = "text") -> DataFrame:
     """(word): the k most frequent tokens longer than one character.
 
-    A top-k report: partial counts per task, one exchange on ``word``, then
-    ``TakeOrderedAndProject`` -- the limit is the feature here.
+    Only letter and number runs can be longer than one character, so the
+    cheaper run regex suffices.  A top-k report: partial counts per task, one
+    exchange on ``word``, then ``TakeOrderedAndProject`` -- the limit is the
+    feature here.
     """
-    from trawl.functions.text import latin_tokens
-
-    toks = docs.select(F.explode(latin_tokens(text_col)).alias("word"))
+    toks = docs.select(F.explode(TX.runs(text_col)).alias("word"))
     return (toks.where(F.char_length("word") > 1).groupBy("word").count()
             .orderBy(F.desc("count"), F.col("word")).limit(k).select("word"))
 
 
 # ------------------------------------------------------------------ candidates
 
+def run_offsets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, pos, word, offset) for letter/number runs with byte offsets.
+
+    Run i is preceded by gap i (``split`` on the run regex); its byte offset
+    is the running byte length of all earlier gaps and runs plus its own gap.
+    The running sum is a window partitioned by document (no exchange after
+    ``by_document``).
+    """
+    per_doc = docs.select(F.col(id_col).alias("doc_id"),
+                          F.arrays_zip(TX.run_gaps(text_col).alias("gap"),
+                                       TX.runs(text_col).alias("word")).alias("z"))
+    rows = (per_doc.select("doc_id", F.posexplode_outer("z").alias("pos", "g"))
+            .where(F.col("g.word").isNotNull())
+            .select("doc_id", "pos", F.col("g.word").alias("word"),
+                    (F.octet_length("g.gap") + F.octet_length("g.word")).alias("span"),
+                    F.octet_length("g.word").alias("blen")))
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("doc_id", "pos", "word",
+                       (F.sum("span").over(w) - F.col("blen")).cast("long").alias("offset"))
+
+
 def keyword_tokens(docs: DataFrame, stop: DataFrame, n_stop: int | None = None,
                    text_col: str = "text", id_col: str = "doc_id",
                    partitioned: bool = False) -> DataFrame:
     """Tokens that may be keywords: (doc_id, pos, word, offset).
 
     A token is dropped when it is a single code point or a stop word (exact,
-    case-sensitive).  Offsets are byte offsets in the text.
+    case-sensitive).  Offsets are byte offsets in the text.  Only runs can be
+    longer than one character, so the candidates come from the run regex.
     """
     src = docs if partitioned else by_document(docs.select(id_col, text_col), id_col)
-    toks = token_offsets(src, text_col, id_col)
+    toks = run_offsets(src, text_col, id_col)
     if n_stop is None:
         n_stop = stop.count()
     stop_b = bounded_broadcast(stop.select("word").distinct(), n_stop, STOP_ROW_BYTES)
@@ -133,10 +156,26 @@ def cooccurrence_edges(kept: DataFrame, span: int = SPAN) -> DataFrame:
             .agg(F.count(F.lit(1)).cast("double").alias("weight")))
 
 
+def undirected_pairs(kept: DataFrame, span: int = SPAN) -> DataFrame:
+    """(doc_id, lo, hi, n): co-occurrence counts of unordered word pairs.
+
+    The directed weights follow: w(lo, hi) = w(hi, lo) = n for lo != hi, and
+    w(a, a) = 2n.  Half the rows of ``cooccurrence_edges``.
+    """
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    partners = F.array(*[F.lead("word", d).over(w) for d in range(1, span)])
+    pairs = (kept.select("doc_id", F.col("word").alias("a"), partners.alias("ps"))
+             .select("doc_id", "a", F.explode("ps").alias("b"))
+             .where(F.col("b").isNotNull()))
+    return (pairs.groupBy("doc_id", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+            .agg(F.count(F.lit(1)).cast("double").alias("n")))
+
+
 _RANK_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("rank", T.IntegerType()),
     T.StructField("word", T.StringType()),
+    T.StructField("offsets", T.ArrayType(T.LongType())),
     T.StructField("weight", T.DoubleType()),
 ])
 
@@ -180,19 +219,34 @@ def rank_graph(nodes, edges, rounds: int = RANK_ROUNDS, d: float = DAMPING) -> d
     return {w: (v - lo / 10.0) / (hi - lo / 10.0) for w, v in scores.items()}
 
 
-def _textrank_group(n: int, rounds: int, d: float):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc_id = int(pdf["doc_id"].iloc[0])
-        nodes = set(pdf["src"])
-        has = pdf["dst"].notna()
-        e = pdf[has]
-        edges = {(a, b): float(w) for a, b, w in zip(e["src"], e["dst"], e["weight"])}
-        scores = rank_graph(nodes, edges, rounds, d)
+def _empty_rank_frame() -> pd.DataFrame:
+    return pd.DataFrame({"doc_id": pd.Series([], dtype="int64"),
+                         "rank": pd.Series([], dtype="int32"),
+                         "word": pd.Series([], dtype="object"),
+                         "offsets": pd.Series([], dtype="object"),
+                         "weight": pd.Series([], dtype="float64")})
+
+
+def _textrank_cogroup(n: int, rounds: int, d: float):
+    def fn(edges_pdf: pd.DataFrame, words_pdf: pd.DataFrame) -> pd.DataFrame:
+        if words_pdf.empty:
+            return _empty_rank_frame()
+        doc_id = int(words_pdf["doc_id"].iloc[0])
+        offsets = dict(zip(words_pdf["word"], words_pdf["offsets"]))
+        edges = {}
+        for a, b, w in zip(edges_pdf["lo"], edges_pdf["hi"], edges_pdf["n"]):
+            if a == b:
+                edges[(a, a)] = 2.0 * w
+            else:
+                edges[(a, b)] = float(w)
+                edges[(b, a)] = float(w)
+        scores = rank_graph(offsets.keys(), edges, rounds, d)
         best = sorted(scores.items(), key=lambda kv: (-kv[1], _byte_key(kv[0])))[:n]
         return pd.DataFrame({"doc_id": [doc_id] * len(best),
                              "rank": list(range(1, len(best) + 1)),
                              "word": [w for w, _ in best],
-                             "weight": [s for _, s in best]})
+                             "offsets": [[int(x) for x in offsets[w]] for w, _ in best],
+                             "weight": [sc for _, sc in best]})
     return fn
 
 
@@ -201,15 +255,16 @@ def textrank_keywords(docs: DataFrame, stop: DataFrame, n: int = 5, span: int =
                       id_col: str = "doc_id") -> DataFrame:
     """(doc_id, rank, word, offsets, weight) by TextRank.
 
-    Edges are built natively; the sequential in-place rounds run per
-    document in ``applyInPandas`` (one small graph per group, groups spread
-    over all tasks, the group already co-located by ``by_document``).
+    Edges and per-word offsets are built natively; the sequential in-place
+    rounds run per document in a cogrouped ``applyInPandas`` (one small
+    graph per group; both sides are already partitioned by ``doc_id``, so
+    the cogroup adds no exchange).
     """
     kept = keyword_tokens(docs, stop, None, text_col, id_col)
-    edges = cooccurrence_edges(kept, span)
-    nodes = kept.select("doc_id", F.col("word").alias("src"), F.lit(None).cast("string").alias("dst"),
-                        F.lit(0.0).alias("weight")).dropDuplicates(["doc_id", "src"])
-    graph = edges.unionByName(nodes)
-    ranked = graph.groupBy("doc_id").applyInPandas(_textrank_group(n, rounds, DAMPING), _RANK_SCHEMA)
-    offsets = term_counts(kept).select("doc_id", "word", "offsets")
-    return ranked.join(offsets, ["doc_id", "word"]).select("doc_id", "rank", "word", "offsets", "weight")
+    # both sides stem from ``kept``; rename the key on one side so the two
+    # groupings do not resolve to the same attribute
+    edges = undirected_pairs(kept, span).select(
+        F.col("doc_id").alias("edge_doc"), "lo", "hi", "n")
+    words = term_counts(kept).select("doc_id", "word", "offsets")
+    return (edges.groupBy("edge_doc").cogroup(words.groupBy("doc_id"))
+            .applyInPandas(_textrank_cogroup(n, rounds, DAMPING), _RANK_SCHEMA))

@@ -25,8 +25,9 @@ HIT_ROW_BYTES = 64
 def query_words(queries: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
     """(query_id, word), distinct: lower-cased tokens that start with [a-z]."""
     toks = queries.select(F.col(id_col).alias("query_id"),
-                          F.explode(T.latin_tokens(text_col)).alias("tok"))
-    return (toks.select("query_id", T.ascii_lower("tok").alias("word"))
+                          F.explode(T.letter_runs(text_col)).alias("tok"))
+    # letter runs are ASCII, so lower() is the C-locale lower-casing
+    return (toks.select("query_id", F.lower("tok").alias("word"))
             .where(T.starts_with_lower_letter("word"))
             .dropDuplicates(["query_id", "word"]))
 
