@@ -78,3 +78,42 @@ def q_keywords_textrank(spark, sf):
     kw = K.textrank_keywords(_documents(spark, sf), _stop(spark, sf), TOP_N)
     return kw.select("doc_id", F.col("rank").cast("long").alias("rank"), "word",
                      F.array_join("offsets", ",").alias("offsets"), r10("weight"))
+
+
+# ---------------------------------------------------------------- query log
+
+LOG_KEYS = ["user_id", "event_type"]
+
+
+def _events(spark, sf):
+    return S.table(spark, sf, "events")
+
+
+@register("cache_labels")
+def q_cache_labels(spark, sf):
+    from trawl.operators import querylog as QL
+
+    lab = QL.with_session_start(QL.cache_labels(_events(spark, sf), LOG_KEYS), LOG_KEYS)
+    return lab.select(F.col("lookup_id").alias("event_id"), *LOG_KEYS, "ts_us",
+                      F.col("hit").cast("long").alias("hit"), "session_start_us")
+
+
+@register("cache_sessions")
+def q_cache_sessions(spark, sf):
+    from trawl.operators import querylog as QL
+
+    return QL.cache_sessions(_events(spark, sf), LOG_KEYS)
+
+
+@register("cache_sessions_by_type")
+def q_cache_sessions_by_type(spark, sf):
+    from trawl.operators import querylog as QL
+
+    return QL.cache_sessions(_events(spark, sf), ["event_type"])
+
+
+@register("cache_sessions_stream")
+def q_cache_sessions_stream(spark, sf):
+    from trawl.streaming import cache_sessions as CS
+
+    return CS.run_available(spark, f"{sf.rstrip('/')}/events.parquet", LOG_KEYS)

@@ -270,6 +270,45 @@ ranked AS (
 SELECT doc_id, CAST(rank AS BIGINT) AS rank, word, offsets, round(weight, 10) AS weight
 FROM ranked WHERE rank <= 5"""
 
+    def log_sql(keys: str) -> str:
+        return f"""
+l0 AS (
+  SELECT event_id, {keys}, ts, epoch_us(ts) AS ts_us,
+         epoch_us(lag(ts) OVER (PARTITION BY {keys} ORDER BY ts, event_id)) AS prev_us
+  FROM events WHERE ts IS NOT NULL
+),
+l1 AS (
+  SELECT *, CASE WHEN prev_us IS NOT NULL AND ts_us - prev_us <= 1800000000 THEN 1 ELSE 0 END AS hit
+  FROM l0
+),
+l2 AS (
+  SELECT *, max(CASE WHEN hit = 0 THEN ts_us END)
+              OVER (PARTITION BY {keys} ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session_start_us
+  FROM l1
+),
+sess AS (
+  SELECT {keys}, session_start_us, max(ts_us) + 1800000000 AS session_end_us,
+         count(*) AS lookups, count(*) - 1 AS hits, CAST(1 AS BIGINT) AS misses
+  FROM l2 GROUP BY {keys}, session_start_us
+)"""
+
+    q["cache_labels"] = f"""
+WITH {log_sql("user_id, event_type")}
+SELECT event_id, user_id, event_type, ts_us, CAST(hit AS BIGINT) AS hit, session_start_us FROM l2"""
+
+    q["cache_sessions"] = f"""
+WITH {log_sql("user_id, event_type")}
+SELECT * FROM sess"""
+
+    q["cache_sessions_by_type"] = f"""
+WITH {log_sql("event_type")}
+SELECT * FROM sess"""
+
+    q["cache_sessions_stream"] = f"""
+WITH {log_sql("user_id, event_type")}
+SELECT * FROM sess
+WHERE session_end_us <= (SELECT max(epoch_us(ts)) FROM events) - 1800000000"""
+
     q["textrank_edges"] = f"""
 WITH {DTOK}, {EDGES}
 SELECT doc_id, src, dst, weight FROM edges"""
