@@ -145,3 +145,28 @@ def tag_rule(col) -> Column:
     return (F.when(F.size(seen) == 0, F.lit("x"))
             .when(digits_only, F.lit("m"))
             .otherwise(F.lit("eng")))
+
+
+def signed_byte_key(col) -> Column:
+    """Hex spelling of the UTF-8 bytes in which plain string order equals the
+    order of the bytes compared as *signed* chars (high bit flipped per byte).
+
+    Lambda functions are fine here: it is applied to query words only.
+    """
+    pairs = F.regexp_extract_all(F.hex(F.encode(_c(col), "UTF-8")), F.lit(".."), 0)
+    flipped = F.transform(pairs, lambda p: F.concat(
+        F.translate(F.substring(p, 1, 1), "0123456789ABCDEF", "89ABCDEF01234567"),
+        F.substring(p, 2, 1)))
+    return F.array_join(flipped, "")
+
+
+def canonical_key(tokens, delimiter: str = "") -> Column:
+    """Cache key of a query: every token lower-cased (C locale), ordered by
+    first byte, then byte length, then bytes (signed comparison), joined with
+    no delimiter -- so "LOVE YOU" and "YOU LOVE" share a key."""
+    keyed = F.transform(_c(tokens), lambda t: F.struct(
+        F.substring(signed_byte_key(ascii_lower(t)), 1, 2).alias("b0"),
+        F.octet_length(ascii_lower(t)).alias("n"),
+        signed_byte_key(ascii_lower(t)).alias("k"),
+        ascii_lower(t).alias("w")))
+    return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["w"]), delimiter)

@@ -98,3 +98,10 @@ def results_json(queries: DataFrame, results: DataFrame, id_col: str = "query_id
     return (q.join(per_query, "query_id", "left")
             .select("query_id",
                     F.concat(F.coalesce(as_json, F.lit("null")), F.lit("\n")).alias("json")))
+
+
+def query_key(queries: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
+    """(query_id, query_key, n_tokens): the canonical cache key of each query."""
+    toks = T.latin_tokens(text_col)
+    return queries.select(F.col(id_col).alias("query_id"), T.canonical_key(toks).alias("query_key"),
+                          F.size(toks).cast("long").alias("n_tokens"))

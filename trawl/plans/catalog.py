@@ -126,3 +126,8 @@ def q_search_json(spark, sf):
 @register("query_words")
 def q_query_words(spark, sf):
     return search.query_words(S.benchmark_queries(spark, sf))
+
+
+@register("query_key")
+def q_query_key(spark, sf):
+    return search.query_key(S.benchmark_queries(spark, sf))

@@ -178,6 +178,18 @@ FROM bq LEFT JOIN agg USING (query_id)"""
 WITH {BENCH_Q}, {_query_words('bq')}
 SELECT query_id, word FROM qw"""
 
+    sk = ("array_to_string(list_transform(regexp_extract_all(hex(encode({w})), '..'), "
+          "lambda p: translate(p[1], '0123456789ABCDEF', '89ABCDEF01234567') || p[2]), '')")
+    lw = _lower("w")
+    q["query_key"] = f"""
+WITH t AS (SELECT item_id AS query_id, regexp_extract_all(text, {_TOK}, 0) AS toks FROM benchmark)
+SELECT query_id,
+       array_to_string(list_transform(list_sort(list_transform(toks, lambda w: {{
+           'b0': substring({sk.format(w=lw)}, 1, 2), 'n': strlen({lw}),
+           'k': {sk.format(w=lw)}, 'w': {lw}}})), lambda x: x.w), '') AS query_key,
+       CAST(len(toks) AS BIGINT) AS n_tokens
+FROM t"""
+
     q.update(_text_sql())
     return q
 
