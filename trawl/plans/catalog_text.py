@@ -117,3 +117,138 @@ def q_cache_sessions_stream(spark, sf):
     from trawl.streaming import cache_sessions as CS
 
     return CS.run_available(spark, f"{sf.rstrip('/')}/events.parquet", LOG_KEYS)
+
+
+# ---------------------------------------------------------------- lexicon jobs
+
+def _base_lexicon(spark, sf):
+    """Lexicon derived from the data: letter words of ``benchmark`` with counts."""
+    from trawl.operators import lexicon as LX
+
+    return LX.lexicon_from_text(S.table(spark, sf, "benchmark"), "text", "n")
+
+
+def _user_lines(spark, sf):
+    """User-lexicon lines derived from page titles: a title word seen once is
+    a bare word, twice ``word nz``, more often ``word count nz``."""
+    from trawl.operators import lexicon as LX
+
+    titles = parse.parse_documents(S.pages(spark, sf)).select("title")
+    counts = (titles.select(F.explode(F.regexp_extract_all("title", F.lit(LX.LEXICON_WORD_RE), 0))
+                            .alias("word")).groupBy("word").count())
+    line = (F.when(F.col("count") == 1, F.col("word"))
+            .when(F.col("count") == 2, F.concat_ws(" ", "word", F.lit("nz")))
+            .otherwise(F.concat_ws(" ", "word", F.col("count").cast("string"), F.lit("nz"))))
+    return counts.select(line.alias("value"))
+
+
+def _overlay(spark, sf):
+    from trawl.operators import lexicon as LX
+
+    return LX.overlay(_base_lexicon(spark, sf), LX.parse_user_lines(_user_lines(spark, sf)))
+
+
+@register("lexicon_load")
+def q_lexicon_load(spark, sf):
+    from trawl.operators import lexicon as LX
+    from trawl.session import scratch_path
+    from trawl.sources import dictionaries as D
+
+    path = scratch_path(spark, "lexicon")
+    LX.lexicon_lines(_base_lexicon(spark, sf)).write.text(path)
+    return D.load_lexicon(spark, path).select("word", "freq", "tag")
+
+
+@register("lexicon_stats")
+def q_lexicon_stats(spark, sf):
+    from trawl.operators import lexicon as LX
+
+    st = LX.lexicon_stats(_base_lexicon(spark, sf))
+    return st.select("n_words", "freq_sum", r10("min_weight"), r10("max_weight"), r10("median_weight"))
+
+
+@register("lexicon_overlay")
+def q_lexicon_overlay(spark, sf):
+    return _overlay(spark, sf).select("word", r10("weight"), "tag", "is_user")
+
+
+@register("lexicon_lookup")
+def q_lexicon_lookup(spark, sf):
+    from trawl.operators import lexicon as LX
+
+    words = (_documents(spark, sf).select(F.explode(F.regexp_extract_all(
+        "text", F.lit(LX.LEXICON_WORD_RE), 0)).alias("word")).distinct())
+    return LX.lookup(words, _overlay(spark, sf)).select("word", "in_lexicon", "tag")
+
+
+@register("token_tags")
+def q_token_tags(spark, sf):
+    from trawl.operators import lexicon as LX
+
+    words = _documents(spark, sf).select(F.explode(
+        F.call_function("regexp_extract_all", F.col("text"),
+                        F.lit(r"[A-Za-z][A-Za-z0-9]*|[0-9][0-9.]*|(?s:.)"), F.lit(0))).alias("word")).distinct()
+    return LX.tag_tokens(words, _overlay(spark, sf)).select("word", "tag")
+
+
+def _pieces(spark, sf):
+    return tokenize.presplit(tokenize.by_document(_documents(spark, sf))).withColumnRenamed("pos", "piece_pos")
+
+
+@register("dag_edges")
+def q_dag_edges(spark, sf):
+    from trawl.operators import lexicon as LX
+
+    e = LX.dag_edges(_pieces(spark, sf), _overlay(spark, sf))
+    return e.select("doc_id", F.col("piece_pos").cast("long").alias("piece_pos"),
+                    F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
+                    "word", r10("weight"))
+
+
+@register("segment_full")
+def q_segment_full(spark, sf):
+    from trawl.operators import lexicon as LX
+
+    e = LX.full_cut(LX.dag_edges(_pieces(spark, sf), _overlay(spark, sf)))
+    return e.select("doc_id", F.col("piece_pos").cast("long").alias("piece_pos"),
+                    F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "word")
+
+
+def _segment(spark, sf, mode, max_word_len=512):
+    from trawl.operators import segment as SG
+
+    return SG.segment(_documents(spark, sf), _overlay(spark, sf), mode=mode, max_word_len=max_word_len)
+
+
+@register("segment_mp")
+def q_segment_mp(spark, sf):
+    return _segment(spark, sf, "mp")
+
+
+@register("segment_mp_capped")
+def q_segment_mp_capped(spark, sf):
+    return _segment(spark, sf, "mp", max_word_len=3)
+
+
+@register("segment_hmm")
+def q_segment_hmm(spark, sf):
+    return _segment(spark, sf, "hmm")
+
+
+@register("segment_mix")
+def q_segment_mix(spark, sf):
+    return _segment(spark, sf, "mix")
+
+
+@register("segment_search")
+def q_segment_search(spark, sf):
+    from trawl.operators import lexicon as LX
+
+    return LX.search_cut(_segment(spark, sf, "mix"), _overlay(spark, sf))
+
+
+@register("pos_tags")
+def q_pos_tags(spark, sf):
+    from trawl.operators import lexicon as LX
+
+    return LX.tag_tokens(_segment(spark, sf, "mix"), _overlay(spark, sf)).select("doc_id", "pos", "word", "tag")

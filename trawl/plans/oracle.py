@@ -321,7 +321,127 @@ WITH {log_sql("user_id, event_type")}
 SELECT * FROM sess
 WHERE session_end_us <= (SELECT max(epoch_us(ts)) FROM events) - 1800000000"""
 
+    q.update(_lexicon_sql())
+
     q["textrank_edges"] = f"""
 WITH {DTOK}, {EDGES}
 SELECT doc_id, src, dst, weight FROM edges"""
     return q
+
+
+SEP_RE = "[^ \\t\\n，。]+|[ \\t\\n，。]"
+
+LEX = r"""
+base AS (
+  SELECT word, CAST(count(*) AS DOUBLE) AS freq, 'n' AS tag
+  FROM (SELECT unnest(regexp_extract_all(text, '\p{L}+', 0)) AS word FROM benchmark) GROUP BY word
+),
+bsum AS (SELECT sum(freq) AS s FROM base),
+bw AS (SELECT word, freq, tag, ln(freq / (SELECT s FROM bsum)) AS weight FROM base),
+bmed AS (
+  SELECT weight AS m FROM (SELECT weight, row_number() OVER (ORDER BY weight) - 1 AS i FROM bw)
+  WHERE i = (SELECT count(*) // 2 FROM bw)
+),
+tw AS (
+  SELECT word, count(*) AS c
+  FROM (SELECT unnest(regexp_extract_all(title, '\p{L}+', 0)) AS word FROM docs) GROUP BY word
+),
+usr AS (
+  SELECT word, CASE WHEN c >= 3 THEN CAST(c AS INTEGER) END AS freq,
+         CASE WHEN c = 1 THEN '' ELSE 'nz' END AS tag
+  FROM tw
+),
+uw AS (
+  SELECT word,
+         CASE WHEN freq IS NOT NULL AND freq <> 0 THEN ln(freq / (SELECT s FROM bsum))
+              ELSE (SELECT m FROM bmed) END AS weight,
+         tag, true AS is_user
+  FROM usr
+),
+lex AS (
+  SELECT word, weight, tag, is_user FROM uw
+  UNION ALL
+  SELECT word, weight, tag, false AS is_user FROM bw WHERE word NOT IN (SELECT word FROM uw)
+)"""
+
+EDGES_LEX = f"""
+pieces AS (
+  SELECT doc_id, unnest(generate_series(0, len(p) - 1)) AS piece_pos, unnest(p) AS piece
+  FROM (SELECT doc_id, regexp_extract_all(text, '{SEP_RE}', 0) AS p FROM documents)
+),
+cap AS (SELECT max(length(word)) AS l FROM lex),
+st AS (SELECT doc_id, piece_pos, piece, unnest(generate_series(0, length(piece) - 1)) AS start FROM pieces),
+cand AS (
+  SELECT doc_id, piece_pos, start, piece,
+         unnest(generate_series(1, least((SELECT l FROM cap), length(piece) - start))) AS len
+  FROM st
+),
+c2 AS (SELECT doc_id, piece_pos, start, len, substring(piece, start + 1, len) AS sub FROM cand),
+dag AS (
+  SELECT c2.doc_id, c2.piece_pos, c2.start, c2.start + c2.len - 1 AS "end",
+         CASE WHEN l.word IS NOT NULL THEN c2.sub END AS word, l.weight, c2.sub AS text
+  FROM c2 LEFT JOIN lex l ON c2.sub = l.word
+  WHERE l.word IS NOT NULL OR c2.len = 1
+)"""
+
+
+def _tag_rule(w: str) -> str:
+    seen = (f"list_slice(list_filter(string_split({w}, ''), lambda c: unicode(c) < 128), "
+            f"1, length({w}) // 2)")
+    return (f"CASE WHEN len({seen}) = 0 THEN 'x' "
+            f"WHEN list_bool_and(list_transform({seen}, lambda c: c >= '0' AND c <= '9')) THEN 'm' "
+            f"ELSE 'eng' END")
+
+
+def _lexicon_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["lexicon_load"] = f"""
+WITH {DOCS}, {LEX}
+SELECT word, freq, tag FROM base"""
+
+    q["lexicon_stats"] = f"""
+WITH {DOCS}, {LEX}
+SELECT CAST(count(*) AS BIGINT) AS n_words, sum(freq) AS freq_sum,
+       round(min(weight), 10) AS min_weight, round(max(weight), 10) AS max_weight,
+       round((SELECT m FROM bmed), 10) AS median_weight
+FROM bw"""
+
+    q["lexicon_overlay"] = f"""
+WITH {DOCS}, {LEX}
+SELECT word, round(weight, 10) AS weight, tag, is_user FROM lex"""
+
+    q["lexicon_lookup"] = f"""
+WITH {DOCS}, {LEX},
+dw AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\p{{L}}+', 0)) AS word FROM documents)
+SELECT dw.word, l.word IS NOT NULL AS in_lexicon, l.tag
+FROM dw LEFT JOIN lex l ON dw.word = l.word"""
+
+    q["token_tags"] = f"""
+WITH {DOCS}, {LEX},
+tt AS (SELECT DISTINCT unnest(regexp_extract_all(text, {_TOK}, 0)) AS word FROM documents)
+SELECT tt.word, coalesce(CASE WHEN l.tag <> '' THEN l.tag END, {_tag_rule('tt.word')}) AS tag
+FROM tt LEFT JOIN lex l ON tt.word = l.word"""
+
+    q["dag_edges"] = f"""
+WITH {DOCS}, {LEX}, {EDGES_LEX}
+SELECT doc_id, CAST(piece_pos AS BIGINT) AS piece_pos, CAST(start AS BIGINT) AS start,
+       CAST("end" AS BIGINT) AS "end", word, round(weight, 10) AS weight
+FROM dag"""
+
+    q["segment_full"] = f"""
+WITH {DOCS}, {LEX}, {EDGES_LEX},
+e2 AS (
+  SELECT *,
+         max(CASE WHEN word IS NOT NULL THEN "end" + 1 END) OVER (
+             PARTITION BY doc_id, piece_pos ORDER BY start
+             RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cover,
+         max(CASE WHEN word IS NOT NULL AND "end" > start THEN 1 END) OVER (
+             PARTITION BY doc_id, piece_pos, start) AS longer_here
+  FROM dag
+)
+SELECT doc_id, CAST(piece_pos AS BIGINT) AS piece_pos, CAST(start AS BIGINT) AS start,
+       CAST("end" AS BIGINT) AS "end", text AS word
+FROM e2
+WHERE (word IS NOT NULL AND "end" > start)
+   OR ("end" = start AND longer_here IS NULL AND (cover IS NULL OR cover <= start))"""
+    return q
