@@ -131,3 +131,70 @@ def q_query_words(spark, sf):
 @register("query_key")
 def q_query_key(spark, sf):
     return search.query_key(S.benchmark_queries(spark, sf))
+
+
+# ------------------------------------------------------------ sources / sinks
+
+@register("corpus_scan")
+def q_corpus_scan(spark, sf):
+    """Pages written out as one file per page, scanned back recursively."""
+    from trawl.session import scratch_path
+    from trawl.sources import corpus as C
+
+    root = scratch_path(spark, "corpus")
+    S.pages(spark, sf).select("page_id", "html").write.partitionBy("page_id").text(root)
+    docs = C.corpus_documents(spark, root, "https://docs.example/", glob="*.txt")
+    page_id = F.regexp_extract("path", r"page_id=([0-9]+)", 1).cast("long")
+    return docs.select("doc_id", page_id.alias("page_id"), "title", "content")
+
+
+@register("docs_roundtrip")
+def q_docs_roundtrip(spark, sf):
+    from trawl.session import scratch_path
+    from trawl.sources import corpus as C
+
+    path = scratch_path(spark, "docs_table")
+    C.write_docs(_docs(spark, sf), path)
+    return C.read_docs(spark, path)
+
+
+@register("delimited_roundtrip")
+def q_delimited_roundtrip(spark, sf):
+    from trawl.session import scratch_path
+    from trawl.sources import corpus as C
+
+    path = scratch_path(spark, "records")
+    C.write_records(_docs(spark, sf), path)
+    return C.read_records(spark, path)
+
+
+def _request_log(spark, sf):
+    """Request log derived from the data: a search request per ``benchmark``
+    text, and a request without the query parameter per assistant turn."""
+    b = S.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("request_id"),
+        F.concat(F.lit("http://localhost:19998/searcher?query="),
+                 F.call_function("url_encode", F.col("text"))).alias("url"))
+    c = (S.table(spark, sf, "conversations").where(F.col("role") == "assistant")
+         .select((-(F.col("conv_id") * 1000 + F.col("turn")) - 1).alias("request_id"),
+                 F.concat(F.lit("http://localhost:19998/searcher?turn="),
+                          F.col("turn").cast("string")).alias("url")))
+    return b.unionByName(c)
+
+
+@register("request_queries")
+def q_request_queries(spark, sf):
+    from trawl.sources import corpus as C
+
+    return C.requests_with_query(_request_log(spark, sf))
+
+
+@register("search_requests")
+def q_search_requests(spark, sf):
+    """The search answered for the requests of the log (JSON per request)."""
+    from trawl.sources import corpus as C
+
+    pages = S.pages(spark, sf)
+    post = index.build_postings(parse.parse_documents(pages))
+    qs = C.requests_with_query(_request_log(spark, sf)).withColumnRenamed("request_id", "query_id")
+    return search.results_json(qs, search.search(qs, post, pages))

@@ -252,3 +252,28 @@ def q_pos_tags(spark, sf):
     from trawl.operators import lexicon as LX
 
     return LX.tag_tokens(_segment(spark, sf, "mix"), _overlay(spark, sf)).select("doc_id", "pos", "word", "tag")
+
+
+@register("idf_load")
+def q_idf_load(spark, sf):
+    """IDF table written as ``word idf`` lines and loaded back; the average
+    uses every line in its denominator."""
+    from trawl.session import scratch_path
+    from trawl.sources import dictionaries as D
+
+    path = scratch_path(spark, "idf")
+    _idf(spark, sf).select(F.concat_ws(" ", "word", F.col("idf").cast("string")).alias("value")) \
+        .write.text(path)
+    idf, n_lines = D.load_idf(spark, path)
+    avg = K.idf_average(idf, n_lines=None)
+    return idf.select("word", r10("idf")).withColumn("avg_idf", F.round(avg, 10))
+
+
+@register("stop_words_load")
+def q_stop_words_load(spark, sf):
+    from trawl.session import scratch_path
+    from trawl.sources import dictionaries as D
+
+    path = scratch_path(spark, "stop")
+    _stop(spark, sf).write.text(path)
+    return D.load_stop_words(spark, path)

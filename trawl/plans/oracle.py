@@ -174,6 +174,23 @@ agg AS (
 SELECT bq.query_id, coalesce(CAST(agg.j AS VARCHAR), 'null') || chr(10) AS json
 FROM bq LEFT JOIN agg USING (query_id)"""
 
+    q["corpus_scan"] = f"""
+WITH {DOCS}
+SELECT CAST(row_number() OVER (ORDER BY 'page_id=' || CAST(doc_id AS VARCHAR)) - 1 AS BIGINT) AS doc_id,
+       doc_id AS page_id, title, content
+FROM docs"""
+
+    q["docs_roundtrip"] = q["parse_documents"]
+
+    q["delimited_roundtrip"] = f"""
+WITH {DOCS}
+SELECT title, url, content FROM docs"""
+
+    q["request_queries"] = """
+SELECT item_id AS request_id, text AS query FROM benchmark"""
+
+    q["search_requests"] = q["search_json"]
+
     q["query_words"] = f"""
 WITH {BENCH_Q}, {_query_words('bq')}
 SELECT query_id, word FROM qw"""
@@ -264,6 +281,12 @@ SELECT word FROM stop"""
 WITH {DOCS}, {POSTINGS}, {IDF}
 SELECT word, round(idf, 10) AS idf FROM idf"""
 
+    q["idf_load"] = f"""
+WITH {DOCS}, {POSTINGS}, {IDF}
+SELECT word, round(idf, 10) AS idf, round((SELECT a FROM idfavg), 10) AS avg_idf FROM idf"""
+
+    q["stop_words_load"] = q["stop_words"]
+
     q["keywords_tfidf"] = f"""
 WITH {DOCS}, {POSTINGS}, {IDF}, {DTOK},
 counts AS (
