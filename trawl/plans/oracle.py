@@ -273,6 +273,12 @@ WITH c AS (SELECT doc_id, string_split(text, '') AS ch FROM documents)
 SELECT doc_id, pos, CAST(unicode(chr) AS BIGINT) AS code, CAST(strlen(chr) AS BIGINT) AS byte_len
 FROM (SELECT doc_id, unnest(generate_series(0, len(ch) - 1)) AS pos, unnest(ch) AS chr FROM c)"""
 
+    # with a model that knows no Latin-script character the HMM cut is the
+    # letter / number / single-character tokenization, piece by piece
+    q["segment_hmm"] = f"""
+WITH {DTOK}
+SELECT doc_id, CAST(pos AS BIGINT) AS pos, word FROM dtok0"""
+
     q["stop_words"] = f"""
 WITH {DTOK}
 SELECT word FROM stop"""
