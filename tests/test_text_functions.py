@@ -116,3 +116,25 @@ def test_token_offsets(spark):
     got = [(r["word"], r["offset"], r["unicode_offset"]) for r in
            tokenize.token_offsets(df).orderBy("pos").collect()]
     assert got == [("a", 0, 0), ("é", 1, 1), (" ", 3, 2), ("b", 4, 3)]
+
+
+def test_corpus_directory_scan(spark, tmp_path):
+    from trawl.sources import corpus as C
+
+    root = tmp_path / "input"
+    (root / "a" / "b").mkdir(parents=True)
+    (root / "a" / "b" / "x.html").write_text("<title>X</title>body x", encoding="utf-8")
+    (root / "a" / "y.html").write_text("<title>Y</title>line1\nline2\n", encoding="utf-8")
+    (root / "a" / "z.hpp").write_text("<title>Z</title>not html", encoding="utf-8")
+    (root / "notitle.html").write_text("<p>none</p>", encoding="utf-8")
+    docs = C.corpus_documents(spark, str(root), "https://docs.example/").orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["url"], r["title"]) for r in docs] == [
+        (0, "https://docs.example/a/b/x.html", "X"),
+        (1, "https://docs.example/a/y.html", "Y")]
+    assert docs[0]["content"] == "Xbody x "        # final newline added by the read rule
+    assert docs[1]["content"] == "Yline1 line2 "
+
+
+def test_is_ascii(spark):
+    df = spark.createDataFrame([("abc",), ("é",), ("",)], "w string")
+    assert [r["a"] for r in df.select(T.is_ascii("w").alias("a")).collect()] == [True, False, True]

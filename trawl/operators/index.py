@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions import text as T
-from trawl.session import materialize
+from trawl.session import materialize, spread
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """
     tw = T.letter_runs("title")
     bw = T.letter_runs("content")
-    per_doc = docs.select(
+    per_doc = spread(docs).select(
         "doc_id",
         (T.token_count("title") + T.token_count("content")).cast("long").alias("n_tokens"),
         F.size(tw).alias("n_title"),

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from trawl.operators.index import corpus_size, doc_frequency, postings_tf
 from trawl.functions import text as TX
 from trawl.operators.tokenize import by_document
-from trawl.session import bounded_broadcast
+from trawl.session import bounded_broadcast, spread
 
 # Fixed values of the TextRank variant that must match the reference.
 DAMPING = 0.85
@@ -57,7 +57,7 @@ def stop_words_by_frequency(docs: DataFrame, k: int = 50, text_col: str = "text"
     exchange on ``word``, then ``TakeOrderedAndProject`` -- the limit is the
     feature here.
     """
-    toks = docs.select(F.explode(TX.runs(text_col)).alias("word"))
+    toks = spread(docs.select(text_col)).select(F.explode(TX.runs(text_col)).alias("word"))
     return (toks.where(F.char_length("word") > 1).groupBy("word").count()
             .orderBy(F.desc("count"), F.col("word")).limit(k).select("word"))
 

@@ -188,7 +188,10 @@ def q_token_tags(spark, sf):
     words = _documents(spark, sf).select(F.explode(
         F.call_function("regexp_extract_all", F.col("text"),
                         F.lit(r"[A-Za-z][A-Za-z0-9]*|[0-9][0-9.]*|(?s:.)"), F.lit(0))).alias("word")).distinct()
-    return LX.tag_tokens(words, _overlay(spark, sf)).select("word", "tag")
+    from trawl.functions import text as TX
+
+    return LX.tag_tokens(words, _overlay(spark, sf)).select(
+        "word", "tag", TX.is_ascii("word").alias("is_ascii"), TX.is_single_char("word").alias("is_single"))
 
 
 def _pieces(spark, sf):

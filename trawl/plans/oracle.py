@@ -448,7 +448,8 @@ FROM dw LEFT JOIN lex l ON dw.word = l.word"""
     q["token_tags"] = f"""
 WITH {DOCS}, {LEX},
 tt AS (SELECT DISTINCT unnest(regexp_extract_all(text, {_TOK}, 0)) AS word FROM documents)
-SELECT tt.word, coalesce(CASE WHEN l.tag <> '' THEN l.tag END, {_tag_rule('tt.word')}) AS tag
+SELECT tt.word, coalesce(CASE WHEN l.tag <> '' THEN l.tag END, {_tag_rule('tt.word')}) AS tag,
+       regexp_matches(tt.word, '^[\x00-\x7F]*$') AS is_ascii, length(tt.word) = 1 AS is_single
 FROM tt LEFT JOIN lex l ON tt.word = l.word"""
 
     q["dag_edges"] = f"""

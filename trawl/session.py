@@ -111,3 +111,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition *only* when ``df`` has fewer partitions than
+    the cluster's default parallelism.
+
+    CPU-heavy per-row work (HTML parsing, regex tokenization) runs in the scan
+    stage; a file of one Parquet row group is one task.  Large inputs already
+    have thousands of splits and pass through untouched, so the raw text is
+    never shuffled at scale.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
