@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawl.operators import lexicon as LX
+from trawl.functions.text import DEFAULT_SEPARATORS
 from trawl.operators.tokenize import by_document, presplit
 
 # Fixed values that must equal the reference.
@@ -209,48 +210,73 @@ _SEG_SCHEMA = T.StructType([
 ])
 
 
-def _seg_fn(mode: str, min_weight: float, user_singles: frozenset, model: HmmModel):
-    def fn(pieces: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        if pieces.empty:
-            return pd.DataFrame({"doc_id": pd.Series([], dtype="int64"),
-                                 "pos": pd.Series([], dtype="int64"),
-                                 "word": pd.Series([], dtype="object")})
-        doc_id = int(pieces["doc_id"].iloc[0])
-        graph: dict = {}
-        if not edges.empty:
-            for pp, st, en, w in zip(edges["edge_piece"], edges["edge_start"], edges["edge_end"],
-                                     edges["edge_weight"]):
-                graph.setdefault(int(pp), {}).setdefault(int(st), []).append((int(en), float(w)))
-            for g in graph.values():
-                for lst in g.values():
-                    lst.sort()
-        words: list[str] = []
-        for pp, piece in sorted(zip(pieces["piece_pos"], pieces["piece"])):
-            g = graph.get(int(pp), {})
-            if mode == "hmm":
-                words.extend(hmm_cut(piece, model))
-            elif mode == "mp":
-                words.extend(mp_cut(piece, g, min_weight))
-            else:
-                words.extend(mix_cut(piece, g, min_weight, user_singles, model))
-        return pd.DataFrame({"doc_id": [doc_id] * len(words),
-                             "pos": list(range(len(words))), "word": words})
+def _piece_words(mode: str, piece: str, g: dict | None, min_weight: float,
+                 user_singles: frozenset, model: HmmModel) -> list[str]:
+    if mode == "hmm":
+        return hmm_cut(piece, model)
+    if not g:
+        # no lexicon word in the piece: every character is a single
+        return list(piece) if mode == "mp" else hmm_cut(piece, model)
+    if mode == "mp":
+        return mp_cut(piece, g, min_weight)
+    return mix_cut(piece, g, min_weight, user_singles, model)
+
+
+def _seg_batches(mode: str, min_weight: float, user_singles: frozenset, model: HmmModel,
+                 separators: str):
+    import re
+
+    cls = "".join("\\" + c if c in "\\^]-[" else c for c in separators)
+    splitter = re.compile(f"[^{cls}]+|[{cls}]")
+
+    def fn(batches):
+        for pdf in batches:
+            ids, poss, words = [], [], []
+            has_edges = "pp" in pdf.columns
+            for r in range(len(pdf)):
+                doc_id = int(pdf["doc_id"].iat[r])
+                text = pdf["text"].iat[r]
+                graph: dict = {}
+                if has_edges:
+                    pp = pdf["pp"].iat[r]
+                    if pp is not None and len(pp):
+                        st, en, w = pdf["st"].iat[r], pdf["en"].iat[r], pdf["w"].iat[r]
+                        for a, b, c, d in zip(pp.tolist(), st.tolist(), en.tolist(), w.tolist()):
+                            graph.setdefault(a, {}).setdefault(b, []).append((c, d))
+                        for gp in graph.values():
+                            for lst in gp.values():
+                                lst.sort()
+                out: list[str] = []
+                if text:
+                    for i, piece in enumerate(splitter.findall(text)):
+                        out.extend(_piece_words(mode, piece, graph.get(i), min_weight, user_singles, model))
+                ids.extend([doc_id] * len(out))
+                poss.extend(range(len(out)))
+                words.extend(out)
+            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"),
+                                "pos": pd.Series(poss, dtype="int64"),
+                                "word": pd.Series(words, dtype="object")})
     return fn
 
 
 def segment(docs: DataFrame, lex: DataFrame | None, mode: str = "mix", model: HmmModel | None = None,
             max_word_len: int = LX.MAX_WORD_LENGTH, text_col: str = "text", id_col: str = "doc_id",
-            base: DataFrame | None = None) -> DataFrame:
+            base: DataFrame | None = None, separators: str = DEFAULT_SEPARATORS) -> DataFrame:
     """(doc_id, pos, word) for ``mode`` in {"mp", "hmm", "mix"}.
 
     ``lex`` is the active lexicon (word, freq | weight, tag[, is_user]);
     ``base`` the static lexicon whose minimum weight prices unknown
-    characters (defaults to ``lex``).  ``max_word_len`` caps candidate
-    words (0 -> single characters).
+    characters (defaults to the non-user rows of ``lex``).  ``max_word_len``
+    caps candidate words (0 -> single characters).
+
+    Plan: documents hash-partitioned by id once; pieces and the lexicon edges
+    are computed natively and packed per document into primitive arrays by a
+    document-local aggregate; the document row joins its packed edges
+    without another exchange; one Arrow row per document then goes through
+    ``mapInPandas`` for the sequential DP / Viterbi passes.
     """
     model = model or HmmModel()
     src = by_document(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    pieces = presplit(src, "text", "doc_id").withColumnRenamed("pos", "piece_pos")
     min_weight, singles = 0.0, frozenset()
     if mode != "hmm" and lex is not None:
         weighted = lex if "weight" in lex.columns else LX.with_weights(lex)
@@ -264,15 +290,16 @@ def segment(docs: DataFrame, lex: DataFrame | None, mode: str = "mix", model: Hm
         if "is_user" in weighted.columns:
             singles = frozenset(r[0] for r in weighted.where(
                 F.col("is_user") & (F.char_length("word") == 1)).select("word").collect())
-        edges = (LX.dag_edges(pieces, weighted, max_word_len)
-                 .where(F.col("word").isNotNull())
-                 .select(F.col("doc_id").alias("edge_doc"), F.col("piece_pos").alias("edge_piece"),
-                         F.col("start").alias("edge_start"), F.col("end").alias("edge_end"),
-                         F.col("weight").alias("edge_weight")))
+        pieces = presplit(src, "text", "doc_id", separators).withColumnRenamed("pos", "piece_pos")
+        packed = (LX.dag_edges(pieces, weighted, max_word_len)
+                  .where(F.col("word").isNotNull())
+                  .groupBy("doc_id")
+                  .agg(F.collect_list(F.col("piece_pos").cast("int")).alias("pp"),
+                       F.collect_list(F.col("start").cast("int")).alias("st"),
+                       F.collect_list(F.col("end").cast("int")).alias("en"),
+                       F.collect_list("weight").alias("w")))
+        rows = src.join(packed, "doc_id", "left")
     else:
-        edges = pieces.where(F.lit(False)).select(
-            F.col("doc_id").alias("edge_doc"), F.col("piece_pos").alias("edge_piece"),
-            F.lit(0).alias("edge_start"), F.lit(0).alias("edge_end"), F.lit(0.0).alias("edge_weight"))
-    fn = _seg_fn(mode, min_weight, singles, model)
-    return (pieces.groupBy("doc_id").cogroup(edges.groupBy("edge_doc"))
-            .applyInPandas(fn, _SEG_SCHEMA))
+        rows = src
+    fn = _seg_batches(mode, min_weight, singles, model, separators)
+    return rows.mapInPandas(fn, _SEG_SCHEMA)
