@@ -86,3 +86,13 @@ def test_results_json(spark):
     js = {r["query_id"]: r["json"] for r in search.results_json(q, search.search(q, post, docs)).collect()}
     assert js[2] == "null\n"
     assert js[1] == '[{"desc":"alpha...","title":"T0","url":"u0"}]\n'
+
+
+def test_equal_weights_rank_by_doc_id_not_word(spark):
+    # same tf and idf: doc 0 matches via 'zeta', doc 1 via 'alpha'
+    docs = docs_frame(spark, [(0, "t", "u0", "zeta"), (1, "t", "u1", "alpha"),
+                              (2, "t", "u2", "other"), (3, "t", "u3", "more")])
+    post = index.build_postings(docs)
+    q = spark.createDataFrame([(1, "alpha zeta")], "query_id long, query string")
+    res = search.search(q, post, docs).orderBy("rank").collect()
+    assert [(r["doc_id"], r["word"]) for r in res] == [(0, "zeta"), (1, "alpha")]

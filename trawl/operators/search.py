@@ -32,6 +32,10 @@ def query_words(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
             .dropDuplicates(["query_id", "word"]))
 
 
+WORD_SLOTS = 10**9
+_DEC = "decimal(38,0)"
+
+
 def best_hits(qwords: DataFrame, postings: DataFrame, k: int = T.RESULT_LIMIT,
               n_query_words: int | None = None) -> DataFrame:
     """(query_id, doc_id, word, weight, rank) -- the top ``k`` per query.
@@ -39,19 +43,33 @@ def best_hits(qwords: DataFrame, postings: DataFrame, k: int = T.RESULT_LIMIT,
     ``postings`` may be the full postings or the ``champions`` table; both
     give the same answer.  The query-word side is broadcast when its counted
     size fits the threshold; the postings side is streamed, never shuffled.
+
+    The best posting of a document is the one with the highest weight
+    (compared rounded to 12 digits), ties to the smallest word.  Each query's
+    words are ranked once on the small query-word table, and (weight, word
+    rank) is packed into one DECIMAL(38,0) key, so the per-(query, document)
+    step is a hash aggregate with map-side partial aggregation (a struct
+    minimum would force a sort-based aggregate over every hit).
     """
     if n_query_words is None:
         n_query_words = qwords.count()
-    qw = bounded_broadcast(qwords, n_query_words, QUERY_WORD_ROW_BYTES)
+    ranked_words = qwords.withColumn(
+        "wr", F.dense_rank().over(Window.partitionBy("query_id").orderBy("word")))
+    qw = bounded_broadcast(ranked_words, n_query_words, QUERY_WORD_ROW_BYTES)
     hits = postings.select("word", "doc_id", "weight").join(qw, "word")
-    # best posting per (query, document): max weight, ties -> smallest word
+    slots = F.lit(WORD_SLOTS).cast(_DEC)
+    key = ((rank_key() * F.lit(1e12)).cast(_DEC) * slots
+           + (F.lit(WORD_SLOTS - 1) - F.col("wr")).cast(_DEC)).cast(_DEC)
     best = (hits.groupBy("query_id", "doc_id")
-            .agg(F.min(F.struct((-rank_key()).alias("nw"), F.col("word"),
-                                F.col("weight"))).alias("b"))
-            .select("query_id", "doc_id", F.col("b.word").alias("word"),
-                    F.col("b.weight").alias("weight")))
-    w = Window.partitionBy("query_id").orderBy(rank_key().desc(), F.col("doc_id"))
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .agg(F.max(key).alias("bk"), F.max("weight").alias("weight"))
+            .withColumn("wr", (F.lit(WORD_SLOTS - 1) - (F.col("bk") % slots)).cast("int"))
+            .withColumn("wk", F.expr(f"bk div {WORD_SLOTS}")))
+    # documents rank by weight alone (the word part only breaks ties inside a document)
+    w = Window.partitionBy("query_id").orderBy(F.desc("wk"), F.col("doc_id"))
+    top = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    words = bounded_broadcast(ranked_words.select("query_id", "wr", "word"), n_query_words,
+                              QUERY_WORD_ROW_BYTES)
+    return top.join(words, ["query_id", "wr"]).select("query_id", "doc_id", "word", "weight", "rank")
 
 
 def attach_documents(top: DataFrame, docs: DataFrame, n_rows_bound: int) -> DataFrame:
