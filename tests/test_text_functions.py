@@ -138,3 +138,24 @@ def test_corpus_directory_scan(spark, tmp_path):
 def test_is_ascii(spark):
     df = spark.createDataFrame([("abc",), ("é",), ("",)], "w string")
     assert [r["a"] for r in df.select(T.is_ascii("w").alias("a")).collect()] == [True, False, True]
+
+
+def test_split_fields_rule(spark):
+    cases = {"a b c": ["a", "b", "c"], "a b ": ["a", "b"], "a  b": ["a", "", "b"],
+             "": [], "a  ": ["a", ""], " a": ["", "a"]}
+    for s, want in cases.items():
+        assert one(spark, T.split_fields("s", " "), s) == want
+        assert T.split_fields_py(s, " ") == want
+    assert one(spark, T.split_fields("s", " ", maxsplit=1), "a b c") == ["a", "b c"]
+
+
+def test_idf_average_counts_every_line(spark, tmp_path):
+    from trawl.operators import keywords as K
+    from trawl.sources import dictionaries as D
+
+    p = tmp_path / "idf.txt"
+    p.write_text("a 1.0\nb 3.0\n\nbad line here\n", encoding="utf-8")
+    idf, n_lines = D.load_idf(spark, str(p))
+    assert sorted(tuple(r) for r in idf.select("word", "idf").collect()) == [("a", 1.0), ("b", 3.0)]
+    avg = spark.range(1).select(K.idf_average(idf, n_lines).alias("a")).first()["a"]
+    assert avg == 1.0                                 # (1 + 3) / 4 lines

@@ -170,3 +170,26 @@ def canonical_key(tokens, delimiter: str = "") -> Column:
         signed_byte_key(ascii_lower(t)).alias("k"),
         ascii_lower(t).alias("w")))
     return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["w"]), delimiter)
+
+
+def split_fields(col, chars: str = " ", maxsplit: int | None = None) -> Column:
+    """Split on any character of ``chars``; empty inner fields are kept but a
+    trailing delimiter yields no empty last field (and "" yields no field).
+    With ``maxsplit`` the rest after that many fields stays one field."""
+    cls = "[" + "".join("\\" + c if c in "\\^]-[" else c for c in chars) + "]"
+    arr = F.split(_c(col), cls, -1 if maxsplit is None else maxsplit + 1)
+    return F.when(F.element_at(arr, -1) == "", F.slice(arr, 1, F.size(arr) - 1)).otherwise(arr)
+
+
+def split_fields_py(s: str, chars: str = " ") -> list[str]:
+    """The same rule for driver-side parsing of small files."""
+    out, start = [], 0
+    while start < len(s):
+        ends = [i for i in (s.find(c, start) for c in chars) if i >= 0]
+        if not ends:
+            out.append(s[start:])
+            break
+        end = min(ends)
+        out.append(s[start:end])
+        start = end + 1
+    return out

@@ -38,15 +38,21 @@ def build_idf(docs: DataFrame) -> DataFrame:
 
 
 def idf_average(idf: DataFrame, n_lines=None):
-    """Average IDF as a scalar-subquery Column: sum / number of lines.
+    """Average IDF as a scalar Column: sum / number of lines.
 
     The sum is accumulated exactly (DECIMAL), so the average does not depend
     on the order in which partial sums arrive.  ``n_lines`` may count
-    malformed lines too (the loader's rule); by default the row count.
+    malformed lines too (the loader's rule; an int or the one-row DataFrame
+    ``load_idf`` returns); by default the row count.
     """
-    total = F.sum(F.col("idf").cast("decimal(38,18)")).cast("double")
-    denom = F.count(F.lit(1)).cast("double") if n_lines is None else F.lit(float(n_lines))
-    return idf.select((total / denom).alias("a")).scalar()
+    total = idf.select(F.sum(F.col("idf").cast("decimal(38,18)")).cast("double").alias("s")).scalar()
+    if n_lines is None:
+        denom = idf.select(F.count(F.lit(1)).cast("double")).scalar()
+    elif isinstance(n_lines, DataFrame):
+        denom = n_lines.select(F.col(n_lines.columns[0]).cast("double")).scalar()
+    else:
+        denom = F.lit(float(n_lines))
+    return total / denom
 
 
 def stop_words_by_frequency(docs: DataFrame, k: int = 50, text_col: str = "text") -> DataFrame:

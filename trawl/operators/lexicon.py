@@ -71,7 +71,7 @@ def parse_user_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
     ``word tag`` | ``word freq tag``; empty lines and other shapes skipped.
     ``freq`` is an integer (a missing or zero freq means the default weight).
     """
-    parts = F.split(F.col(value_col), " ")
+    parts = T.split_fields(value_col, " ")
     n = F.size(parts)
     return (lines.where(F.col(value_col) != "")
             .withColumn("_p", parts).withColumn("_n", n)

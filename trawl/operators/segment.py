@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawl.operators import lexicon as LX
-from trawl.functions.text import DEFAULT_SEPARATORS
+from trawl.functions.text import DEFAULT_SEPARATORS, split_fields_py
 from trawl.operators.tokenize import by_document, presplit
 
 # Fixed values that must equal the reference.
@@ -53,15 +53,15 @@ def load_hmm_model(spark: SparkSession, path: str) -> HmmModel:
     vals = [r["v"] for r in lines]
     if len(vals) != 9:
         raise ValueError("HMM model needs 1 start, 4 transition and 4 emission lines")
-    start = [float(x) for x in vals[0].split(" ")]
-    trans = [[float(x) for x in vals[1 + i].split(" ")] for i in range(4)]
+    start = [float(x) for x in split_fields_py(vals[0], " ")]
+    trans = [[float(x) for x in split_fields_py(vals[1 + i], " ")] for i in range(4)]
     if len(start) != 4 or any(len(r) != 4 for r in trans):
         raise ValueError("HMM start/transition lines need 4 values")
     emit = []
     for i in range(4):
         m = {}
-        for item in vals[5 + i].split(","):
-            kv = item.split(":")
+        for item in split_fields_py(vals[5 + i], ","):
+            kv = split_fields_py(item, ":")
             if len(kv) != 2 or len(kv[0]) != 1:
                 raise ValueError("bad emission entry: %r" % item)
             m[kv[0]] = float(kv[1])
@@ -276,7 +276,9 @@ def segment(docs: DataFrame, lex: DataFrame | None, mode: str = "mix", model: Hm
     ``mapInPandas`` for the sequential DP / Viterbi passes.
     """
     model = model or HmmModel()
-    src = by_document(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    # text that is not valid UTF-8 yields no tokens
+    src = by_document(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+                      .where(F.call_function("is_valid_utf8", F.col("text"))))
     min_weight, singles = 0.0, frozenset()
     if mode != "hmm" and lex is not None:
         weighted = lex if "weight" in lex.columns else LX.with_weights(lex)

@@ -45,7 +45,8 @@ def presplit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         raise ValueError("empty separator set")
     cls = "".join("\\" + c if c in "\\^]-[" else c for c in separators)
     pattern = f"[^{cls}]+|[{cls}]"
-    return docs.select(F.col(id_col).alias("doc_id"),
+    valid = F.call_function("is_valid_utf8", F.col(text_col))  # invalid UTF-8 -> no pieces
+    return docs.where(valid).select(F.col(id_col).alias("doc_id"),
                        F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0))
                        .alias("pos", "piece"))
 

@@ -268,7 +268,7 @@ def q_idf_load(spark, sf):
     _idf(spark, sf).select(F.concat_ws(" ", "word", F.col("idf").cast("string")).alias("value")) \
         .write.text(path)
     idf, n_lines = D.load_idf(spark, path)
-    avg = K.idf_average(idf, n_lines=None)
+    avg = K.idf_average(idf, n_lines=n_lines)
     return idf.select("word", r10("idf")).withColumn("avg_idf", F.round(avg, 10))
 
 

@@ -10,6 +10,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.functions.text import split_fields
+
 
 def _paths(paths) -> list[str]:
     if isinstance(paths, str):
@@ -32,7 +34,7 @@ def _lines(spark: SparkSession, paths) -> DataFrame:
 def load_lexicon(spark: SparkSession, paths, validate: bool = True) -> DataFrame:
     """(word, freq, tag, line_no) from ``word freq tag`` lines; a line with a
     different number of columns is an error (checked with one count)."""
-    parts = F.split(F.col("value"), " ")
+    parts = split_fields("value", " ")
     lines = _lines(spark, paths).withColumn("_p", parts)
     if validate:
         bad = lines.where(F.size("_p") != 3).count()
@@ -52,9 +54,10 @@ def load_user_lexicon(spark: SparkSession, paths) -> DataFrame:
 
 def load_idf(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     """((word, idf), (n_lines)): two-column lines; malformed and empty lines
-    are skipped but still count in the average's denominator."""
+    are skipped but still count in the average's denominator
+    (``keywords.idf_average(idf, n_lines)``)."""
     lines = _lines(spark, paths)
-    parts = F.split(F.col("value"), " ")
+    parts = split_fields("value", " ")
     good = (lines.where((F.col("value") != "") & (F.size(parts) == 2))
             .select(parts[0].alias("word"), parts[1].cast("double").alias("idf"), "line_no"))
     return good, lines.select(F.count(F.lit(1)).alias("n_lines"))
