@@ -145,28 +145,40 @@ def tag_tokens(tokens: DataFrame, lex: DataFrame, word_col: str = "word") -> Dat
 
 
 def dag_edges(pieces: DataFrame, lex: DataFrame, max_word_len: int = MAX_WORD_LENGTH) -> DataFrame:
-    """Candidate-word graph: (doc_id, piece_pos, start, end, word, weight, tag).
+    """Candidate-word graph: (doc_id, piece_pos, start, end, word, weight, tag, text).
 
     For every position of every piece, every lexicon word starting there of
     at most ``max_word_len`` characters; the one-character edge at every
     position is always present (``word`` null when that character is not a
-    lexicon word).  Candidate lengths are bounded by the longest lexicon
-    word, so the explode stays proportional to the text.
+    lexicon word).
+
+    Candidate substrings are bounded exactly, like a trie walk that stops at a
+    dead prefix: a start whose two-character prefix begins no lexicon word
+    keeps only its one-character edge, otherwise lengths go up to the longest
+    lexicon word with that prefix (a table with one row per prefix, joined on
+    the prefix).  The explode therefore stays proportional to the text.
     """
     act = active(lex)
-    longest = act.select(F.max(F.char_length("word"))).first()[0] or 1
-    cap = max(1, min(int(max_word_len), int(longest)))
+    cap = max(1, int(max_word_len))
     n = F.char_length("piece")
     starts = pieces.select("doc_id", "piece_pos", "piece",
                            F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    if cap > 1:
+        prefixes = (act.where(F.char_length("word") >= 2)
+                    .groupBy(F.substring("word", 1, 2).alias("p2"))
+                    .agg(F.max(F.char_length("word")).alias("maxlen")))
+        prefixes = bounded_broadcast(prefixes, prefixes.count(), 48)
+        starts = (starts.withColumn("p2", F.call_function("substring", F.col("piece"),
+                                                          F.col("start") + 1, F.lit(2)))
+                  .join(prefixes, "p2", "left"))
+        top = F.least(F.lit(cap), F.coalesce(F.col("maxlen"), F.lit(1)), n - F.col("start"))
+    else:
+        top = F.lit(1)
     cands = (starts.select("doc_id", "piece_pos", "piece", "start",
-                           F.explode(F.sequence(F.lit(1), F.least(F.lit(cap), n - F.col("start"))))
-                           .alias("len"))
+                           F.explode(F.sequence(F.lit(1), top)).alias("len"))
              .select("doc_id", "piece_pos", "start", "len",
                      F.call_function("substring", F.col("piece"), F.col("start") + 1, F.col("len"))
                      .alias("sub")))
-    if max_word_len < 1:
-        cands = cands.where(F.col("len") == 1)
     lw = _bounded(act.select(F.col("word").alias("sub"), "weight", "tag"))
     edges = cands.join(lw, "sub", "left").where(F.col("weight").isNotNull() | (F.col("len") == 1))
     return edges.select("doc_id", "piece_pos", "start", (F.col("start") + F.col("len") - 1).alias("end"),
