@@ -25,6 +25,8 @@ from trawl.operators.tokenize import by_document, presplit
 
 # Fixed values that must equal the reference.
 MIN_DOUBLE = -3.14e100
+# Path scores closer than this are ties (shortest candidate wins).
+TIE_EPS = 1e-9
 B, E, M, S = 0, 1, 2, 3
 
 
@@ -152,25 +154,29 @@ def mp_cut(piece: str, edges: dict, min_weight: float) -> list[str]:
     """Max-probability path over the candidate graph of one piece.
 
     ``edges`` maps start -> list of (end, weight) for lexicon words, sorted
-    by end.  Right to left; a strictly better score replaces, so the
-    shortest candidate wins ties; a position without a one-character word
-    gets a one-character edge weighted ``min_weight``.
+    by end.  Right to left; the shortest candidate wins ties; a position
+    without a one-character word gets a one-character edge weighted
+    ``min_weight``.  Scores within ``TIE_EPS`` of the best count as ties:
+    equal sums of logarithms (common with small integer frequencies) then
+    resolve the same way whatever the last bit of ``ln`` an engine returns.
     """
     n = len(piece)
     best = [0.0] * (n + 1)
     choice = [0] * n
     for i in range(n - 1, -1, -1):
         cands = edges.get(i, [])
-        has_single = bool(cands) and cands[0][0] == i
-        top, pick = MIN_DOUBLE, i
-        if not has_single:
-            val = best[i + 1] + min_weight
-            if val > top:
-                top, pick = val, i
-        for end, w in cands:
-            val = best[end + 1] + w
-            if val > top:
-                top, pick = val, end
+        if not (cands and cands[0][0] == i):
+            cands = [(i, min_weight)] + cands
+        vals = [best[end + 1] + w for end, w in cands]
+        top = max(vals)
+        pick = i
+        if top > MIN_DOUBLE:
+            for (end, _), v in zip(cands, vals):
+                if v >= top - TIE_EPS:
+                    top, pick = v, end
+                    break
+        else:
+            top = MIN_DOUBLE
         best[i] = top
         choice[i] = pick
     out, i = [], 0

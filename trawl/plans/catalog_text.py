@@ -220,7 +220,9 @@ def q_segment_full(spark, sf):
 def _segment(spark, sf, mode, max_word_len=512):
     from trawl.operators import segment as SG
 
-    return SG.segment(_documents(spark, sf), _overlay(spark, sf), mode=mode, max_word_len=max_word_len)
+    # unknown characters are priced at the smallest weight of the static lexicon
+    return SG.segment(_documents(spark, sf), _overlay(spark, sf), mode=mode, max_word_len=max_word_len,
+                      base=_base_lexicon(spark, sf))
 
 
 @register("segment_mp")

@@ -414,6 +414,98 @@ dag AS (
 )"""
 
 
+def _mp_words(cap: int) -> str:
+    """Max-probability cut as a recursive CTE: ``mpw(doc_id, piece_pos, s, word)``.
+
+    Every piece is walked right to left, one position per step, carrying the
+    best scores of the positions to its right (``b[1]`` is the position just
+    right of the current one).  A candidate's score is its weight plus the
+    best score after it; the first candidate (smallest end) within 1e-9 of
+    the highest score wins and its score is carried.  An unknown character (no one-character word) is priced at
+    the smallest weight of the static lexicon.  A second recursive CTE then
+    follows the picks from position 0.
+    """
+    return f"""
+mw AS (SELECT min(weight) AS m FROM bw),
+we AS (
+  SELECT doc_id, piece_pos, start, "end", weight FROM dag
+  WHERE word IS NOT NULL AND "end" - start + 1 <= {cap}
+),
+cw AS (
+  SELECT doc_id, piece_pos, start, "end" AS e, weight AS w FROM we
+  UNION ALL
+  SELECT st.doc_id, st.piece_pos, st.start, st.start AS e, (SELECT m FROM mw) AS w
+  FROM st ANTI JOIN (SELECT * FROM we WHERE "end" = start) one
+       ON one.doc_id = st.doc_id AND one.piece_pos = st.piece_pos AND one.start = st.start
+),
+pos_c AS (
+  SELECT doc_id, piece_pos, start, list({{'e': e, 'w': w}} ORDER BY e) AS c
+  FROM cw GROUP BY doc_id, piece_pos, start
+),
+piece_c AS (
+  SELECT doc_id, piece_pos, CAST(count(*) AS INTEGER) AS n, list(c ORDER BY start) AS cs
+  FROM pos_c GROUP BY doc_id, piece_pos
+),
+dp AS (
+  WITH RECURSIVE r(doc_id, piece_pos, i, b, cs, pick) AS (
+    SELECT doc_id, piece_pos, n, [CAST(0.0 AS DOUBLE)], cs, CAST(NULL AS INTEGER) FROM piece_c
+    UNION ALL
+    SELECT doc_id, piece_pos, i - 1, list_prepend(v[k], b), cs, cs[i][k].e
+    FROM (SELECT *, list_position(list_transform(v, lambda x: x >= list_max(v) - 1e-9), true) AS k
+          FROM (SELECT doc_id, piece_pos, i, b, cs,
+                       list_transform(cs[i], lambda x: b[x.e - i + 2] + x.w) AS v
+                FROM r WHERE i > 0))
+  )
+  SELECT doc_id, piece_pos, i, pick FROM r WHERE pick IS NOT NULL
+),
+picks AS (
+  SELECT doc_id, piece_pos, list(pick ORDER BY i) AS pk FROM dp GROUP BY doc_id, piece_pos
+),
+walk AS (
+  WITH RECURSIVE w(doc_id, piece_pos, s, pk) AS (
+    SELECT doc_id, piece_pos, 0, pk FROM picks
+    UNION ALL
+    SELECT doc_id, piece_pos, pk[s + 1] + 1, pk FROM w WHERE pk[s + 1] + 1 < len(pk)
+  )
+  SELECT doc_id, piece_pos, s, pk[s + 1] AS e FROM w
+),
+mpw AS (
+  SELECT w.doc_id, w.piece_pos, w.s, substring(p.piece, w.s + 1, w.e - w.s + 1) AS word
+  FROM walk w JOIN pieces p ON p.doc_id = w.doc_id AND p.piece_pos = w.piece_pos
+)"""
+
+
+MIX_WORDS = f"""
+usingle AS (SELECT word FROM lex WHERE is_user AND length(word) = 1),
+fl AS (
+  SELECT m.*, length(m.word) = 1 AND u.word IS NULL AS single
+  FROM mpw m LEFT JOIN usingle u ON m.word = u.word
+),
+isl AS (
+  SELECT *, sum(CASE WHEN single THEN 0 ELSE 1 END) OVER (
+              PARTITION BY doc_id, piece_pos ORDER BY s ROWS UNBOUNDED PRECEDING) AS g
+  FROM fl
+),
+runs AS (
+  SELECT doc_id, piece_pos, min(s) AS s, string_agg(word, '' ORDER BY s) AS run
+  FROM isl WHERE single GROUP BY doc_id, piece_pos, g
+),
+recut AS (
+  SELECT doc_id, piece_pos, s, unnest(generate_series(1, len(t))) AS k, unnest(t) AS word
+  FROM (SELECT *, regexp_extract_all(run, {_TOK}, 0) AS t FROM runs)
+),
+mixw AS (
+  SELECT doc_id, piece_pos, s, 0 AS k, word FROM isl WHERE NOT single
+  UNION ALL
+  SELECT doc_id, piece_pos, s, k, word FROM recut
+),
+mix AS (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY piece_pos, s, k) - 1 AS BIGINT) AS pos,
+         word
+  FROM mixw
+)"""
+
+
 def _tag_rule(w: str) -> str:
     seen = (f"list_slice(list_filter(string_split({w}, ''), lambda c: unicode(c) < 128), "
             f"1, length({w}) // 2)")
@@ -458,6 +550,38 @@ SELECT doc_id, CAST(piece_pos AS BIGINT) AS piece_pos, CAST(start AS BIGINT) AS
        CAST("end" AS BIGINT) AS "end", word, round(weight, 10) AS weight
 FROM dag"""
 
+    for name, cap in (("segment_mp", 512), ("segment_mp_capped", 3)):
+        q[name] = f"""
+WITH {DOCS}, {LEX}, {EDGES_LEX}, {_mp_words(cap)}
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY piece_pos, s) - 1 AS BIGINT) AS pos, word
+FROM mpw"""
+
+    q["segment_mix"] = f"""
+WITH {DOCS}, {LEX}, {EDGES_LEX}, {_mp_words(512)}, {MIX_WORDS}
+SELECT doc_id, pos, word FROM mix"""
+
+    q["segment_search"] = f"""
+WITH {DOCS}, {LEX}, {EDGES_LEX}, {_mp_words(512)}, {MIX_WORDS},
+lw AS (SELECT DISTINCT word FROM lex),
+g2 AS (
+  SELECT doc_id, pos, i, substring(word, i + 1, 2) AS sw
+  FROM (SELECT *, unnest(generate_series(0, length(word) - 2)) AS i FROM mix WHERE length(word) > 2)
+),
+g3 AS (
+  SELECT doc_id, pos, i, substring(word, i + 1, 3) AS sw
+  FROM (SELECT *, unnest(generate_series(0, length(word) - 3)) AS i FROM mix WHERE length(word) > 3)
+)
+SELECT doc_id, pos, CAST(i AS BIGINT) AS sub, sw AS word FROM g2 SEMI JOIN lw ON g2.sw = lw.word
+UNION ALL
+SELECT doc_id, pos, CAST(1000000 + i AS BIGINT), sw FROM g3 SEMI JOIN lw ON g3.sw = lw.word
+UNION ALL
+SELECT doc_id, pos, CAST(2000000 AS BIGINT), word FROM mix"""
+
+    q["pos_tags"] = f"""
+WITH {DOCS}, {LEX}, {EDGES_LEX}, {_mp_words(512)}, {MIX_WORDS}
+SELECT m.doc_id, m.pos, m.word, coalesce(CASE WHEN l.tag <> '' THEN l.tag END, {_tag_rule('m.word')}) AS tag
+FROM mix m LEFT JOIN lex l ON m.word = l.word"""
+
     q["segment_full"] = f"""
 WITH {DOCS}, {LEX}, {EDGES_LEX},
 e2 AS (
