@@ -186,8 +186,56 @@ _RANK_SCHEMA = T.StructType([
 ])
 
 
-def _byte_key(s: str) -> bytes:
-    return s.encode("utf-8")
+def _rank_indexed(n_nodes: int, lo, hi, cnt, rounds: int, d: float) -> list:
+    """In-place rounds on an integer-indexed graph.
+
+    Node ids are positions in byte order of the words (code-point order of a
+    Python ``str`` is UTF-8 byte order).  ``lo``/``hi``/``cnt`` are the
+    undirected pair counts: w(lo, hi) = w(hi, lo) = cnt, w(a, a) = 2 cnt.
+    Returns the raw scores (None for nodes without edges).
+    """
+    adj: list = [None] * n_nodes
+    for a, b, c in zip(lo, hi, cnt):
+        if adj[a] is None:
+            adj[a] = []
+        if a == b:
+            adj[a].append((a, 2.0 * c))
+            continue
+        if adj[b] is None:
+            adj[b] = []
+        adj[a].append((b, float(c)))
+        adj[b].append((a, float(c)))
+    live = [i for i in range(n_nodes) if adj[i] is not None]
+    if not live:
+        return [None] * n_nodes
+    out_sum = [0.0] * n_nodes
+    for i in live:
+        adj[i].sort()
+        tot = 0.0
+        for _, w in adj[i]:
+            tot += w
+        out_sum[i] = tot
+    coefs = [[(j, w / out_sum[j]) for j, w in adj[i]] if adj[i] is not None else None
+             for i in range(n_nodes)]
+    ws = [None] * n_nodes
+    start = 1.0 / len(live)
+    for i in live:
+        ws[i] = start
+    base = 1 - d
+    for _ in range(rounds):
+        for i in live:
+            acc = 0.0
+            for j, c in coefs[i]:
+                acc += c * ws[j]
+            ws[i] = base + d * acc
+    return ws
+
+
+def _normalise(raw: list) -> list:
+    scores = [0.0 if v is None else v for v in raw]
+    lo = min(scores)
+    hi = max(scores)
+    return [(v - lo / 10.0) / (hi - lo / 10.0) for v in scores]
 
 
 def rank_graph(nodes, edges, rounds: int = RANK_ROUNDS, d: float = DAMPING) -> dict:
@@ -198,61 +246,65 @@ def rank_graph(nodes, edges, rounds: int = RANK_ROUNDS, d: float = DAMPING) -> d
     the scores already updated in that round; then scores are scaled by
     (s - min/10) / (max - min/10).  Words without edges score 0.
     """
-    adj: dict[str, list] = {}
-    for (a, b), wgt in edges.items():
-        adj.setdefault(a, []).append((b, wgt))
-    if not adj:
+    words = sorted(set(nodes) | {a for a, _ in edges} | {b for _, b in edges})
+    if not edges:
         return {w: 0.0 for w in nodes}
-    out_sum = {}
-    for a, lst in adj.items():
-        lst.sort(key=lambda t: _byte_key(t[0]))
-        tot = 0.0
-        for _, wgt in lst:
-            tot += wgt
-        out_sum[a] = tot
-    order = sorted(adj, key=_byte_key)
-    ws = {a: 1.0 / len(adj) for a in order}
-    coefs = {a: [(b, wgt / out_sum[b]) for b, wgt in adj[a]] for a in order}
-    for _ in range(rounds):
-        for a in order:
-            s = 0.0
-            for b, c in coefs[a]:
-                s += c * ws[b]
-            ws[a] = (1 - d) + d * s
-    scores = {w: ws.get(w, 0.0) for w in nodes}
-    lo = min(scores.values())
-    hi = max(scores.values())
-    return {w: (v - lo / 10.0) / (hi - lo / 10.0) for w, v in scores.items()}
-
-
-def _empty_rank_frame() -> pd.DataFrame:
-    return pd.DataFrame({"doc_id": pd.Series([], dtype="int64"),
-                         "rank": pd.Series([], dtype="int32"),
-                         "word": pd.Series([], dtype="object"),
-                         "offsets": pd.Series([], dtype="object"),
-                         "weight": pd.Series([], dtype="float64")})
-
-
-def _textrank_cogroup(n: int, rounds: int, d: float):
-    def fn(edges_pdf: pd.DataFrame, words_pdf: pd.DataFrame) -> pd.DataFrame:
-        if words_pdf.empty:
-            return _empty_rank_frame()
-        doc_id = int(words_pdf["doc_id"].iloc[0])
-        offsets = dict(zip(words_pdf["word"], words_pdf["offsets"]))
-        edges = {}
-        for a, b, w in zip(edges_pdf["lo"], edges_pdf["hi"], edges_pdf["n"]):
-            if a == b:
-                edges[(a, a)] = 2.0 * w
-            else:
-                edges[(a, b)] = float(w)
-                edges[(b, a)] = float(w)
-        scores = rank_graph(offsets.keys(), edges, rounds, d)
-        best = sorted(scores.items(), key=lambda kv: (-kv[1], _byte_key(kv[0])))[:n]
-        return pd.DataFrame({"doc_id": [doc_id] * len(best),
-                             "rank": list(range(1, len(best) + 1)),
-                             "word": [w for w, _ in best],
-                             "offsets": [[int(x) for x in offsets[w]] for w, _ in best],
-                             "weight": [sc for _, sc in best]})
+    ix = {w: i for i, w in enumerate(words)}
+    lo, hi, cnt = [], [], []
+    for (a, b), wgt in edges.items():
+        if a == b:
+            lo.append(ix[a]); hi.append(ix[a]); cnt.append(wgt / 2.0)
+        elif a < b:
+            lo.append(ix[a]); hi.append(ix[b]); cnt.append(wgt)
+    raw = _rank_indexed(len(words), lo, hi, cnt, rounds, d)
+    keep = set(nodes)
+    sub = {w: raw[ix[w]] for w in words if w in keep}
+    norm = _normalise(list(sub.values()))
+    return dict(zip(sub.keys(), norm))
+
+
+_RANK_SCHEMA = T.StructType([
+    T.StructField("doc_id", T.LongType()),
+    T.StructField("rank", T.IntegerType()),
+    T.StructField("word", T.StringType()),
+    T.StructField("offsets", T.ArrayType(T.LongType())),
+    T.StructField("weight", T.DoubleType()),
+])
+
+
+def _textrank_batches(n: int, rounds: int, d: float):
+    def fn(batches):
+        for pdf in batches:
+            ids, ranks, words_out, offs_out, weights = [], [], [], [], []
+            for r in range(len(pdf)):
+                doc_id = int(pdf["doc_id"].iat[r])
+                words = list(pdf["words"].iat[r])
+                offsets = pdf["offsets"].iat[r]
+                order = sorted(range(len(words)), key=words.__getitem__)
+                words = [words[k] for k in order]
+                offsets = [offsets[k] for k in order]
+                ix = {w: i for i, w in enumerate(words)}
+                lo_w = pdf["lo"].iat[r]
+                if lo_w is None or len(lo_w) == 0:
+                    scores = [0.0] * len(words)
+                else:
+                    lo = [ix[w] for w in lo_w]
+                    hi = [ix[w] for w in pdf["hi"].iat[r]]
+                    scores = _normalise(_rank_indexed(len(words), lo, hi, pdf["n"].iat[r].tolist(),
+                                                      rounds, d))
+                # words are in byte order, so a stable sort on -score breaks ties by word
+                best = sorted(range(len(words)), key=lambda i: -scores[i])[:n]
+                for k, i in enumerate(best):
+                    ids.append(doc_id)
+                    ranks.append(k + 1)
+                    words_out.append(words[i])
+                    offs_out.append([int(x) for x in offsets[i]])
+                    weights.append(scores[i])
+            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"),
+                                "rank": pd.Series(ranks, dtype="int32"),
+                                "word": pd.Series(words_out, dtype="object"),
+                                "offsets": pd.Series(offs_out, dtype="object"),
+                                "weight": pd.Series(weights, dtype="float64")})
     return fn
 
 
@@ -261,16 +313,17 @@ def textrank_keywords(docs: DataFrame, stop: DataFrame, n: int = 5, span: int =
                       id_col: str = "doc_id") -> DataFrame:
     """(doc_id, rank, word, offsets, weight) by TextRank.
 
-    Edges and per-word offsets are built natively; the sequential in-place
-    rounds run per document in a cogrouped ``applyInPandas`` (one small
-    graph per group; both sides are already partitioned by ``doc_id``, so
-    the cogroup adds no exchange).
+    Edges and per-word offsets are built natively and packed into one row
+    per document (document-local aggregates: the text is already partitioned
+    by ``doc_id``, so neither the packing nor the join adds an exchange);
+    the sequential in-place rounds then run over whole Arrow batches of
+    documents in ``mapInPandas``.
     """
     kept = keyword_tokens(docs, stop, None, text_col, id_col)
-    # both sides stem from ``kept``; rename the key on one side so the two
-    # groupings do not resolve to the same attribute
-    edges = undirected_pairs(kept, span).select(
-        F.col("doc_id").alias("edge_doc"), "lo", "hi", "n")
-    words = term_counts(kept).select("doc_id", "word", "offsets")
-    return (edges.groupBy("edge_doc").cogroup(words.groupBy("doc_id"))
-            .applyInPandas(_textrank_cogroup(n, rounds, DAMPING), _RANK_SCHEMA))
+    edges = (undirected_pairs(kept, span).groupBy("doc_id")
+             .agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"),
+                  F.collect_list("n").alias("n")))
+    words = (term_counts(kept).groupBy("doc_id")
+             .agg(F.collect_list("word").alias("words"), F.collect_list("offsets").alias("offsets")))
+    return (words.join(edges, "doc_id", "left")
+            .mapInPandas(_textrank_batches(n, rounds, DAMPING), _RANK_SCHEMA))
