@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions import text as T
 from trawl.operators.parse import assign_doc_id
-from trawl.session import bounded_broadcast
+from trawl.session import bounded_broadcast, materialize
 
 # Fixed values that must equal the reference.
 MAX_WORD_LENGTH = 512
@@ -124,6 +124,10 @@ def active(lex: DataFrame) -> DataFrame:
 
 
 def _bounded(lex: DataFrame) -> DataFrame:
+    """The lexicon written once to the checkpoint folder (it is derived from
+    whole tables; the count and the broadcast then read the small table
+    instead of re-deriving it), broadcast when its counted size fits."""
+    lex = materialize(lex, "lexicon")
     return bounded_broadcast(lex, lex.count(), LEXICON_ROW_BYTES)
 
 
@@ -158,7 +162,8 @@ def dag_edges(pieces: DataFrame, lex: DataFrame, max_word_len: int = MAX_WORD_LE
     lexicon word with that prefix (a table with one row per prefix, joined on
     the prefix).  The explode therefore stays proportional to the text.
     """
-    act = active(lex)
+    act = materialize(active(lex), "lexicon_active")
+    n_words = act.count()
     cap = max(1, int(max_word_len))
     n = F.char_length("piece")
     starts = pieces.select("doc_id", "piece_pos", "piece",
@@ -167,7 +172,8 @@ def dag_edges(pieces: DataFrame, lex: DataFrame, max_word_len: int = MAX_WORD_LE
         prefixes = (act.where(F.char_length("word") >= 2)
                     .groupBy(F.substring("word", 1, 2).alias("p2"))
                     .agg(F.max(F.char_length("word")).alias("maxlen")))
-        prefixes = bounded_broadcast(prefixes, prefixes.count(), 48)
+        # at most one prefix per word: the word count bounds the table
+        prefixes = bounded_broadcast(prefixes, n_words, 48)
         starts = (starts.withColumn("p2", F.call_function("substring", F.col("piece"),
                                                           F.col("start") + 1, F.lit(2)))
                   .join(prefixes, "p2", "left"))
@@ -179,7 +185,8 @@ def dag_edges(pieces: DataFrame, lex: DataFrame, max_word_len: int = MAX_WORD_LE
              .select("doc_id", "piece_pos", "start", "len",
                      F.call_function("substring", F.col("piece"), F.col("start") + 1, F.col("len"))
                      .alias("sub")))
-    lw = _bounded(act.select(F.col("word").alias("sub"), "weight", "tag"))
+    lw = bounded_broadcast(act.select(F.col("word").alias("sub"), "weight", "tag"), n_words,
+                           LEXICON_ROW_BYTES)
     edges = cands.join(lw, "sub", "left").where(F.col("weight").isNotNull() | (F.col("len") == 1))
     return edges.select("doc_id", "piece_pos", "start", (F.col("start") + F.col("len") - 1).alias("end"),
                         F.when(F.col("weight").isNotNull(), F.col("sub")).alias("word"),

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from trawl.operators import lexicon as LX
 from trawl.functions.text import DEFAULT_SEPARATORS, split_fields_py
 from trawl.operators.tokenize import by_document, presplit
+from trawl.session import materialize
 
 # Fixed values that must equal the reference.
 MIN_DOUBLE = -3.14e100
@@ -288,6 +289,8 @@ def segment(docs: DataFrame, lex: DataFrame | None, mode: str = "mix", model: Hm
     min_weight, singles = 0.0, frozenset()
     if mode != "hmm" and lex is not None:
         weighted = lex if "weight" in lex.columns else LX.with_weights(lex)
+        # derived lexicons are read four times below: compute them once
+        weighted = materialize(weighted, "segment_lexicon")
         if base is not None:
             base_w = base if "weight" in base.columns else LX.with_weights(base)
         elif "is_user" in weighted.columns:
