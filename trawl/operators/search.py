@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from trawl.functions import text as T
 from trawl.operators.index import rank_key
 from trawl.operators.parse import parsed_columns
-from trawl.session import bounded_broadcast
+from trawl.session import bounded_broadcast, materialize, spread
 
 # Upper bounds on row widths used for size-checked broadcasts (bytes).
 QUERY_WORD_ROW_BYTES = 96
 HIT_ROW_BYTES = 64
+DOC_ID_ROW_BYTES = 16
 
 
 def query_words(queries: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
@@ -76,15 +77,21 @@ def attach_documents(top: DataFrame, docs: DataFrame, n_rows_bound: int) -> Data
     """Join ranked hits with their documents and cut the snippet.
 
     ``docs`` is either a parsed document table (doc_id, title, url, content)
-    or raw pages (page_id, url, html); raw pages are joined first and only
-    the matched ones are parsed.  The hit side holds at most
+    or raw pages (page_id, url, html).  The hit side holds at most
     ``n_rows_bound`` rows (queries x k), which decides the broadcast.
+
+    Raw pages are parsed only when matched, and once however many queries
+    found them: a semi join against the matched ids (broadcast under the
+    same bound) cuts the pages down first, then they are parsed, then joined
+    with the hits.
     """
     small = bounded_broadcast(top, n_rows_bound, HIT_ROW_BYTES)
     if "content" not in docs.columns:
         title, content = parsed_columns("html")
-        joined = (docs.withColumnRenamed("page_id", "doc_id").join(small, "doc_id")
-                  .select("doc_id", "query_id", "word", "weight", "rank", "url", title, content))
+        ids = bounded_broadcast(top.select("doc_id").distinct(), n_rows_bound, DOC_ID_ROW_BYTES)
+        matched = spread(docs.withColumnRenamed("page_id", "doc_id").join(ids, "doc_id", "left_semi"))
+        parsed = matched.select("doc_id", "url", title, content)
+        joined = parsed.join(small, "doc_id")
     else:
         joined = docs.select("doc_id", "title", "url", "content").join(small, "doc_id")
     return joined.select("query_id", "rank", "doc_id", "word", "weight", "title", "url",
@@ -96,7 +103,8 @@ def search(queries: DataFrame, postings: DataFrame, docs: DataFrame,
     """(query_id, rank, doc_id, word, weight, title, url, desc) for a query batch."""
     qw = query_words(queries, id_col, text_col)
     n_queries = queries.count()
-    top = best_hits(qw, postings, k, n_query_words=None)
+    # at most queries x k rows, read twice (matched ids, hits): computed once
+    top = materialize(best_hits(qw, postings, k, n_query_words=None), "search_hits")
     return attach_documents(top, docs, n_queries * k)
 
 
