@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from trawl.operators.index import corpus_size, doc_frequency, postings_tf
 from trawl.functions import text as TX
 from trawl.operators.tokenize import by_document
-from trawl.session import bounded_broadcast, spread
+from trawl.session import bounded_broadcast, materialize, spread
 
 # Fixed values of the TextRank variant that must match the reference.
 DAMPING = 0.85
@@ -103,6 +103,7 @@ def keyword_tokens(docs: DataFrame, stop: DataFrame, n_stop: int | None = None,
     src = docs if partitioned else by_document(docs.select(id_col, text_col), id_col)
     toks = run_offsets(src, text_col, id_col)
     if n_stop is None:
+        stop = materialize(stop.select("word"), "stop_words")
         n_stop = stop.count()
     stop_b = bounded_broadcast(stop.select("word").distinct(), n_stop, STOP_ROW_BYTES)
     return (toks.where(F.char_length("word") > 1)
@@ -130,6 +131,9 @@ def extract_keywords(docs: DataFrame, idf: DataFrame, stop: DataFrame, n: int =
                      idf_avg=None) -> DataFrame:
     """(doc_id, rank, word, offsets, weight): weight = count x idf, with the
     average idf for words missing from the table."""
+    # the IDF table is read four times (size check, broadcast, sum and count
+    # of the average): written once, the corpus behind it is scanned once
+    idf = materialize(idf.select("word", "idf"), "idf")
     kept = keyword_tokens(docs, stop, None, text_col, id_col)
     counts = term_counts(kept)
     n_idf = idf.count()
