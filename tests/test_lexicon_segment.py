@@ -162,3 +162,12 @@ def test_mp_cut_is_optimal(piece, words):
     for p in reversed(got):
         score = (words[p] if p in words else min_w) + score
     assert math.isclose(score, _brute_best(piece, words, min_w), rel_tol=1e-12, abs_tol=1e-12)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aZ09.,- \n中文字é", max_size=20))
+def test_hmm_cut_without_emissions_is_the_token_regex(text):
+    # a model whose emissions cover no character of the text takes the full
+    # Viterbi path; the empty model takes the regex path -- they must agree
+    unseen = SG.HmmModel(emit=[{"￿": -1.0}, {}, {}, {}])
+    assert SG.hmm_cut(text, SG.HmmModel()) == SG.hmm_cut(text, unseen)

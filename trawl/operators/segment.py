@@ -12,15 +12,17 @@ alphabet and travel with the function.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawl.operators import lexicon as LX
-from trawl.functions.text import DEFAULT_SEPARATORS, split_fields_py
+from trawl.functions.text import DEFAULT_SEPARATORS, LATIN_TOKEN_RE, split_fields_py
 from trawl.operators.tokenize import by_document, presplit
 from trawl.session import materialize
 
@@ -129,8 +131,19 @@ def viterbi_cut(chars: str, model: HmmModel) -> list[str]:
     return out
 
 
+_LATIN_RUNS = re.compile(LATIN_TOKEN_RE)
+
+
 def hmm_cut(s: str, model: HmmModel) -> list[str]:
-    """ASCII by the letter / number rules, other runs by Viterbi."""
+    """ASCII by the letter / number rules, other runs by Viterbi.
+
+    A model without emissions prices every character at ``MIN_DOUBLE`` in
+    every state, so no transition ever beats the initial value, the path
+    stays at ``E`` and each non-ASCII character is a word of its own: the
+    cut is then exactly the letter-run / number-run / single-character regex.
+    """
+    if not any(model.emit):
+        return _LATIN_RUNS.findall(s)
     out, left, right, n = [], 0, 0, len(s)
     while right < n:
         if ord(s[right]) < 0x80:
@@ -163,23 +176,33 @@ def mp_cut(piece: str, edges: dict, min_weight: float) -> list[str]:
     """
     n = len(piece)
     best = [0.0] * (n + 1)
-    choice = [0] * n
+    choice = list(range(n))
+    get = edges.get
     for i in range(n - 1, -1, -1):
-        cands = edges.get(i, [])
-        if not (cands and cands[0][0] == i):
-            cands = [(i, min_weight)] + cands
-        vals = [best[end + 1] + w for end, w in cands]
-        top = max(vals)
-        pick = i
-        if top > MIN_DOUBLE:
-            for (end, _), v in zip(cands, vals):
-                if v >= top - TIE_EPS:
-                    top, pick = v, end
-                    break
-        else:
-            top = MIN_DOUBLE
-        best[i] = top
-        choice[i] = pick
+        cands = get(i)
+        unknown = best[i + 1] + min_weight
+        if cands is None:
+            best[i] = unknown
+            continue
+        own_single = cands[0][0] == i
+        top = MIN_DOUBLE if own_single else unknown
+        for end, w in cands:
+            v = best[end + 1] + w
+            if v > top:
+                top = v
+        if top <= MIN_DOUBLE:
+            best[i] = MIN_DOUBLE
+            continue
+        lim = top - TIE_EPS
+        if not own_single and unknown >= lim:
+            best[i] = unknown
+            continue
+        for end, w in cands:
+            v = best[end + 1] + w
+            if v >= lim:
+                best[i] = v
+                choice[i] = end
+                break
     out, i = [], 0
     while i < n:
         j = choice[i]
@@ -248,11 +271,20 @@ def _seg_batches(mode: str, min_weight: float, user_singles: frozenset, model: H
                     pp = pdf["pp"].iat[r]
                     if pp is not None and len(pp):
                         st, en, w = pdf["st"].iat[r], pdf["en"].iat[r], pdf["w"].iat[r]
-                        for a, b, c, d in zip(pp.tolist(), st.tolist(), en.tolist(), w.tolist()):
-                            graph.setdefault(a, {}).setdefault(b, []).append((c, d))
-                        for gp in graph.values():
-                            for lst in gp.values():
-                                lst.sort()
+                        # one ordered pass: piece -> start -> [(end, weight)] by end
+                        order = np.lexsort((en, st, pp))
+                        cur_a = cur_b = -1
+                        gp: dict = {}
+                        lst: list = []
+                        for a, b, c, d in zip(pp[order].tolist(), st[order].tolist(),
+                                              en[order].tolist(), w[order].tolist()):
+                            if a != cur_a:
+                                gp = graph[a] = {}
+                                cur_a, cur_b = a, -1
+                            if b != cur_b:
+                                lst = gp[b] = []
+                                cur_b = b
+                            lst.append((c, d))
                 out: list[str] = []
                 if text:
                     for i, piece in enumerate(splitter.findall(text)):
