@@ -126,8 +126,13 @@ def results_json(queries: DataFrame, results: DataFrame, id_col: str = "query_id
                     F.concat(F.coalesce(as_json, F.lit("null")), F.lit("\n")).alias("json")))
 
 
-def query_key(queries: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
-    """(query_id, query_key, n_tokens): the canonical cache key of each query."""
+def query_key(queries: DataFrame, id_col: str = "query_id", text_col: str = "query",
+              delimiter: str = "") -> DataFrame:
+    """(query_id, query_key, n_tokens): the canonical cache key of each query.
+
+    The reference joins the ordered words with no delimiter, so different
+    word lists may share a key; pass a ``delimiter`` to keep them apart."""
     toks = T.latin_tokens(text_col)
-    return queries.select(F.col(id_col).alias("query_id"), T.canonical_key(toks).alias("query_key"),
+    return queries.select(F.col(id_col).alias("query_id"),
+                          T.canonical_key(toks, delimiter).alias("query_key"),
                           F.size(toks).cast("long").alias("n_tokens"))
