@@ -89,7 +89,8 @@ def attach_documents(top: DataFrame, docs: DataFrame, n_rows_bound: int) -> Data
     if "content" not in docs.columns:
         title, content = parsed_columns("html")
         ids = bounded_broadcast(top.select("doc_id").distinct(), n_rows_bound, DOC_ID_ROW_BYTES)
-        matched = spread(docs.withColumnRenamed("page_id", "doc_id").join(ids, "doc_id", "left_semi"))
+        matched = spread(docs.withColumnRenamed("page_id", "doc_id").join(ids, "doc_id", "left_semi"),
+                         basis=docs)
         parsed = matched.select("doc_id", "url", title, content)
         joined = parsed.join(small, "doc_id")
     else:

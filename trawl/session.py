@@ -113,7 +113,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, basis: DataFrame | None = None) -> DataFrame:
     """Round-robin repartition *only* when ``df`` has fewer partitions than
     the cluster's default parallelism.
 
@@ -123,6 +123,8 @@ def spread(df: DataFrame) -> DataFrame:
     never shuffled at scale.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    # ``basis``: the plain scan ``df`` stems from; counting its partitions runs
+    # nothing, while ``df.rdd`` of a plan with a broadcast would run that stage
+    if (basis if basis is not None else df).rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
