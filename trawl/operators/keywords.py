@@ -282,11 +282,12 @@ def _textrank_batches(n: int, rounds: int, d: float):
             ids, ranks, words_out, offs_out, weights = [], [], [], [], []
             for r in range(len(pdf)):
                 doc_id = int(pdf["doc_id"].iat[r])
-                words = list(pdf["words"].iat[r])
-                offsets = pdf["offsets"].iat[r]
-                order = sorted(range(len(words)), key=words.__getitem__)
-                words = [words[k] for k in order]
-                offsets = [offsets[k] for k in order]
+                # one (word, offset) per kept token: group the offsets by word
+                by_word: dict = {}
+                for w_, o_ in zip(pdf["words"].iat[r].tolist(), pdf["offsets"].iat[r].tolist()):
+                    by_word.setdefault(w_, []).append(o_)
+                words = sorted(by_word)
+                offsets = [sorted(by_word[w_]) for w_ in words]
                 ix = {w: i for i, w in enumerate(words)}
                 lo_w = pdf["lo"].iat[r]
                 if lo_w is None or len(lo_w) == 0:
@@ -317,17 +318,53 @@ def textrank_keywords(docs: DataFrame, stop: DataFrame, n: int = 5, span: int =
                       id_col: str = "doc_id") -> DataFrame:
     """(doc_id, rank, word, offsets, weight) by TextRank.
 
-    Edges and per-word offsets are built natively and packed into one row
-    per document (document-local aggregates: the text is already partitioned
-    by ``doc_id``, so neither the packing nor the join adds an exchange);
-    the sequential in-place rounds then run over whole Arrow batches of
+    Edges and per-word offsets are built natively in one pass and packed
+    into one row per document (``packed_graphs``: document-local aggregates,
+    no exchange after the one that partitions the text by ``doc_id``); the
+    sequential in-place rounds then run over whole Arrow batches of
     documents in ``mapInPandas``.
     """
     kept = keyword_tokens(docs, stop, None, text_col, id_col)
-    edges = (undirected_pairs(kept, span).groupBy("doc_id")
-             .agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"),
-                  F.collect_list("n").alias("n")))
-    words = (term_counts(kept).groupBy("doc_id")
-             .agg(F.collect_list("word").alias("words"), F.collect_list("offsets").alias("offsets")))
-    return (words.join(edges, "doc_id", "left")
+    return (packed_graphs(kept, span)
             .mapInPandas(_textrank_batches(n, rounds, DAMPING), _RANK_SCHEMA))
+
+
+def packed_graphs(kept: DataFrame, span: int = SPAN) -> DataFrame:
+    """One row per document: (doc_id, words, offsets, lo, hi, n).
+
+    A single pass over the kept tokens: each token emits its own word row
+    (kind 0, with its offset) and one row per partner among the next
+    ``span - 1`` kept tokens (kind 1, the unordered pair).  A hash aggregate
+    counts the pairs (word rows stay one per token: the offset is in the
+    key); one more per document splits rows by kind (``collect_list`` skips
+    the other kind's nulls), and the ranking step groups offsets by word.
+    Both aggregates are document-local, and the text is shuffled and
+    tokenized once (two branches would each redo both).
+    """
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    none_s = F.lit(None).cast("string")
+    none_l = F.lit(None).cast("long")
+    with_partners = kept.select("doc_id", "word", "offset",
+                                *[F.lead("word", d).over(w).alias(f"_p{d}") for d in range(1, span)])
+    items = [F.struct(F.lit(0).alias("k"), F.col("word").alias("a"), none_s.alias("b"),
+                      F.col("offset").alias("off"))]
+    for d in range(1, span):
+        p = F.col(f"_p{d}")
+        # least/greatest skip nulls: a missing partner must stay null
+        items.append(F.struct(F.lit(1).alias("k"), F.least(F.col("word"), p).alias("a"),
+                              F.when(p.isNotNull(), F.greatest(F.col("word"), p)).alias("b"),
+                              none_l.alias("off")))
+    rows = (with_partners.select("doc_id", F.explode(F.array(*items)).alias("e"))
+            .where((F.col("e.k") == 0) | F.col("e.b").isNotNull())
+            .select("doc_id", "e.k", "e.a", "e.b", "e.off"))
+    # pair rows are counted by a plain hash aggregate; word rows keep their
+    # offset in the key (one row per token) and are grouped by word per document
+    grouped = rows.groupBy("doc_id", "k", "a", "b", "off").agg(
+        F.count(F.lit(1)).cast("double").alias("n"))
+    is_word = F.col("k") == 0
+    return grouped.groupBy("doc_id").agg(
+        F.collect_list(F.when(is_word, F.col("a"))).alias("words"),
+        F.collect_list(F.when(is_word, F.col("off"))).alias("offsets"),
+        F.collect_list(F.when(~is_word, F.col("a"))).alias("lo"),
+        F.collect_list(F.when(~is_word, F.col("b"))).alias("hi"),
+        F.collect_list(F.when(~is_word, F.col("n"))).alias("n"))
