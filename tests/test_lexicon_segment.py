@@ -171,3 +171,14 @@ def test_hmm_cut_without_emissions_is_the_token_regex(text):
     # Viterbi path; the empty model takes the regex path -- they must agree
     unseen = SG.HmmModel(emit=[{"￿": -1.0}, {}, {}, {}])
     assert SG.hmm_cut(text, SG.HmmModel()) == SG.hmm_cut(text, unseen)
+
+
+def test_mp_cut_near_ties_pick_the_shortest_candidate():
+    # ab|cde and abcd|e score the same up to the last bits of the weights
+    # (different engines' ln); the shortest candidate at position 0 must win
+    a, b = -6.2422232654551655, -5.954541193003384
+    edges = {0: [(1, a), (3, b + 2e-15)], 2: [(4, b)], 4: [(4, a)]}
+    assert SG.mp_cut("abcde", edges, -50.0) == ["ab", "cde"]
+    # a clear winner is still taken
+    edges = {0: [(1, a), (3, b + 1e-3)], 2: [(4, b)], 4: [(4, a)]}
+    assert SG.mp_cut("abcde", edges, -50.0) == ["abcd", "e"]
