@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions import text as T
+from trawl.session import materialize
 
 
 def parsed_columns(html_col: str = "html"):
@@ -60,13 +61,14 @@ def assign_doc_id(df: DataFrame, order_col: str = "path", id_col: str = "doc_id"
 
     Range-partition and sort by ``order_col``; the position inside a partition
     comes from ``monotonically_increasing_id`` (partition index in the upper
-    bits), and each partition's start offset from a running sum over the
-    per-partition row counts -- a table with one row per partition, so its
-    broadcast is bounded by the partition count, not by the data.
+    bits).  The marked rows are written once before anything reads them: the
+    range bounds are sampled and AQE may merge partitions, so two runs of that
+    plan need not agree.  Each partition's start offset is a running sum over
+    the per-partition row counts -- one row per partition, a bounded broadcast.
     """
     ordered = df.repartitionByRange(F.col(order_col)).sortWithinPartitions(order_col)
-    marked = ordered.withColumn("_mid", F.monotonically_increasing_id()) \
-                    .withColumn("_pid", F.shiftright(F.col("_mid"), 33))
+    marked = materialize(ordered.withColumn("_mid", F.monotonically_increasing_id())
+                         .withColumn("_pid", F.shiftright(F.col("_mid"), 33)), "doc_id")
     counts = marked.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
