@@ -71,3 +71,12 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
 
 def salt(col, n: int = 32):
     return F.pmod(F.hash(col), F.lit(n))
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", n: int = 32) -> DataFrame:
+    """``left`` joined to ``right`` (one row per ``key``) where a key may hold
+    a third of ``left``: rows are salted by ``by``, and ``right`` is repeated
+    only for the salts that a key really has."""
+    keyed = left.withColumn("_salt", salt(by, n))
+    need = keyed.select(key, "_salt").distinct().join(right, key)
+    return keyed.join(need, [key, "_salt"], how).drop("_salt")
