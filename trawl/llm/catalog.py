@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from trawl.llm import bpe, lines, pack, shards, warc
-from trawl.sources.tables import documents, pages
+from trawl.llm import ann, bpe, licenses, lines, mainpage, neardup, pack, quality, shards, warc
+from trawl.sources.tables import documents, pages, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -12,13 +12,25 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def registry():
     return {
         "op1_bpe": lambda s, d: bpe.digests(documents(s, d), tokenizer_file("byte_bpe_50k.json")),
         "op2_warc": lambda s, d: warc.round_trip(pages(s, d)),
         "op3_line_dedup": lambda s, d: lines.dedup(documents(s, d)).select("doc_id", "text", "n_removed"),
+        "op4_neardup": lambda s, d: neardup.groups(documents(s, d)),
         "op5_packing": lambda s, d: pack.pack(documents(s, d), tokenizer_file("word_bpe_49k.json")),
+        "op6_quality": lambda s, d: quality.verdicts(documents(s, d)),
         "op7_sharding": lambda s, d: shards.placements(documents(s, d)),
+        "op8_ann": lambda s, d: ann.search(table(s, d, "embeddings")),
+        "op9_main_text": lambda s, d: mainpage.extract(pages(s, d)),
+        "op10_licenses": lambda s, d: licenses.scan(documents(s, d)),
+        "pipeline": _pipeline,
     }
 
 
