@@ -6,6 +6,8 @@ Every function takes and returns ``pyspark.sql.Column`` so it composes inside
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -183,13 +185,5 @@ def split_fields(col, chars: str = " ", maxsplit: int | None = None) -> Column:
 
 def split_fields_py(s: str, chars: str = " ") -> list[str]:
     """The same rule for driver-side parsing of small files."""
-    out, start = [], 0
-    while start < len(s):
-        ends = [i for i in (s.find(c, start) for c in chars) if i >= 0]
-        if not ends:
-            out.append(s[start:])
-            break
-        end = min(ends)
-        out.append(s[start:end])
-        start = end + 1
-    return out
+    fields = re.split("[" + re.escape(chars) + "]", s)
+    return fields if fields[-1] else fields[:-1]

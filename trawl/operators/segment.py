@@ -12,6 +12,7 @@ alphabet and travel with the function.
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field
 
@@ -76,62 +77,32 @@ def load_hmm_model(spark: SparkSession, path: str) -> HmmModel:
 
 # --------------------------------------------------------------- per piece
 
-def _letter_end(s: str, i: int) -> int:
-    c = s[i]
-    if not (("a" <= c <= "z") or ("A" <= c <= "Z")):
-        return i
-    i += 1
-    while i < len(s) and (("a" <= s[i] <= "z") or ("A" <= s[i] <= "Z") or ("0" <= s[i] <= "9")):
-        i += 1
-    return i
-
-
-def _number_end(s: str, i: int) -> int:
-    if not ("0" <= s[i] <= "9"):
-        return i
-    i += 1
-    while i < len(s) and (("0" <= s[i] <= "9") or s[i] == "."):
-        i += 1
-    return i
+_WORD_OF_STATES = re.compile("[BM]*[ES]")
 
 
 def viterbi_cut(chars: str, model: HmmModel) -> list[str]:
-    """B/E/M/S labelling of a run of characters; a word ends after E or S."""
-    n = len(chars)
-    if n == 0:
+    """Best state sequence of a run of characters in the max-plus algebra:
+    ``score <- max over rows of (score + transition) + emission``.  Sums never
+    fall below ``MIN_DOUBLE``; a state reached by no better sum counts as
+    coming from ``E``.  Words are the label groups ``[BM]*[ES]``."""
+    if not chars:
         return []
-    start, trans, emit = model.start, model.trans, model.emit
-    weight = [[0.0] * 4 for _ in range(n)]
-    path = [[-1] * 4 for _ in range(n)]
-    c0 = chars[0]
-    for y in range(4):
-        weight[0][y] = start[y] + emit[y].get(c0, MIN_DOUBLE)
-    for x in range(1, n):
-        c = chars[x]
-        prev = weight[x - 1]
-        for y in range(4):
-            em = emit[y].get(c, MIN_DOUBLE)
-            best, arg = MIN_DOUBLE, E
-            for py in range(4):
-                tmp = prev[py] + trans[py][y] + em
-                if tmp > best:
-                    best, arg = tmp, py
-            weight[x][y] = best
-            path[x][y] = arg
-    stat = E if weight[n - 1][E] >= weight[n - 1][S] else S
-    status = [0] * n
-    for x in range(n - 1, -1, -1):
-        status[x] = stat
-        stat = path[x][stat]
-    out, left = [], 0
-    for i, st in enumerate(status):
-        if st % 2:
-            out.append(chars[left:i + 1])
-            left = i + 1
-    return out
+    emission = np.array([[e.get(c, MIN_DOUBLE) for e in model.emit] for c in chars])
+    step = np.array(model.trans)
+    score, came = np.array(model.start) + emission[0], []
+    for at in emission[1:]:
+        sums = score[:, None] + step + at
+        score = np.maximum(sums.max(axis=0), MIN_DOUBLE)
+        came.append(np.where(score > MIN_DOUBLE, sums.argmax(axis=0), E))
+    path = [max((E, S), key=score.__getitem__)]
+    for back in reversed(came):
+        path.append(int(back[path[-1]]))
+    labels = "".join({E: "E", S: "S"}.get(state, "M") for state in reversed(path))
+    return [chars[m.start():m.end()] for m in _WORD_OF_STATES.finditer(labels)]
 
 
 _LATIN_RUNS = re.compile(LATIN_TOKEN_RE)
+_MODEL_RUNS = re.compile(r"[^\x00-\x7F]+|" + LATIN_TOKEN_RE)
 
 
 def hmm_cut(s: str, model: HmmModel) -> list[str]:
@@ -144,24 +115,8 @@ def hmm_cut(s: str, model: HmmModel) -> list[str]:
     """
     if not any(model.emit):
         return _LATIN_RUNS.findall(s)
-    out, left, right, n = [], 0, 0, len(s)
-    while right < n:
-        if ord(s[right]) < 0x80:
-            if left != right:
-                out.extend(viterbi_cut(s[left:right], model))
-            left = right
-            end = _letter_end(s, left)
-            if end == left:
-                end = _number_end(s, left)
-            if end == left:
-                end = left + 1
-            out.append(s[left:end])
-            left = right = end
-        else:
-            right += 1
-    if left != right:
-        out.extend(viterbi_cut(s[left:right], model))
-    return out
+    return [w for run in _MODEL_RUNS.findall(s)
+            for w in ([run] if run.isascii() else viterbi_cut(run, model))]
 
 
 def mp_cut(piece: str, edges: dict, min_weight: float) -> list[str]:
@@ -215,20 +170,11 @@ def mix_cut(piece: str, edges: dict, min_weight: float, user_singles: frozenset,
             model: HmmModel) -> list[str]:
     """Max-probability cut; runs of one-character results that are not
     one-character user words are re-cut by the HMM."""
-    words = mp_cut(piece, edges, min_weight)
-    out, i = [], 0
-    while i < len(words):
-        w = words[i]
-        if len(w) > 1 or w in user_singles:
-            out.append(w)
-            i += 1
-            continue
-        j = i
-        while j < len(words) and len(words[j]) == 1 and words[j] not in user_singles:
-            j += 1
-        out.extend(hmm_cut("".join(words[i:j]), model))
-        i = j
-    return out
+    def open_single(word):
+        return len(word) == 1 and word not in user_singles
+
+    return [w for single, group in itertools.groupby(mp_cut(piece, edges, min_weight), open_single)
+            for w in (hmm_cut("".join(group), model) if single else group)]
 
 
 # --------------------------------------------------------------- Spark job
