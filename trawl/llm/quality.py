@@ -10,6 +10,8 @@ sorted key arrays searched by binary search.
 Each document's mean log-probability per character goes to a histogram per
 language; quartiles of the counts over all documents give the band
 ``[Q1 - FENCE * IQR, Q3 + FENCE * IQR]``.  Outside it, a document is rejected.
+The mean of a short text varies more, so the band is widened on both sides by
+``sqrt(1 + SHORT / characters)``, the growth of a sampling error.
 
 Null or empty text: no words, all counts 0, no perplexity, base_failed.
 Null lang: the language "".  Null or repeated ids: each row by itself.
@@ -26,6 +28,7 @@ from trawl.llm.common import WordHash, arrow_map, hot_join, rolling
 from trawl.session import materialize
 
 FENCE = 4.0
+SHORT = 1500  # characters at which sampling error and spread between texts count alike
 MIN_WORDS = 50
 BIN = 100  # histogram bins per nat
 LOW_BIN, HIGH_BIN = 0, 2000
@@ -171,7 +174,7 @@ def scored(docs: DataFrame, model: KneserNey) -> DataFrame:
 
 
 def bands(scores: DataFrame, fence: float = FENCE) -> DataFrame:
-    """(lang, low, high) from exact quartiles of the binned log-perplexities."""
+    """(lang, q1, q3, width) from exact quartiles of the binned log-perplexities."""
     b = F.greatest(F.lit(LOW_BIN), F.least(F.lit(HIGH_BIN), F.floor(F.col("log_ppl") * BIN)))
     hist = scores.where("log_ppl IS NOT NULL").groupBy("lang", b.alias("b")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("lang")
@@ -180,8 +183,8 @@ def bands(scores: DataFrame, fence: float = FENCE) -> DataFrame:
         F.min(F.when(F.col("upto") * 4 >= F.col("all"), F.col("b"))).alias("q1"),
         F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("b"))).alias("q3"))
     iqr = F.greatest(F.col("q3") - F.col("q1"), F.lit(2))
-    return q.select("lang", ((F.col("q1") - fence * iqr) / BIN).alias("low"),
-                    ((F.col("q3") + 1 + fence * iqr) / BIN).alias("high"))
+    return q.select("lang", (F.col("q1") / BIN).alias("q1"), ((F.col("q3") + 1) / BIN).alias("q3"),
+                    (fence * iqr / BIN).alias("width"))
 
 
 def verdicts(docs: DataFrame, fence: float = FENCE) -> DataFrame:
@@ -189,7 +192,8 @@ def verdicts(docs: DataFrame, fence: float = FENCE) -> DataFrame:
     s = materialize(scored(docs, trained(docs)), "quality")
     out = hot_join(s, bands(s, fence), "lang", "doc_id", "left")
     bad = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
+    width = F.col("width") * F.sqrt(1 + SHORT / F.greatest(F.col("word_chars"), F.lit(1)))
+    inside = F.coalesce(F.col("log_ppl").between(F.col("q1") - width, F.col("q3") + width), F.lit(True))
     return out.withColumn("base_failed", bad).withColumn("kept", ~bad & inside) \
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                 "base_failed", "kept", "log_ppl")
