@@ -69,7 +69,7 @@ def lexicon_stats(lex: DataFrame) -> DataFrame:
 def parse_user_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """User-lexicon lines -> (word, freq, tag, line_no): ``word`` |
     ``word tag`` | ``word freq tag``; empty lines and other shapes skipped.
-    ``freq`` is an integer (a missing or zero freq means the default weight).
+    ``freq`` is an integer (a missing, unreadable or zero freq means the default weight).
     """
     parts = T.split_fields(value_col, " ")
     n = F.size(parts)
@@ -77,7 +77,7 @@ def parse_user_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
             .withColumn("_p", parts).withColumn("_n", n)
             .where(F.col("_n").between(1, 3))
             .select(F.col("_p")[0].alias("word"),
-                    F.when(F.col("_n") == 3, F.col("_p")[1].cast("int")).alias("freq"),
+                    F.when(F.col("_n") == 3, F.col("_p")[1].try_cast("int")).alias("freq"),
                     F.when(F.col("_n") == 2, F.col("_p")[1])
                      .when(F.col("_n") == 3, F.col("_p")[2]).otherwise(F.lit("")).alias("tag"),
                     *[c for c in lines.columns if c == "line_no"]))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +30,25 @@ DEFAULT_CONF = {
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "trawl", extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with the settings this engine expects."""
+    """Build a session with the settings this engine expects; one that runs
+    already, or was submitted with settings of its own, keeps those."""
+    given = SparkSession.getActiveSession()
+    if given is not None:
+        for k, v in {**({"spark.sql.shuffle.partitions": str(shuffle_partitions)} if shuffle_partitions else {}),
+                     **(extra or {})}.items():
+            if given.conf.isModifiable(k):
+                given.conf.set(k, v)
+        return given
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
-    conf.setdefault("spark.driver.memory", os.environ.get("TRAWL_DRIVER_MEMORY", "16g"))
+    conf["spark.driver.memory"] = os.environ.get("TRAWL_DRIVER_MEMORY", "16g")
+    if "PYSPARK_GATEWAY_PORT" in os.environ:  # started by spark-submit
+        SparkContext._ensure_initialized()
+        conf = {k: v for k, v in conf.items() if not SparkConf().contains(k)}
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -47,8 +60,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Read from the session (``spark.checkpoint.dir``, set by the cluster).  Only
-    when it is unset -- local tests -- a scratch folder is created.
+    Read from the session (``spark.checkpoint.dir``, set by the cluster).  When
+    it is unset, a local session (tests) gets a scratch folder; elsewhere that
+    is an error, as executors would not see each other's files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,6 +71,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     conf = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="trawl-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

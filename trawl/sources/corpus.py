@@ -15,6 +15,8 @@ JSON result files.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,13 +31,15 @@ DOC_SCHEMA = T.StructType([
     T.StructField("content", T.StringType(), True),
 ])
 RECORD_SEP = "\u0003"
+AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 
 def scan_corpus(spark: SparkSession, root: str, glob: str = "*.html") -> DataFrame:
     """(path, html) for every regular file below ``root`` matching ``glob``."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", glob).load(root))
-    html = TX.ensure_final_newline(F.decode(F.col("content"), "UTF-8"))
+    # bytes that are no UTF-8 become U+FFFD; one such page must not end the scan
+    html = TX.ensure_final_newline(F.make_valid_utf8(F.col("content").cast("string")))
     return files.select("path", html.alias("html"))
 
 
@@ -43,10 +47,10 @@ def corpus_documents(spark: SparkSession, root: str, url_head: str, glob: str =
     """(doc_id, path, title, url, content) for the accepted pages of a corpus
     directory; ids are dense and 0-based in path order."""
     files = scan_corpus(spark, root, glob)
-    root_norm = root.split(":", 1)[1] if root.startswith("file:") else root
-    root_norm = root_norm.rstrip("/") + "/"
-    rel = F.call_function("substring", F.col("path"),
-                          F.call_function("instr", F.col("path"), F.lit(root_norm)) + len(root_norm))
+    # paths come back with scheme and authority, however the root was given
+    root_norm = re.sub(AUTHORITY, "", root).rstrip("/") + "/"
+    place = F.regexp_replace("path", AUTHORITY, "")
+    rel = F.call_function("substring", place, F.call_function("instr", place, F.lit(root_norm)) + len(root_norm))
     title = TX.html_title("html")
     docs = (files.select("path", title.alias("title"), F.concat(F.lit(url_head), rel).alias("url"),
                          TX.html_body("html").alias("content"))
@@ -70,7 +74,8 @@ def read_docs(spark: SparkSession, path: str) -> DataFrame:
 
 def write_records(docs: DataFrame, path: str) -> None:
     """One ``title \\x03 url \\x03 content`` line per document."""
-    docs.select(F.concat_ws(RECORD_SEP, "title", "url", "content").alias("value")) \
+    docs.select(F.concat_ws(RECORD_SEP, *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "url", "content")])
+                .alias("value")) \
         .write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
@@ -78,7 +83,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(title, url, content) from delimited lines; empty fields are kept."""
     parts = F.split(F.col("value"), RECORD_SEP, -1)
     return (spark.read.option("lineSep", "\n").text(path)
-            .select(parts[0].alias("title"), parts[1].alias("url"), parts[2].alias("content")))
+            .select(*[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(("title", "url", "content"))]))
 
 
 def write_json_results(results_json: DataFrame, path: str) -> None:
@@ -89,10 +94,13 @@ def write_json_results(results_json: DataFrame, path: str) -> None:
 
 
 def request_query(url_col) -> "F.Column":
-    """The decoded ``query`` parameter of a request URL (null when absent)."""
+    """The decoded ``query`` parameter of a request URL (null when absent).  It
+    is also found in a URL with forbidden characters, and stays as it is when
+    its escapes are broken."""
     u = F.col(url_col) if isinstance(url_col, str) else url_col
-    raw = F.call_function("parse_url", u, F.lit("QUERY"), F.lit("query"))
-    return F.when(raw.isNotNull(), F.call_function("url_decode", raw))
+    loose = F.when(u.rlike(r"[?&]query="), F.regexp_extract(u, r"[?&]query=([^&#]*)", 1))
+    raw = F.coalesce(F.try_parse_url(u, F.lit("QUERY"), F.lit("query")), loose)
+    return F.when(raw.isNotNull(), F.coalesce(F.try_url_decode(raw), raw))
 
 
 def requests_with_query(requests: DataFrame, url_col: str = "url", id_col: str = "request_id") -> DataFrame:

@@ -20,11 +20,14 @@ def _paths(paths) -> list[str]:
 
 
 def _lines(spark: SparkSession, paths) -> DataFrame:
-    """(value, line_no) over one or more files, in file-list order."""
+    """(value, line_no) over one or more files, in file-list order (512 files at
+    most, each of up to 2^21 splits, so the numbers never meet)."""
     frames = []
+    if len(_paths(paths)) > 512:
+        raise ValueError("more than 512 dictionary files")
     for i, p in enumerate(_paths(paths)):
         frames.append(spark.read.text(p).select(
-            "value", (F.lit(i).cast("long") * (1 << 40) + F.monotonically_increasing_id()).alias("line_no")))
+            "value", (F.lit(i).cast("long") * (1 << 54) + F.monotonically_increasing_id()).alias("line_no")))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -54,12 +57,12 @@ def load_user_lexicon(spark: SparkSession, paths) -> DataFrame:
 
 def load_idf(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     """((word, idf), (n_lines)): two-column lines; malformed and empty lines
-    are skipped but still count in the average's denominator
+    are skipped but still count in the average's denominator; an unreadable number is 0
     (``keywords.idf_average(idf, n_lines)``)."""
     lines = _lines(spark, paths)
     parts = split_fields("value", " ")
     good = (lines.where((F.col("value") != "") & (F.size(parts) == 2))
-            .select(parts[0].alias("word"), parts[1].cast("double").alias("idf"), "line_no"))
+            .select(parts[0].alias("word"), F.coalesce(parts[1].try_cast("double"), F.lit(0.0)).alias("idf"), "line_no"))
     return good, lines.select(F.count(F.lit(1)).alias("n_lines"))
 
 
