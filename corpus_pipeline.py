@@ -2,6 +2,8 @@
 
 Each stage takes what its predecessor kept, written as Parquet in the shared
 folder and read again; all but the last return the columns of documents.
+
+Rows with a null doc_id go through all stages; near-dedup keeps each of them.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ from trawl.sources.tables import documents
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the perplexity band."""
-    kept = quality.verdicts(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    kept = quality.verdicts(docs).where("kept").select("doc_id", "text_key").distinct()
+    same = docs["doc_id"].eqNullSafe(kept["doc_id"]) & (F.xxhash64(docs["text"]) == kept["text_key"])
+    return docs.join(kept, same, "left_semi")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group."""
     kept = neardup.groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -244,6 +244,22 @@ def test_empty_tables(spark, empty):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_stages_keep_clean_rows_without_an_id(spark):
+    import corpus_pipeline as P
+    text = " ".join(f"word{i} of sentence" for i in range(60))
+    rows = [(None, text, "en", "a", len(text), 1, 2, 3), (1, text + " other end", "en", "b", 0, 1, 2, 3),
+            (1, "too short", "en", "b", 0, 1, 2, 3), (2, "same same " * 60, "en", "b", 0, 1, 2, 3)]
+    docs = spark.createDataFrame(rows, SCHEMA.replace("part int", "n_removed int").replace("salt int", "_gone int"))
+    good = P.quality_rules(spark, docs, "")
+    assert good.columns == docs.columns
+    # the rejected text of a repeated id goes, though another text of it stays
+    assert sorted((r.doc_id or 0, r.text) for r in good.collect()) == [(0, text), (1, text + " other end")]
+    left = P.line_dedup(spark, good, "")
+    assert left.columns == docs.columns and left.count() == 2
+    near = P.near_dedup(spark, left, "")
+    assert near.columns == docs.columns and near.count() == 2
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 

@@ -8,7 +8,8 @@ all but their first occurrence (smallest doc_id, then line number) go.
 A line counts if it has ``min_words`` words; others are always kept.  Lines are
 compared after trimming.  Null or empty text: kept as it is.  Null site: the
 site "".  Rows with a null doc_id are kept unchanged.  A doc_id that repeats:
-its rows are treated alike, each by its own text.
+its rows are treated alike, each by its own text.  An input column n_removed is
+replaced; any other extra column is kept.
 """
 
 from __future__ import annotations
@@ -52,17 +53,21 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 def dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with the text less its boilerplate lines, and n_removed."""
+    docs = docs.drop("n_removed")
+    mark = "_gone"
+    while mark in docs.columns:
+        mark += "_"
     lines = materialize(_lines(docs, site), "lines")
     bad = boilerplate(lines, min_sites).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     gone = (lines.withColumn("salt", salt("doc_id", SALTS)).join(bad, ["h", "salt"])
             .where("first.doc_id <> doc_id OR first.pos <> pos")
-            .groupBy("doc_id").agg(F.collect_set(F.struct("pos", "h")).alias("_gone")))
+            .groupBy("doc_id").agg(F.collect_set(F.struct("pos", "h")).alias(mark)))
     out = docs.join(gone, "doc_id", "left")
     kept = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("s"))),
-                    lambda x: ~F.array_contains(F.col("_gone"), F.struct(
+                    lambda x: ~F.array_contains(F.col(mark), F.struct(
                         x.pos.alias("pos"), F.xxhash64(F.trim(x.s)).alias("h"))))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
+    text = F.when(F.col(mark).isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(kept, lambda x: x.s), "\n"))
-    n = F.when(F.col("_gone").isNull(), 0).otherwise(F.size(F.split("text", "\n")) - F.size(kept)).cast("long")
-    return out.withColumn("n_removed", n).withColumn("text", text).drop("_gone") \
+    n = F.when(F.col(mark).isNull(), 0).otherwise(F.size(F.split("text", "\n")) - F.size(kept)).cast("long")
+    return out.withColumn("n_removed", n).withColumn("text", text).drop(mark) \
         .select(*[F.col(c) for c in docs.columns], "n_removed")

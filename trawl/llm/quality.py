@@ -152,7 +152,7 @@ def base_counts(text: str, hashes: WordHash) -> tuple:
 
 
 def scored(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """(doc_id, lang, counts, ppl_bin, log_ppl)."""
+    """(doc_id, lang, text_key, counts, log_ppl)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     hashes = WordHash()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -163,13 +163,14 @@ def scored(docs: DataFrame, model: KneserNey) -> DataFrame:
         g, own = trigrams(texts)
         size = np.bincount(own, minlength=len(texts))
         total = np.bincount(own, shared.value.log_p(g), minlength=len(texts)) if len(g) else size
-        return {"doc_id": b["doc_id"], "lang": b["lang"], **dict(zip(names, counts)),
+        return {"doc_id": b["doc_id"], "lang": b["lang"], "text_key": b["text_key"], **dict(zip(names, counts)),
                 "log_ppl": [-t / s if s else None for t, s in zip(total.tolist(), size.tolist())]}
 
     return arrow_map(
-        docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "coalesce(CAST(lang AS STRING), '') AS lang", "text"), fn,
-        "doc_id long, lang string, " + ", ".join(f"{c} long" for c in names) + ", log_ppl double",
-        pa.schema([("doc_id", pa.int64()), ("lang", pa.string())] + [(c, pa.int64()) for c in names]
+        docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "coalesce(CAST(lang AS STRING), '') AS lang", "xxhash64(text) AS text_key",
+                        "text"), fn,
+        "doc_id long, lang string, text_key long, " + ", ".join(f"{c} long" for c in names) + ", log_ppl double",
+        pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text_key", pa.int64())] + [(c, pa.int64()) for c in names]
                   + [("log_ppl", pa.float64())]), 512)
 
 
@@ -188,7 +189,8 @@ def bands(scores: DataFrame, fence: float = FENCE) -> DataFrame:
 
 
 def verdicts(docs: DataFrame, fence: float = FENCE) -> DataFrame:
-    """Counts, base_failed, log_ppl and kept of every document."""
+    """Counts, base_failed, log_ppl, text_key (xxhash64 of the text) and kept of
+    every document."""
     s = materialize(scored(docs, trained(docs)), "quality")
     out = hot_join(s, bands(s, fence), "lang", "doc_id", "left")
     bad = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -196,4 +198,4 @@ def verdicts(docs: DataFrame, fence: float = FENCE) -> DataFrame:
     inside = F.coalesce(F.col("log_ppl").between(F.col("q1") - width, F.col("q3") + width), F.lit(True))
     return out.withColumn("base_failed", bad).withColumn("kept", ~bad & inside) \
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                "base_failed", "kept", "log_ppl")
+                "base_failed", "kept", "log_ppl", "text_key")
