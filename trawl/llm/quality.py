@@ -1,17 +1,19 @@
 """Quality rules: base counts and n-gram perplexity bands per language.
 
-The model is an interpolated modified Kneser-Ney model of character 3-grams.
-A character is one of 256 classes (ASCII as it is, others hashed to 128..255),
-so an n-gram packs without collision into 24 bits: the model has at most 2^24
-rows however large the corpus, which bounds its broadcast.  Word n-grams have
-no such bound.  Spark counts the n-grams over all documents; the tables are
-sorted key arrays searched by binary search.
-
-Each document's mean log-probability per character goes to a histogram per
-language; quartiles of the counts over all documents give the band
-``[Q1 - FENCE * IQR, Q3 + FENCE * IQR]``.  Outside it, a document is rejected.
-The mean of a short text varies more, so the band is widened on both sides by
-``sqrt(1 + SHORT / characters)``, the growth of a sampling error.
+The model is an interpolated modified Kneser-Ney model of character 5-grams,
+one per language, over whole code points.  An n-gram is a binary of three bytes
+a character, so prefixes and suffixes are substrings of it.  Counts, counts of
+counts, continuation counts, back-off weights and probabilities are Spark
+aggregations and joins; nothing of the model is collected or broadcast.
+
+Documents are packed into chunks of CHUNK characters at most.  A chunk sends
+each of its distinct n-grams once, the model's probabilities of just these
+come back to it, and its documents are scored by binary search in them.
+
+A document's perplexity is per word.  Quartiles over all documents give the
+band of a language, ``[Q1 - FENCE * IQR, Q3 + FENCE * IQR]``; outside it, a
+document is rejected.  The mean of a short text varies more, so the band is
+widened on both sides by ``sqrt(1 + SHORT / characters)``.
 
 Null or empty text: no words, all counts 0, no perplexity, base_failed.
 Null lang: the language "".  Null or repeated ids: each row by itself.
@@ -19,19 +21,32 @@ Null lang: the language "".  Null or repeated ids: each row by itself.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import WordHash, arrow_map, hot_join, rolling
-from trawl.session import materialize
+from trawl.llm.common import WordHash, hot_join, rolling
+from trawl.session import bounded_broadcast, materialize
 
 FENCE = 4.0
 SHORT = 1500  # characters at which sampling error and spread between texts count alike
 MIN_WORDS = 50
 BIN = 100  # histogram bins per nat
-LOW_BIN, HIGH_BIN = 0, 2000
+LOW_BIN, HIGH_BIN = 0, 100_000
+LEAST_IQR = 10  # bins
+
+ORDER = 5
+CHUNK = 1 << 25  # characters
+PART = 1 << 21  # characters decoded at a time
+WIDTH = 3  # bytes of a character in an n-gram
+BITS = 12  # of a character's number in a packed n-gram, which has 60 bits
+PAD = 0x10FFFF  # stands before a text; not a character
 
 
 def classes(text: str) -> np.ndarray:
@@ -55,20 +70,6 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat[at - 2] << 16 | flat[at - 1] << 8 | flat[at], own[at]
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(g, n): 3-gram counts over all texts."""
-    def run(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                g, _ = trigrams([t or "" for t in batch.slice(k, 512).column(0).to_pylist()])
-                if len(g):
-                    keys, n = np.unique(g.astype(np.int32), return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"g": keys, "n": n.astype(np.int64)},
-                                                     schema=pa.schema([("g", pa.int32()), ("n", pa.int64())]))
-
-    return docs.select("text").mapInArrow(run, "g int, n long").groupBy("g").agg(F.sum("n").alias("n"))
-
-
 def _discounts(n: np.ndarray) -> np.ndarray:
     """Modified Kneser-Ney discounts D1, D2, D3+ from counts of counts."""
     n1, n2, n3, n4 = ((n == i).sum() for i in (1, 2, 3, 4))
@@ -79,7 +80,7 @@ def _discounts(n: np.ndarray) -> np.ndarray:
 
 
 class KneserNey:
-    """Log-probabilities in sorted arrays: 3-grams, 2-grams, and back-off weights."""
+    """A small model of folded 3-grams in memory; ``verdicts`` does not use it."""
 
     def __init__(self, g: np.ndarray, n: np.ndarray):
         order = np.argsort(g)
@@ -122,12 +123,6 @@ class KneserNey:
         return np.log(p)[inv]
 
 
-def trained(docs: DataFrame) -> KneserNey:
-    """The model of all documents (at most 2^24 rows)."""
-    t = materialize(counted(docs), "trigrams").toPandas()
-    return KneserNey(t["g"].to_numpy(np.int64), t["n"].to_numpy(np.int64))
-
-
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 
 
@@ -151,27 +146,268 @@ def base_counts(text: str, hashes: WordHash) -> tuple:
     return n, chars, symbols, len(lines) - len(set(lines)), repeat
 
 
-def scored(docs: DataFrame, model: KneserNey) -> DataFrame:
+class Alphabet:
+    """Numbers for the code points seen by a task, below 2^BITS."""
+
+    def __init__(self):
+        self.ids = np.full(PAD + 1, -1, np.int16)
+        self.cps = np.zeros(0, np.int64)
+        self.add(np.array([PAD]))
+
+    def add(self, cps: np.ndarray) -> bool:
+        """Numbers new code points, if all of them find room."""
+        new = np.unique(cps[self.ids[cps] < 0])
+        if len(self.cps) + len(new) > 1 << BITS:
+            return False
+        self.ids[new] = np.arange(len(self.cps), len(self.cps) + len(new))
+        self.cps = np.concatenate([self.cps, new])
+        return True
+
+    def packed(self, flat: np.ndarray) -> np.ndarray:
+        """The n-gram that ends at each place from ORDER - 1 on."""
+        ids = self.ids[flat].astype(np.int64)
+        n = len(ids) - ORDER + 1
+        out = ids[:n].copy()
+        for i in range(1, ORDER):
+            out <<= BITS
+            out |= ids[i:n + i]
+        return out
+
+    def unpacked(self, keys: np.ndarray) -> np.ndarray:
+        shifts = BITS * np.arange(ORDER - 1, -1, -1)
+        return self.cps[keys[:, None] >> shifts & (1 << BITS) - 1]
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+
+
+def padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts one after another, ORDER - 1 PADs before each, and where an
+    n-gram ends in a character of a text, from place ORDER - 1 on."""
+    pad = np.full(ORDER - 1, PAD, np.int64)
+    cps = [code_points(t) for t in texts]
+    flat = np.concatenate([x for c in cps for x in (pad, c)])
+    own = np.repeat(np.arange(len(cps)), [len(c) + ORDER - 1 for c in cps])
+    first = np.concatenate([[0], np.cumsum([len(c) + ORDER - 1 for c in cps])[:-1]])
+    own[(first[:, None] + np.arange(ORDER - 1)).ravel()] = -1
+    return flat, own[ORDER - 1:]
+
+
+def to_bytes(cps: np.ndarray) -> pa.Array:
+    """Rows of ORDER code points as binaries."""
+    raw = np.ascontiguousarray(cps.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - WIDTH:])
+    at = np.arange(len(cps) + 1, dtype=np.int32) * (ORDER * WIDTH)
+    return pa.Array.from_buffers(pa.binary(), len(cps), [None, pa.py_buffer(at), pa.py_buffer(raw)])
+
+
+def from_bytes(grams: pa.ChunkedArray) -> np.ndarray:
+    raw = np.frombuffer(b"".join(grams.to_pylist()), np.uint8).reshape(-1, WIDTH).astype(np.int64)
+    return (raw[:, 0] << 16 | raw[:, 1] << 8 | raw[:, 2]).reshape(-1, ORDER)
+
+
+DOC = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text_key", pa.int64()), ("text", pa.string())])
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(chunk, body): documents as compressed Arrow batches of PART characters or
+    one document.  A task begins a new chunk after CHUNK characters."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, room = TaskContext.get().partitionId() << 32, CHUNK
+        for batch in batches:
+            sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = 0
+            while at < len(sizes):
+                n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), PART, "right")))
+                size = int(sizes[at:at + n].sum())
+                if size > room and room < CHUNK:
+                    chunk, room = chunk + 1, CHUNK
+                room -= size
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, DOC, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_table(pa.Table.from_batches([batch.slice(at, n)]).cast(DOC))
+                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "body": [sink.getvalue().to_pybytes()]})
+                at += n
+
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-chars // CHUNK))
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "coalesce(CAST(lang AS STRING), '') AS lang",
+                           "xxhash64(text) AS text_key", "text").coalesce(tasks) \
+        .mapInArrow(run, "chunk long, body binary")
+
+
+def unpack(body: bytes) -> dict:
+    return pa.ipc.open_stream(body).read_all().to_pydict()
+
+
+def by_lang(b: dict) -> dict[str, list[int]]:
+    out = defaultdict(list)
+    for i, (lang, t) in enumerate(zip(b["lang"], b["text"])):
+        if t:
+            out[lang].append(i)
+    return out
+
+
+GRAMS = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("g", pa.binary()), ("n", pa.int64())])
+
+
+class Tally:
+    """n-gram counts of a chunk by language."""
+
+    def __init__(self):
+        self.alphabet, self.found = Alphabet(), defaultdict(list)
+
+    def add(self, lang: str, texts: list[str]) -> Iterator[tuple]:
+        flat, own = padded(texts)
+        if not self.alphabet.add(flat):
+            yield from self.flush()
+            self.alphabet = Alphabet()
+            if not self.alphabet.add(flat):  # more code points than have numbers
+                if len(texts) > 1:
+                    yield from self.add(lang, texts[:len(texts) // 2])
+                    yield from self.add(lang, texts[len(texts) // 2:])
+                else:
+                    t = chr(PAD) * (ORDER - 1) + texts[0]
+                    c = Counter(t[i:i + ORDER] for i in range(len(texts[0])))
+                    yield lang, np.array([code_points(g) for g in c]), np.fromiter(c.values(), np.int64)
+                return
+        keys = np.sort(self.alphabet.packed(flat)[own >= 0])
+        self.found[lang].append(self.counted(keys, np.ones(len(keys), np.int64)))
+        if len(self.found[lang]) >= 8:
+            self.merge(lang)
+
+    @staticmethod
+    def counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[first], np.add.reduceat(n, first)
+
+    def merge(self, lang: str) -> None:
+        keys, n = map(np.concatenate, zip(*self.found[lang]))
+        order = np.argsort(keys, kind="stable")
+        self.found[lang] = [self.counted(keys[order], n[order])]
+
+    def flush(self) -> Iterator[tuple]:
+        for lang in self.found:
+            self.merge(lang)
+            keys, n = self.found[lang][0]
+            yield lang, self.alphabet.unpacked(keys), n
+        self.found.clear()
+
+
+def counted(chunks: DataFrame) -> DataFrame:
+    """(chunk, lang, g, n): a chunk's n-gram counts, in parts where its rows are
+    read by several tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(found):
+            for lang, cps, n in found:
+                for k in range(0, len(n), 50_000):
+                    m = len(n[k:k + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.array([now] * m, pa.int64()), pa.array([lang] * m, pa.string()),
+                                                      to_bytes(cps[k:k + m]), pa.array(n[k:k + m])], schema=GRAMS)
+
+        tally, now = Tally(), None
+        for batch in batches:
+            for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body")):
+                if chunk != now:
+                    yield from rows(tally.flush())
+                    now = chunk
+                b = unpack(body.as_py())
+                for lang, at in by_lang(b).items():
+                    yield from rows(tally.add(lang, [b["text"][i] for i in at]))
+        yield from rows(tally.flush())
+
+    return chunks.mapInArrow(run, "chunk long, lang string, g binary, n long")
+
+
+def probabilities(grams: DataFrame) -> DataFrame:
+    """(lang, g, log_p) of all n-grams, from counts (lang, g, n)."""
+    levels = {ORDER: materialize(grams.groupBy("lang", "g").agg(F.sum("n").alias("n")), f"grams_{ORDER}")}
+    for k in range(ORDER - 1, 0, -1):  # how many n-grams of one character more end in g
+        levels[k] = materialize(levels[k + 1].groupBy("lang", F.substring("g", WIDTH + 1, k * WIDTH).alias("g"))
+                                .agg(F.count(F.lit(1)).alias("n")), f"grams_{k}")
+    size = levels[1].groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("size"))
+    size = materialize(size, "alphabets")
+    langs = size.count()
+    p = levels[1].join(bounded_broadcast(size, langs, 200), "lang") \
+        .selectExpr("lang", "g", "(n + 0.5D) / (total + 0.5D * size) AS p")
+    for k in range(2, ORDER + 1):
+        seen = levels[k].groupBy("lang").agg(*[F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
+        y = "n1 / nullif(n1 + 2 * n2, 0)"
+        whole = "n1 > 0 AND n2 > 0 AND n3 > 0 AND n4 > 0"
+        d = materialize(seen.selectExpr("lang", *[
+            f"CASE WHEN {whole} THEN greatest(0D, least({i}D, {i} - {i + 1} * {y} * n{i + 1} / nullif(n{i}, 0))) ELSE {e}D END AS d{i}"
+            for i, e in ((1, 0.5), (2, 0.75), (3, 0.9))]), f"discounts_{k}")
+        d = bounded_broadcast(d, langs, 200)
+        rows = levels[k].join(d, "lang").selectExpr(
+            "lang", "g", "n", "CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS d",
+            f"substring(g, 1, {(k - 1) * WIDTH}) AS before", f"substring(g, {WIDTH + 1}, {(k - 1) * WIDTH}) AS tail")
+        # sums of few distinct values times counts, so that their order does not matter
+        back = rows.groupBy("lang", "before").agg(
+            F.sum("n").alias("total"), *[F.count_if(F.expr(c)).alias(a) for a, c in
+                                         (("k1", "n = 1"), ("k2", "n = 2"), ("k3", "n > 2"))])
+        back = back.join(d, "lang").selectExpr("lang", "before", "total", "(k1 * d1 + k2 * d2 + k3 * d3) / total AS back")
+        p = rows.join(back, ["lang", "before"]).join(p.withColumnsRenamed({"g": "tail", "p": "lower"}), ["lang", "tail"]) \
+            .selectExpr("lang", "g", "(n - d) / total + back * lower AS p")
+    return p.selectExpr("lang", "g", "ln(p) AS log_p")
+
+
+class Scorer:
+    """Log-probabilities of one language's texts from the n-grams of their chunk,
+    whose languages share an alphabet."""
+
+    def __init__(self, alphabet: Alphabet, cps: np.ndarray, log_p: np.ndarray):
+        self.alphabet, self.exact = alphabet, None
+        if self.alphabet.add(cps.ravel()):
+            keys = self.alphabet.packed(cps.ravel())[::ORDER]
+            order = np.argsort(keys)
+            self.keys, self.log_p = keys[order], log_p[order]
+        else:
+            self.exact = dict(zip(("".join(map(chr, g)) for g in cps.tolist()), log_p.tolist()))
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        """The sum of each text."""
+        if self.exact is not None:
+            ts = [chr(PAD) * (ORDER - 1) + t for t in texts]
+            return np.array([sum(self.exact[t[i:i + ORDER]] for i in range(len(t) - ORDER + 1)) for t in ts])
+        flat, own = padded(texts)
+        keys = self.alphabet.packed(flat)[own >= 0]
+        return np.bincount(own[own >= 0], self.log_p[np.searchsorted(self.keys, keys)], len(texts))
+
+
+SCORES = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text_key", pa.int64())]
+                   + [(c, pa.int64()) for c in COUNTS] + [("log_ppl", pa.float64())])
+
+
+def scored(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, text_key, counts, log_ppl)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    hashes = WordHash()
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-
-    def fn(b):
-        texts = [t or "" for t in b["text"]]
-        counts = list(zip(*[base_counts(t, hashes) for t in texts]))
-        g, own = trigrams(texts)
-        size = np.bincount(own, minlength=len(texts))
-        total = np.bincount(own, shared.value.log_p(g), minlength=len(texts)) if len(g) else size
-        return {"doc_id": b["doc_id"], "lang": b["lang"], "text_key": b["text_key"], **dict(zip(names, counts)),
-                "log_ppl": [-t / s if s else None for t, s in zip(total.tolist(), size.tolist())]}
-
-    return arrow_map(
-        docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "coalesce(CAST(lang AS STRING), '') AS lang", "xxhash64(text) AS text_key",
-                        "text"), fn,
-        "doc_id long, lang string, text_key long, " + ", ".join(f"{c} long" for c in names) + ", log_ppl double",
-        pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text_key", pa.int64())] + [(c, pa.int64()) for c in names]
-                  + [("log_ppl", pa.float64())]), 512)
+    chunks = materialize(packed(docs), "chunks")
+    grams = materialize(counted(chunks), "grams")
+    model = grams.select("chunk", "lang", "g").join(probabilities(grams), ["lang", "g"])
+
+    def fn(left: pa.Table, right: pa.Table) -> pa.Table:
+        hashes, alphabet, out = WordHash(), Alphabet(), [SCORES.empty_table()]
+        langs, scorers = pa.concat_arrays([pa.array([], pa.string()), *right.column("lang").chunks]).dictionary_encode(), {}
+        cps, log_p = from_bytes(right.column("g")), right.column("log_p").to_numpy()
+        which = langs.indices.to_numpy()
+        for i, lang in enumerate(langs.dictionary.to_pylist()):
+            scorers[lang] = Scorer(alphabet, cps[which == i], log_p[which == i])
+        for body in left.column("body"):
+            b = unpack(body.as_py())
+            counts = dict(zip(COUNTS, zip(*[base_counts(t or "", hashes) for t in b["text"]])))
+            total = np.zeros(len(b["text"]))
+            for lang, at in by_lang(b).items():
+                total[at] = scorers[lang]([b["text"][i] for i in at])
+            ppl = [-t / n if n else None for t, n in zip(total.tolist(), counts["n_words"])]
+            out.append(pa.Table.from_pydict({"doc_id": b["doc_id"], "lang": b["lang"], "text_key": b["text_key"],
+                                             **counts, "log_ppl": ppl}, schema=SCORES))
+        return pa.concat_tables(out)
+
+    return chunks.groupBy("chunk").cogroup(model.groupBy("chunk")).applyInArrow(
+        fn, "doc_id long, lang string, text_key long, " + ", ".join(f"{c} long" for c in COUNTS) + ", log_ppl double")
+
+
+BASE_FAILED = f"(n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words)"
 
 
 def bands(scores: DataFrame, fence: float = FENCE) -> DataFrame:
@@ -183,19 +419,18 @@ def bands(scores: DataFrame, fence: float = FENCE) -> DataFrame:
     q = run.groupBy("lang").agg(
         F.min(F.when(F.col("upto") * 4 >= F.col("all"), F.col("b"))).alias("q1"),
         F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("b"))).alias("q3"))
-    iqr = F.greatest(F.col("q3") - F.col("q1"), F.lit(2))
+    iqr = F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_IQR))
     return q.select("lang", (F.col("q1") / BIN).alias("q1"), ((F.col("q3") + 1) / BIN).alias("q3"),
                     (fence * iqr / BIN).alias("width"))
 
 
 def verdicts(docs: DataFrame, fence: float = FENCE) -> DataFrame:
-    """Counts, base_failed, log_ppl, text_key (xxhash64 of the text) and kept of
-    every document."""
-    s = materialize(scored(docs, trained(docs)), "quality")
+    """Counts, base_failed, log_ppl (nats a word), text_key (xxhash64 of the text)
+    and kept of every document."""
+    s = materialize(scored(docs), "quality")
     out = hot_join(s, bands(s, fence), "lang", "doc_id", "left")
-    bad = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     width = F.col("width") * F.sqrt(1 + SHORT / F.greatest(F.col("word_chars"), F.lit(1)))
     inside = F.coalesce(F.col("log_ppl").between(F.col("q1") - width, F.col("q3") + width), F.lit(True))
-    return out.withColumn("base_failed", bad).withColumn("kept", ~bad & inside) \
+    return out.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & inside) \
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                 "base_failed", "kept", "log_ppl", "text_key")
