@@ -68,3 +68,22 @@ def test_no_characters_share_a_class_and_the_model_grows():
 
     han = [chr(0x4E00 + i) for i in range(3000)]
     assert distinct(["".join(han)]) == 3000 and distinct(["".join(han), "".join(han[::-1])]) == 6000
+
+
+def test_symbol_laden_texts_are_rejected_and_plain_ones_stay(spark):
+    rng = np.random.default_rng(1)
+    vocab = [words(rng, "etaoinshrdlu", 1) for _ in range(3000)]
+    plain = [" ".join(rng.choice(vocab, 150)) for _ in range(300)]
+    junk = [" ".join(w + rng.choice(["###", "%%%", "***", "&&&"]) for w in rng.choice(vocab, 150)) for _ in range(15)]
+    rows = [(i, t, "en") for i, t in enumerate(plain + junk)]
+    got = quality.verdicts(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert not any(r.base_failed for r in got)
+    assert not [r.doc_id for r in got if r.doc_id >= 300 and r.kept]
+    assert sum(r.kept for r in got if r.doc_id < 300) >= 297
+
+
+def test_base_failures_do_not_widen_the_band(spark):
+    rows = [("en", 60, 0, 9.0 + i / 100) for i in range(100)] + [("en", 3, 0, 40.0 + i) for i in range(100)]
+    s = spark.createDataFrame(rows, "lang string, n_words long, n_repeat_words long, log_ppl double")
+    band = quality.bands(s).first()
+    assert 7 < band.least < 9 and 10 < band.most < 13

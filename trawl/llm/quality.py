@@ -10,10 +10,10 @@ Documents are packed into chunks of CHUNK characters at most.  A chunk sends
 each of its distinct n-grams once, the model's probabilities of just these
 come back to it, and its documents are scored by binary search in them.
 
-A document's perplexity is per word.  Quartiles over all documents give the
-band of a language, ``[Q1 - FENCE * IQR, Q3 + FENCE * IQR]``; outside it, a
-document is rejected.  The mean of a short text varies more, so the band is
-widened on both sides by ``sqrt(1 + SHORT / characters)``.
+A document's perplexity is per word.  Quartiles over the documents that pass
+the base rules give the band of a language, ``[Q1 - LOW * IQR, Q3 + HIGH *
+IQR]``; outside it, a document is rejected.  Quartiles of ``n`` documents are
+uncertain, so both widths grow by ``sqrt(1 + FEW / n)``.
 
 Null or empty text: no words, all counts 0, no perplexity, base_failed.
 Null lang: the language "".  Null or repeated ids: each row by itself.
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from trawl.llm.common import WordHash, hot_join, rolling
 from trawl.session import bounded_broadcast, materialize
 
-FENCE = 4.0
-SHORT = 1500  # characters at which sampling error and spread between texts count alike
+LOW, HIGH = 2.5, 3.0  # chosen on the labelled documents of sf0.1
+FEW = 30
 MIN_WORDS = 50
 BIN = 100  # histogram bins per nat
 LOW_BIN, HIGH_BIN = 0, 100_000
@@ -410,27 +410,28 @@ def scored(docs: DataFrame) -> DataFrame:
 BASE_FAILED = f"(n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words)"
 
 
-def bands(scores: DataFrame, fence: float = FENCE) -> DataFrame:
-    """(lang, q1, q3, width) from exact quartiles of the binned log-perplexities."""
+def bands(scores: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """(lang, least, most) from exact quartiles of the binned log-perplexities of
+    the documents that pass the base rules."""
     b = F.greatest(F.lit(LOW_BIN), F.least(F.lit(HIGH_BIN), F.floor(F.col("log_ppl") * BIN)))
-    hist = scores.where("log_ppl IS NOT NULL").groupBy("lang", b.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    hist = scores.where(f"log_ppl IS NOT NULL AND NOT {BASE_FAILED}").groupBy("lang", b.alias("b")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("lang")
     run = hist.withColumn("upto", F.sum("n").over(w.orderBy("b"))).withColumn("all", F.sum("n").over(w))
     q = run.groupBy("lang").agg(
+        F.first("all").alias("n"),
         F.min(F.when(F.col("upto") * 4 >= F.col("all"), F.col("b"))).alias("q1"),
         F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("b"))).alias("q3"))
-    iqr = F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_IQR))
-    return q.select("lang", (F.col("q1") / BIN).alias("q1"), ((F.col("q3") + 1) / BIN).alias("q3"),
-                    (fence * iqr / BIN).alias("width"))
+    width = F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_IQR)) * F.sqrt(1 + FEW / F.col("n"))
+    return q.select("lang", ((F.col("q1") - low * width) / BIN).alias("least"),
+                    ((F.col("q3") + 1 + high * width) / BIN).alias("most"))
 
 
-def verdicts(docs: DataFrame, fence: float = FENCE) -> DataFrame:
+def verdicts(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """Counts, base_failed, log_ppl (nats a word), text_key (xxhash64 of the text)
     and kept of every document."""
     s = materialize(scored(docs), "quality")
-    out = hot_join(s, bands(s, fence), "lang", "doc_id", "left")
-    width = F.col("width") * F.sqrt(1 + SHORT / F.greatest(F.col("word_chars"), F.lit(1)))
-    inside = F.coalesce(F.col("log_ppl").between(F.col("q1") - width, F.col("q3") + width), F.lit(True))
+    out = hot_join(s, bands(s, low, high), "lang", "doc_id", "left")
+    inside = F.coalesce(F.col("log_ppl").between(F.col("least"), F.col("most")), F.lit(True))
     return out.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & inside) \
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                 "base_failed", "kept", "log_ppl", "text_key")
