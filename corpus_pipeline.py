@@ -27,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without cross-site boilerplate; one that loses all its words
     (each line is elsewhere) goes."""
-    out = lines.dedup(docs)
+    out = lines.dedup(docs, short_chars=lines.SHORT_CHARS)
     return (out.where(r"n_removed = 0 OR text RLIKE '[^\\x20\\x09-\\x0D]'")
             .withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars"))
                         .otherwise(F.length("text")).cast("long")).select(docs.columns))
