@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.llm.common import WordHash, hot_join, rolling
-from trawl.session import bounded_broadcast, materialize
+from trawl.session import bounded_broadcast, materialize, scratch_path
 
 LOW, HIGH = 2.5, 3.0  # chosen on the labelled documents of sf0.1
 FEW = 30
@@ -42,7 +42,8 @@ LOW_BIN, HIGH_BIN = 0, 100_000
 LEAST_IQR = 10  # bins
 
 ORDER = 5
-CHUNK = 1 << 25  # characters
+CHUNK = 1 << 26  # characters
+MOST_BUCKETS = 50_000
 PART = 1 << 21  # characters decoded at a time
 WIDTH = 3  # bytes of a character in an n-gram
 BITS = 12  # of a character's number in a packed n-gram, which has 60 bits
@@ -210,9 +211,10 @@ DOC = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text_key", pa.
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame) -> tuple[DataFrame, int]:
     """(chunk, body): documents as compressed Arrow batches of PART characters or
-    one document.  A task begins a new chunk after CHUNK characters."""
+    one document, and about how many chunks there are.  A task begins a new chunk
+    after CHUNK characters."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, room = TaskContext.get().partitionId() << 32, CHUNK
         for batch in batches:
@@ -232,9 +234,18 @@ def packed(docs: DataFrame) -> DataFrame:
 
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-chars // CHUNK))
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "coalesce(CAST(lang AS STRING), '') AS lang",
-                           "xxhash64(text) AS text_key", "text").coalesce(tasks) \
-        .mapInArrow(run, "chunk long, body binary")
+    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "coalesce(CAST(lang AS STRING), '') AS lang",
+                           "xxhash64(text) AS text_key", "text").coalesce(tasks)
+    return rows.mapInArrow(run, "chunk long, body binary"), tasks
+
+
+def bucketed(df: DataFrame, key: str, n: int) -> tuple[DataFrame, str]:
+    """``df`` written in ``n`` buckets of ``key``, so that grouping by it moves no
+    rows, and the table's name; the caller drops the table."""
+    path = scratch_path(df.sparkSession, "buckets")
+    name = "trawl_" + path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name), name
 
 
 def unpack(body: bytes) -> dict:
@@ -381,7 +392,8 @@ SCORES = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text_key",
 
 def scored(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, text_key, counts, log_ppl)."""
-    chunks = materialize(packed(docs), "chunks")
+    rows, n = packed(docs)
+    chunks, table = bucketed(rows, "chunk", min(4 * n, MOST_BUCKETS))
     grams = materialize(counted(chunks), "grams")
     model = grams.select("chunk", "lang", "g").join(probabilities(grams), ["lang", "g"])
 
@@ -403,8 +415,10 @@ def scored(docs: DataFrame) -> DataFrame:
                                              **counts, "log_ppl": ppl}, schema=SCORES))
         return pa.concat_tables(out)
 
-    return chunks.groupBy("chunk").cogroup(model.groupBy("chunk")).applyInArrow(
-        fn, "doc_id long, lang string, text_key long, " + ", ".join(f"{c} long" for c in COUNTS) + ", log_ppl double")
+    out = materialize(chunks.groupBy("chunk").cogroup(model.groupBy("chunk")).applyInArrow(
+        fn, "doc_id long, lang string, text_key long, " + ", ".join(f"{c} long" for c in COUNTS) + ", log_ppl double"), "quality")
+    docs.sparkSession.sql(f"DROP TABLE {table}")
+    return out
 
 
 BASE_FAILED = f"(n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words)"
@@ -429,7 +443,7 @@ def bands(scores: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
 def verdicts(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """Counts, base_failed, log_ppl (nats a word), text_key (xxhash64 of the text)
     and kept of every document."""
-    s = materialize(scored(docs), "quality")
+    s = scored(docs)
     out = hot_join(s, bands(s, low, high), "lang", "doc_id", "left")
     inside = F.coalesce(F.col("log_ppl").between(F.col("least"), F.col("most")), F.lit(True))
     return out.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & inside) \
