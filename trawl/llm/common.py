@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +34,24 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+_KEPT = {*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(128, 256)}
+FOLD = bytes(b if b in _KEPT else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+_BREAK = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
+
+
+def word_parts(raw: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Words of a UTF-8 text: runs of ASCII letters, digits and non-ASCII
+    characters, A-Z lower-cased; in parts of about ``size`` bytes."""
+    at = 0
+    while at < len(raw):
+        end = at + size
+        if end < len(raw):
+            stop = _BREAK.search(raw, end)
+            end = stop.start() if stop else len(raw)
+        yield raw[at:end].translate(FOLD).split()
+        at = end
+
+
 class WordHash:
     """64-bit word hashes with a memory-bounded cache per task."""
 
