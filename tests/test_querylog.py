@@ -3,6 +3,8 @@
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from trawl.operators import querylog as QL
 
 from conftest import SF_SMALL
@@ -63,3 +65,40 @@ def test_stream_equals_batch_on_closed_sessions(spark):
     assert sorted(tuple(r) for r in stream.select(*cols).collect()) == \
         sorted(tuple(r) for r in closed.select(*cols).collect())
     assert stream.count() > 0
+
+
+def test_merged_stream_equals_batch_in_any_order_of_files(spark, tmp_path):
+    from trawl.streaming import cache_sessions as CS
+
+    rnd, events, t = random.Random(5), [], 0
+    for _ in range(600):
+        t += rnd.choice([5, 600, 1799, 1800, 1801, 4000])
+        events.append((t, rnd.choice([1, 1, 1, 2, None]), rnd.choice(["q", "q", None])))
+    keys = ["user_id", "event_type"]
+    ev = log_frame(spark, events).withColumn("ts", F.when(F.col("event_id") % 97 > 0, F.col("ts")))
+    cols = keys + ["session_start_us", "session_end_us", "lookups", "hits", "misses"]
+    want = sorted(map(str, map(tuple, QL.cache_sessions(ev, keys).select(*cols).collect())))
+    for name, file in (("late", (F.lit(11) - F.col("event_id") / 50).cast("int")), ("mixed", F.col("event_id") % 7),
+                       ("ordered", (F.col("event_id") / 100).cast("int"))):
+        path = str(tmp_path / name)
+        parts = ev.withColumn("f", file)
+        for f in sorted(r[0] for r in parts.select("f").distinct().collect()):
+            parts.where(F.col("f") == f).drop("f").coalesce(1).write.mode("append").parquet(path)
+        got = CS.run_merged(spark, path, keys, max_files_per_trigger=2)
+        assert sorted(map(str, map(tuple, got.select(*cols).collect()))) == want, name
+
+
+def test_merged_stream_of_no_rows(spark, tmp_path):
+    from trawl.streaming import cache_sessions as CS
+
+    log_frame(spark, [(0, 1, "q")]).limit(0).write.parquet(str(tmp_path / "none"))
+    assert CS.run_merged(spark, str(tmp_path / "none"), ["user_id"]).count() == 0
+
+
+def test_streams_leave_the_session_as_it_is(spark):
+    from trawl.streaming import cache_sessions as CS
+
+    option = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    before = spark.conf.get(option)
+    CS.run_available(spark, f"{SF_SMALL}/events.parquet", ["event_type"])
+    assert spark.conf.get(option) == before

@@ -89,11 +89,6 @@ def starts_with_lower_letter(col) -> Column:
     return (code >= 97) & (code <= 122)
 
 
-def index_words(tokens) -> Column:
-    """Tokens kept by the index, lower-cased: those starting with an ASCII letter."""
-    return F.transform(F.filter(_c(tokens), starts_with_ascii_letter), ascii_lower)
-
-
 def ensure_final_newline(col) -> Column:
     """Whole-file read that appends a newline to the last line if missing."""
     c = _c(col)

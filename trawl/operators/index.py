@@ -57,7 +57,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def postings_tf(docs: DataFrame) -> DataFrame:
     """(doc_id, word, cnt, n_tokens, tf) with cnt = 10 x title hits + body hits."""
-    wc = word_counts(docs)
+    return weighted_tf(word_counts(docs))
+
+
+def weighted_tf(wc: DataFrame) -> DataFrame:
+    """Word counts with cnt and tf."""
     cnt = F.col("title_hits") * T.TITLE_WEIGHT + F.col("body_hits") * T.BODY_WEIGHT
     return wc.select("doc_id", "word", cnt.alias("cnt"), "n_tokens",
                      (cnt / F.col("n_tokens")).alias("tf"))
@@ -74,18 +78,21 @@ def corpus_size(docs: DataFrame):
     return docs.select(F.count(F.lit(1))).scalar()
 
 
-def build_postings(docs: DataFrame, materialize_tf: bool = True) -> DataFrame:
+def build_postings(docs: DataFrame, materialize_tf: bool = True, tf: DataFrame | None = None,
+                   n_docs: int | None = None) -> DataFrame:
     """(word, doc_id, tf, idf, weight); idf = ln(N div df), weight = tf * idf.
+    ``tf``: the documents' counts, of run tokens unless given (``lexicon_index``);
+    ``n_docs``: N, where the pass that wrote the documents has counted them.
 
     The per-document counts feed both the df aggregate and the join, so they
     are written once to the shared checkpoint folder (``materialize_tf``)
     instead of tokenizing the corpus twice.
     """
-    tf = postings_tf(docs)
+    tf = postings_tf(docs) if tf is None else tf
     if materialize_tf:
         tf = materialize(tf, "postings_tf")
     df = doc_frequency(tf)
-    n_docs = corpus_size(docs)
+    n_docs = corpus_size(docs) if n_docs is None else F.lit(n_docs).cast("long")
     joined = tf.join(df, "word").withColumn("n_docs", n_docs)
     idf = F.ln(F.expr("n_docs div df").cast("double"))
     return joined.select("word", "doc_id", "tf", idf.alias("idf"),

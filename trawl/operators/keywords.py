@@ -30,10 +30,11 @@ STOP_ROW_BYTES = 64
 
 # ------------------------------------------------------------------ inputs
 
-def build_idf(docs: DataFrame) -> DataFrame:
-    """(word, idf) from a corpus: idf = ln(N div df) over the index words."""
+def build_idf(docs: DataFrame, n_docs: int | None = None) -> DataFrame:
+    """(word, idf) from a corpus: idf = ln(N div df) over the index words; ``n_docs``
+    as in ``index.build_postings``."""
     df = doc_frequency(postings_tf(docs))
-    return (df.withColumn("n_docs", corpus_size(docs))
+    return (df.withColumn("n_docs", corpus_size(docs) if n_docs is None else F.lit(n_docs).cast("long"))
             .select("word", F.ln(F.expr("n_docs div df").cast("double")).alias("idf")))
 
 
@@ -101,7 +102,11 @@ def keyword_tokens(docs: DataFrame, stop: DataFrame, n_stop: int | None = None,
     longer than one character, so the candidates come from the run regex.
     """
     src = docs if partitioned else by_document(docs.select(id_col, text_col), id_col)
-    toks = run_offsets(src, text_col, id_col)
+    return without_stop(run_offsets(src, text_col, id_col), stop, n_stop)
+
+
+def without_stop(toks: DataFrame, stop: DataFrame, n_stop: int | None = None) -> DataFrame:
+    """Tokens of two code points or more that are no stop words."""
     if n_stop is None:
         stop = materialize(stop.select("word"), "stop_words")
         n_stop = stop.count()
@@ -128,13 +133,14 @@ def top_n(scored: DataFrame, n: int) -> DataFrame:
 
 def extract_keywords(docs: DataFrame, idf: DataFrame, stop: DataFrame, n: int = 5,
                      text_col: str = "text", id_col: str = "doc_id",
-                     idf_avg=None) -> DataFrame:
+                     idf_avg=None, tokens: DataFrame | None = None) -> DataFrame:
     """(doc_id, rank, word, offsets, weight): weight = count x idf, with the
-    average idf for words missing from the table."""
+    average idf for words missing from the table.  ``tokens`` (doc_id, pos, word,
+    offset) from a lexicon cut take the place of the run tokens."""
     # the IDF table is read four times (size check, broadcast, sum and count
     # of the average): written once, the corpus behind it is scanned once
     idf = materialize(idf.select("word", "idf"), "idf")
-    kept = keyword_tokens(docs, stop, None, text_col, id_col)
+    kept = keyword_tokens(docs, stop, None, text_col, id_col) if tokens is None else without_stop(tokens, stop)
     counts = term_counts(kept)
     n_idf = idf.count()
     idf_b = bounded_broadcast(idf.select("word", "idf"), n_idf, IDF_ROW_BYTES)
@@ -166,21 +172,6 @@ def cooccurrence_edges(kept: DataFrame, span: int = SPAN) -> DataFrame:
             .agg(F.count(F.lit(1)).cast("double").alias("weight")))
 
 
-def undirected_pairs(kept: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, lo, hi, n): co-occurrence counts of unordered word pairs.
-
-    The directed weights follow: w(lo, hi) = w(hi, lo) = n for lo != hi, and
-    w(a, a) = 2n.  Half the rows of ``cooccurrence_edges``.
-    """
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    partners = F.array(*[F.lead("word", d).over(w) for d in range(1, span)])
-    pairs = (kept.select("doc_id", F.col("word").alias("a"), partners.alias("ps"))
-             .select("doc_id", "a", F.explode("ps").alias("b"))
-             .where(F.col("b").isNotNull()))
-    return (pairs.groupBy("doc_id", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-            .agg(F.count(F.lit(1)).cast("double").alias("n")))
-
-
 _RANK_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("rank", T.IntegerType()),
@@ -267,15 +258,6 @@ def rank_graph(nodes, edges, rounds: int = RANK_ROUNDS, d: float = DAMPING) -> d
     return dict(zip(sub.keys(), norm))
 
 
-_RANK_SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("rank", T.IntegerType()),
-    T.StructField("word", T.StringType()),
-    T.StructField("offsets", T.ArrayType(T.LongType())),
-    T.StructField("weight", T.DoubleType()),
-])
-
-
 def _textrank_batches(n: int, rounds: int, d: float):
     def fn(batches):
         for pdf in batches:
@@ -315,8 +297,9 @@ def _textrank_batches(n: int, rounds: int, d: float):
 
 def textrank_keywords(docs: DataFrame, stop: DataFrame, n: int = 5, span: int = SPAN,
                       rounds: int = RANK_ROUNDS, text_col: str = "text",
-                      id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, rank, word, offsets, weight) by TextRank.
+                      id_col: str = "doc_id", tokens: DataFrame | None = None) -> DataFrame:
+    """(doc_id, rank, word, offsets, weight) by TextRank; ``tokens`` as in
+    ``extract_keywords``.
 
     Edges and per-word offsets are built natively in one pass and packed
     into one row per document (``packed_graphs``: document-local aggregates,
@@ -324,7 +307,7 @@ def textrank_keywords(docs: DataFrame, stop: DataFrame, n: int = 5, span: int =
     sequential in-place rounds then run over whole Arrow batches of
     documents in ``mapInPandas``.
     """
-    kept = keyword_tokens(docs, stop, None, text_col, id_col)
+    kept = keyword_tokens(docs, stop, None, text_col, id_col) if tokens is None else without_stop(tokens, stop)
     return (packed_graphs(kept, span)
             .mapInPandas(_textrank_batches(n, rounds, DAMPING), _RANK_SCHEMA))
 

@@ -6,11 +6,11 @@ parallel over all scan partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from trawl.functions import text as T
-from trawl.session import materialize
+from trawl.session import materialize, scratch_path, spread
 
 
 def parsed_columns(html_col: str = "html"):
@@ -19,14 +19,27 @@ def parsed_columns(html_col: str = "html"):
     return T.html_title(html).alias("title"), T.html_body(html).alias("content")
 
 
-def parse_all(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
-              html_col: str = "html") -> DataFrame:
-    """Every page with its parse outcome: (doc_id, title, url, content, reject)."""
+def parse_corpus(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
+                 html_col: str = "html") -> tuple[DataFrame, DataFrame, dict]:
+    """(documents, rejects, counts) from one pass over the pages.
+
+    The parsed pages are written once, partitioned by outcome; the counts
+    (rows, accepted, rejected) are observed in that write.  It has no shuffle, so
+    its tasks are result tasks and a task that is run again counts once.  All
+    that follows (index, N, rejects) reads what was written, not the pages.
+    """
     title, content = parsed_columns(html_col)
-    out = pages.select(F.col(id_col).alias("doc_id"), title, F.col(url_col).alias("url"),
-                       content)
-    return out.withColumn(
-        "reject", F.when(F.col("title") == "", F.lit("title")).otherwise(F.lit(None)))
+    parsed = pages.select(F.col(id_col).alias("doc_id"), title, F.col(url_col).alias("url"), content)
+    accepted = F.coalesce(F.col("title") != "", F.lit(False))
+    seen = Observation()
+    path = scratch_path(pages.sparkSession, "parsed")
+    spread(parsed.withColumn("accepted", accepted), basis=pages).observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if("accepted").alias("accepted"),
+        F.count_if(~F.col("accepted")).alias("rejected")).write.partitionBy("accepted").parquet(path)
+    counts = seen.get
+    out = pages.sparkSession.read.schema(parsed.withColumn("accepted", accepted).schema).parquet(path)
+    docs = out.where("accepted").drop("accepted")
+    return docs, out.where("NOT accepted").select("doc_id", "url", F.lit("title").alias("reason")), counts
 
 
 def parse_documents(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -50,12 +63,6 @@ def parse_rejects(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             .select("doc_id", "url", F.lit("title").alias("reason")))
 
 
-def derive_url(path_col, input_root: str, url_head: str):
-    """Url = configured head + file path with the input root cut off."""
-    path = F.col(path_col) if isinstance(path_col, str) else path_col
-    return F.concat(F.lit(url_head), F.call_function("substring", path, F.lit(len(input_root) + 1)))
-
-
 def assign_doc_id(df: DataFrame, order_col: str = "path", id_col: str = "doc_id") -> DataFrame:
     """Dense 0-based ids in ``order_col`` order, without a single-partition window.
 

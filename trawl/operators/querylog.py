@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawl.functions.text import CACHE_TTL_SECONDS
+from trawl.session import materialize
 
 DEFAULT_SLAB_SECONDS = 3600
 _US = 1_000_000
@@ -75,6 +76,7 @@ def cache_labels(events: DataFrame, keys: list[str], ts_col: str = "ts", id_col:
 def with_session_start(labels: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``session_start_us``: the time of the latest miss at or before the
     look-up (the miss that opened its session)."""
+    labels = materialize(labels, "cache_labels")  # read twice
     miss_ts = F.when(~F.col("hit"), F.col("ts_us"))
     local = labels.withColumn("local_start", F.max(miss_ts).over(
         Window.partitionBy(*keys, "slab").orderBy("ts_us", "lookup_id")

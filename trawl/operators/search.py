@@ -26,9 +26,13 @@ DOC_ID_ROW_BYTES = 16
 def query_words(queries: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
     """(query_id, word), distinct: lower-cased tokens that start with [a-z]."""
     toks = queries.select(F.col(id_col).alias("query_id"),
-                          F.explode(T.letter_runs(text_col)).alias("tok"))
-    # letter runs are ASCII, so lower() is the C-locale lower-casing
-    return (toks.select("query_id", F.lower("tok").alias("word"))
+                          F.explode(T.letter_runs(text_col)).alias("word"))
+    return kept_query_words(toks)
+
+
+def kept_query_words(tokens: DataFrame) -> DataFrame:
+    """(query_id, word), distinct, from the queries' tokens (query_id, word)."""
+    return (tokens.select("query_id", T.ascii_lower("word").alias("word"))
             .where(T.starts_with_lower_letter("word"))
             .dropDuplicates(["query_id", "word"]))
 
@@ -100,9 +104,11 @@ def attach_documents(top: DataFrame, docs: DataFrame, n_rows_bound: int) -> Data
 
 
 def search(queries: DataFrame, postings: DataFrame, docs: DataFrame,
-           k: int = T.RESULT_LIMIT, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
-    """(query_id, rank, doc_id, word, weight, title, url, desc) for a query batch."""
-    qw = query_words(queries, id_col, text_col)
+           k: int = T.RESULT_LIMIT, id_col: str = "query_id", text_col: str = "query",
+           qw: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, doc_id, word, weight, title, url, desc) for a query batch.
+    ``qw``: the queries' words, of run tokens unless given."""
+    qw = query_words(queries, id_col, text_col) if qw is None else qw
     n_queries = queries.count()
     # at most queries x k rows, read twice (matched ids, hits): computed once
     top = materialize(best_hits(qw, postings, k, n_query_words=None), "search_hits")

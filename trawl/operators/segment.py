@@ -1,13 +1,16 @@
-"""Statistical segmentation: max-probability, HMM and mixed cuts.
-
-Spark does the data movement: pre-split pieces (regex), the candidate-word
-graph (substring x lexicon join, ``lexicon.dag_edges``), per-document
-co-location (``by_document``), and the cogroup of pieces with their edges.
-What cannot be expressed with built-in operators runs per document in
-``applyInPandas``: the right-to-left dynamic programme over each piece and
-the Viterbi pass over each run of characters -- both strictly sequential.
+"""Segmentation: max-probability, HMM, mixed, full and search cuts.
+
+No cut crosses a separator, so a piece between separators is cut the same way
+wherever it stands.  A lexicon of at most ``LEXICON_LIMIT`` bytes (summed, not
+guessed) travels to the tasks; documents are cut where they are read, each
+piece once per worker as long as it stays in its cache, and nothing is
+shuffled.  A larger lexicon is joined: the distinct pieces get their candidate
+words from ``lexicon.dag_edges``, are cut once, and the piece dictionary is
+joined back to the documents' pieces.
+
 The HMM model and the set of one-character user words are bounded by the
-alphabet and travel with the function.
+alphabet and travel with the function.  Documents whose text is null or not
+valid UTF-8 give no tokens; null and repeated ids are kept as they are.
 """
 
 from __future__ import annotations
@@ -17,15 +20,14 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trawl.operators import lexicon as LX
 from trawl.functions.text import DEFAULT_SEPARATORS, LATIN_TOKEN_RE, split_fields_py
-from trawl.operators.tokenize import by_document, presplit
-from trawl.session import materialize
+from trawl.operators.tokenize import presplit, separator_pattern
+from trawl.session import materialize, spread
 
 # Fixed values that must equal the reference.
 MIN_DOUBLE = -3.14e100
@@ -128,6 +130,7 @@ def mp_cut(piece: str, edges: dict, min_weight: float) -> list[str]:
     ``min_weight``.  Scores within ``TIE_EPS`` of the best count as ties:
     equal sums of logarithms (common with small integer frequencies) then
     resolve the same way whatever the last bit of ``ln`` an engine returns.
+    The best score is carried on, so that small gaps do not add up.
     """
     n = len(piece)
     best = [0.0] * (n + 1)
@@ -150,12 +153,12 @@ def mp_cut(piece: str, edges: dict, min_weight: float) -> list[str]:
             continue
         lim = top - TIE_EPS
         if not own_single and unknown >= lim:
-            best[i] = unknown
+            best[i] = top
             continue
         for end, w in cands:
             v = best[end + 1] + w
             if v >= lim:
-                best[i] = v
+                best[i] = top
                 choice[i] = end
                 break
     out, i = [], 0
@@ -177,118 +180,258 @@ def mix_cut(piece: str, edges: dict, min_weight: float, user_singles: frozenset,
             for w in (hmm_cut("".join(group), model) if single else group)]
 
 
-# --------------------------------------------------------------- Spark job
+# --------------------------------------------------------------- lexicon in the task
+
+LEXICON_LIMIT = 16 << 20   # bytes of words and weights that travel to the tasks
+CACHED_PIECE = 64          # characters of a piece that is kept
+CACHE = 300_000            # pieces
+
+MODES = ("mp", "hmm", "mix", "full", "search")
 
-_SEG_SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("pos", T.LongType()),
-    T.StructField("word", T.StringType()),
-])
+
+@dataclass
+class Cutter:
+    """All that a task needs to cut pieces, and the pieces it has cut."""
+    words: dict
+    min_weight: float
+    singles: frozenset
+    model: HmmModel
+    cap: int
+    longest: dict = field(default_factory=dict)
+    known: dict = field(default_factory=dict)
+
+    def __post_init__(self):
+        # the longest word by its first two characters bounds the look-ups
+        for w in self.words:
+            if len(w) > 1 and len(w) > self.longest.get(w[:2], 1):
+                self.longest[w[:2]] = len(w)
+
+    def graph(self, piece: str) -> dict:
+        """start -> [(end, weight)] of the lexicon words in the piece."""
+        words, longest, out, n = self.words, self.longest, {}, len(piece)
+        for i in range(n):
+            top = min(self.cap, longest.get(piece[i:i + 2], 1), n - i)
+            found = [(j - 1, words[piece[i:j]]) for j in range(i + 1, i + max(top, 1) + 1) if piece[i:j] in words]
+            if found:
+                out[i] = found
+        return out
+
+    def tiled(self, piece: str, mode: str) -> list[str]:
+        """Tokens of a cut that tiles the piece."""
+        if mode == "hmm":
+            return hmm_cut(piece, self.model)
+        g = self.graph(piece)
+        if mode == "mp":
+            return mp_cut(piece, g, self.min_weight) if g else list(piece)
+        return mix_cut(piece, g, self.min_weight, self.singles, self.model) if g else hmm_cut(piece, self.model)
+
+    def cut(self, piece: str, mode: str) -> tuple[list[str], list[int]]:
+        """Tokens and their starts in the piece."""
+        if mode == "full":
+            return self.full(piece)
+        words = self.tiled(piece, "mix" if mode == "search" else mode)
+        starts = list(itertools.accumulate(map(len, words), initial=0))[:-1]
+        if mode != "search":
+            return words, starts
+        out, at = [], []
+        for w, s in zip(words, starts):
+            for size in (2, 3):  # lexicon 2-grams of longer tokens, then 3-grams, then the token
+                if len(w) > size:
+                    hits = [i for i in range(len(w) - size + 1) if w[i:i + size] in self.words]
+                    out += [w[i:i + size] for i in hits]
+                    at += [s + i for i in hits]
+            out.append(w)
+            at.append(s)
+        return out, at
+
+    def full(self, piece: str) -> tuple[list[str], list[int]]:
+        """Every lexicon word of two or more characters; a character by itself where
+        none starts and no earlier word reaches."""
+        g, out, at, cover = self.graph(piece), [], [], 0
+        for i in range(len(piece)):
+            here = g.get(i, ())
+            longer = [e for e, _ in here if e > i]
+            for e in longer or ([i] if cover <= i else []):
+                out.append(piece[i:e + 1])
+                at.append(i)
+            cover = max([cover, *(e + 1 for e, _ in here)])
+        return out, at
+
+    def piece(self, piece: str, mode: str) -> tuple:
+        """(tokens, starts, byte starts, characters, bytes), kept for short pieces."""
+        found = self.known.get(piece)
+        if found is None:
+            words, starts = self.cut(piece, mode)
+            if piece.isascii():
+                places, size = starts, len(piece)
+            else:
+                width = list(itertools.accumulate((len(c.encode()) for c in piece), initial=0))
+                places, size = [width[s] for s in starts], width[-1]
+            found = (words, starts, places, len(piece), size)
+            if len(piece) <= CACHED_PIECE:
+                if len(self.known) >= CACHE:
+                    self.known.clear()
+                self.known[piece] = found
+        return found
+
+
+def _ready(lex: DataFrame | None, base: DataFrame | None, mode: str) -> tuple:
+    """(active lexicon or None, smallest weight of the static lexicon, one-character
+    user words, whether the lexicon may travel)."""
+    if mode == "hmm" or lex is None:
+        return None, 0.0, frozenset(), True
+    weighted = materialize(lex if "weight" in lex.columns else LX.with_weights(lex), "segment_lexicon")
+    if base is not None:
+        base_w = base if "weight" in base.columns else LX.with_weights(base)
+    elif "is_user" in weighted.columns:
+        base_w = weighted.where(~F.col("is_user"))
+    else:
+        base_w = weighted
+    least = base_w.select(F.min("weight")).first()[0]
+    singles = frozenset()
+    if "is_user" in weighted.columns:
+        singles = frozenset(r[0] for r in weighted.where(
+            F.col("is_user") & (F.char_length("word") == 1)).select("word").collect())
+    act = materialize(LX.active(weighted), "segment_active")
+    size = act.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0
+    return act, float(least or 0.0), singles, size <= LEXICON_LIMIT
 
 
-def _piece_words(mode: str, piece: str, g: dict | None, min_weight: float,
-                 user_singles: frozenset, model: HmmModel) -> list[str]:
-    if mode == "hmm":
-        return hmm_cut(piece, model)
-    if not g:
-        # no lexicon word in the piece: every character is a single
-        return list(piece) if mode == "mp" else hmm_cut(piece, model)
-    if mode == "mp":
-        return mp_cut(piece, g, min_weight)
-    return mix_cut(piece, g, min_weight, user_singles, model)
+def _broadcast(spark: SparkSession, act: DataFrame | None, least: float, singles: frozenset, model: HmmModel, cap: int):
+    words = {} if act is None else {r[0]: r[1] for r in act.select("word", "weight").toLocalIterator() if r[0]}
+    return spark.sparkContext.broadcast(Cutter(words, least, singles, model, max(1, int(cap))))
 
 
-def _seg_batches(mode: str, min_weight: float, user_singles: frozenset, model: HmmModel,
-                 separators: str):
-    import re
+def _tokens_schema(offsets: bool) -> tuple[str, pa.Schema]:
+    names = ["offset", "unicode_offset", "unicode_length"] if offsets else []
+    ddl = "doc_id long, pos long, word string" + "".join(f", {c} long" for c in names)
+    return ddl, pa.schema([("doc_id", pa.int64()), ("pos", pa.int64()), ("word", pa.string())]
+                          + [(c, pa.int64()) for c in names])
 
-    cls = "".join("\\" + c if c in "\\^]-[" else c for c in separators)
-    splitter = re.compile(f"[^{cls}]+|[{cls}]")
+
+def _cut_batches(shared, mode: str, separators: str, offsets: bool):
+    splitter, schema = re.compile(separator_pattern(separators)), _tokens_schema(offsets)[1]
 
     def fn(batches):
-        for pdf in batches:
-            ids, poss, words = [], [], []
-            has_edges = "pp" in pdf.columns
-            for r in range(len(pdf)):
-                doc_id = int(pdf["doc_id"].iat[r])
-                text = pdf["text"].iat[r]
-                graph: dict = {}
-                if has_edges:
-                    pp = pdf["pp"].iat[r]
-                    if pp is not None and len(pp):
-                        st, en, w = pdf["st"].iat[r], pdf["en"].iat[r], pdf["w"].iat[r]
-                        # one ordered pass: piece -> start -> [(end, weight)] by end
-                        order = np.lexsort((en, st, pp))
-                        cur_a = cur_b = -1
-                        gp: dict = {}
-                        lst: list = []
-                        for a, b, c, d in zip(pp[order].tolist(), st[order].tolist(),
-                                              en[order].tolist(), w[order].tolist()):
-                            if a != cur_a:
-                                gp = graph[a] = {}
-                                cur_a, cur_b = a, -1
-                            if b != cur_b:
-                                lst = gp[b] = []
-                                cur_b = b
-                            lst.append((c, d))
-                out: list[str] = []
-                if text:
-                    for i, piece in enumerate(splitter.findall(text)):
-                        out.extend(_piece_words(mode, piece, graph.get(i), min_weight, user_singles, model))
-                ids.extend([doc_id] * len(out))
-                poss.extend(range(len(out)))
-                words.extend(out)
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"),
-                                "pos": pd.Series(poss, dtype="int64"),
-                                "word": pd.Series(words, dtype="object")})
+        cutter = shared.value
+        for batch in batches:
+            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            at = 0
+            while at < len(texts):
+                sizes, words, starts, places = [], [], [], []
+                first = at
+                while at < len(texts) and len(words) < 50_000:
+                    before, char, byte = len(words), 0, 0
+                    for piece in splitter.findall(texts[at]):
+                        w, s, b, n, size = cutter.piece(piece, mode)
+                        words += w
+                        if offsets:
+                            starts += [char + x for x in s]
+                            places += [byte + x for x in b]
+                            char, byte = char + n, byte + size
+                    sizes.append(len(words) - before)
+                    at += 1
+                sizes = np.array(sizes, np.int64)
+                pos = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                cols = [ids.take(pa.array(np.repeat(np.arange(first, at), sizes))), pa.array(pos, pa.int64()),
+                        pa.array(words, pa.string())]
+                if offsets:
+                    cols += [pa.array(places, pa.int64()), pa.array(starts, pa.int64()),
+                             pa.array([len(w) for w in words], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, schema=schema)
     return fn
 
 
+# --------------------------------------------------------------- lexicon by joins
+
+def _piece_batches(mode: str, min_weight: float, singles: frozenset, model: HmmModel):
+    """(piece, words, starts) from pieces with their packed candidate words."""
+    schema = pa.schema([("piece", pa.string()), ("words", pa.list_(pa.string())), ("starts", pa.list_(pa.int32()))])
+
+    def fn(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                b = batch.slice(k, 256).to_pydict()
+                words, starts = [], []
+                for piece, st, en, wt, ws in zip(b["piece"], b["st"], b["en"], b["w"], b["ws"]):
+                    own = {x: y for x, y in zip(ws or (), wt or ())}
+                    cutter = Cutter(own, min_weight, singles, model, 1)
+                    g: dict = {}
+                    for s, e, w in sorted(zip(st or (), en or (), wt or ())):
+                        g.setdefault(s, []).append((e, w))
+                    cutter.graph = lambda _, g=g: g
+                    w, s = cutter.cut(piece, mode)
+                    words.append(w)
+                    starts.append(s)
+                yield pa.RecordBatch.from_pydict({"piece": b["piece"], "words": words, "starts": starts}, schema=schema)
+    return fn
+
+
+def piece_words(pieces: DataFrame, lex: DataFrame | None, mode: str = "mix", model: HmmModel | None = None,
+                max_word_len: int = LX.MAX_WORD_LENGTH, base: DataFrame | None = None) -> DataFrame:
+    """(piece, words, starts): the distinct ``pieces`` (piece), each cut once."""
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}")
+    model = model or HmmModel()
+    act, least, singles, travels = _ready(lex, base, mode)
+    if travels:
+        shared = _broadcast(pieces.sparkSession, act, least, singles, model, max_word_len)
+
+        def fn(batches):
+            cutter = shared.value
+            for batch in batches:
+                cuts = [cutter.cut(p, mode) for p in batch.column("piece").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("piece"), pa.array([c[0] for c in cuts], pa.list_(pa.string())),
+                     pa.array([c[1] for c in cuts], pa.list_(pa.int32()))], names=["piece", "words", "starts"])
+        return pieces.select("piece").mapInArrow(fn, "piece string, words array<string>, starts array<int>")
+    own = materialize(pieces.select("piece", F.monotonically_increasing_id().alias("doc_id"), F.lit(0).alias("piece_pos")), "pieces")
+    packed = (LX.dag_edges(own, act, max_word_len).where(F.col("word").isNotNull()).groupBy("doc_id")
+              .agg(F.collect_list(F.col("start").cast("int")).alias("st"), F.collect_list(F.col("end").cast("int")).alias("en"),
+                   F.collect_list("weight").alias("w"), F.collect_list("word").alias("ws")))
+    return own.join(packed, "doc_id", "left").select("piece", "st", "en", "w", "ws").mapInArrow(
+        _piece_batches(mode, least, singles, model), "piece string, words array<string>, starts array<int>")
+
+
+# --------------------------------------------------------------- Spark job
+
 def segment(docs: DataFrame, lex: DataFrame | None, mode: str = "mix", model: HmmModel | None = None,
             max_word_len: int = LX.MAX_WORD_LENGTH, text_col: str = "text", id_col: str = "doc_id",
-            base: DataFrame | None = None, separators: str = DEFAULT_SEPARATORS) -> DataFrame:
-    """(doc_id, pos, word) for ``mode`` in {"mp", "hmm", "mix"}.
+            base: DataFrame | None = None, separators: str = DEFAULT_SEPARATORS, offsets: bool = False) -> DataFrame:
+    """(doc_id, pos, word) for ``mode`` in ``MODES``; with ``offsets`` also (offset,
+    unicode_offset, unicode_length): where the token starts, in bytes and in
+    code points, and its code points.
 
     ``lex`` is the active lexicon (word, freq | weight, tag[, is_user]);
     ``base`` the static lexicon whose minimum weight prices unknown
     characters (defaults to the non-user rows of ``lex``).  ``max_word_len``
-    caps candidate words (0 -> single characters).
-
-    Plan: documents hash-partitioned by id once; pieces and the lexicon edges
-    are computed natively and packed per document into primitive arrays by a
-    document-local aggregate; the document row joins its packed edges
-    without another exchange; one Arrow row per document then goes through
-    ``mapInPandas`` for the sequential DP / Viterbi passes.
+    caps candidate words (0 -> single characters).  Tokens of the full and the
+    search cut overlap; ``pos`` numbers them in the order of the cut.
     """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}")
     model = model or HmmModel()
     # text that is not valid UTF-8 yields no tokens
-    src = by_document(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-                      .where(F.call_function("is_valid_utf8", F.col("text"))))
-    min_weight, singles = 0.0, frozenset()
-    if mode != "hmm" and lex is not None:
-        weighted = lex if "weight" in lex.columns else LX.with_weights(lex)
-        # derived lexicons are read four times below: compute them once
-        weighted = materialize(weighted, "segment_lexicon")
-        if base is not None:
-            base_w = base if "weight" in base.columns else LX.with_weights(base)
-        elif "is_user" in weighted.columns:
-            base_w = weighted.where(~F.col("is_user"))
-        else:
-            base_w = weighted
-        min_weight = float(base_w.select(F.min("weight")).first()[0])
-        if "is_user" in weighted.columns:
-            singles = frozenset(r[0] for r in weighted.where(
-                F.col("is_user") & (F.char_length("word") == 1)).select("word").collect())
-        pieces = presplit(src, "text", "doc_id", separators).withColumnRenamed("pos", "piece_pos")
-        packed = (LX.dag_edges(pieces, weighted, max_word_len)
-                  .where(F.col("word").isNotNull())
-                  .groupBy("doc_id")
-                  .agg(F.collect_list(F.col("piece_pos").cast("int")).alias("pp"),
-                       F.collect_list(F.col("start").cast("int")).alias("st"),
-                       F.collect_list(F.col("end").cast("int")).alias("en"),
-                       F.collect_list("weight").alias("w")))
-        rows = src.join(packed, "doc_id", "left")
-    else:
-        rows = src
-    fn = _seg_batches(mode, min_weight, singles, model, separators)
-    return rows.mapInPandas(fn, _SEG_SCHEMA)
+    src = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+                 .where(F.call_function("is_valid_utf8", F.col("text"))), basis=docs)
+    act, least, singles, travels = _ready(lex, base, mode)
+    if travels:
+        shared = _broadcast(docs.sparkSession, act, least, singles, model, max_word_len)
+        return src.mapInArrow(_cut_batches(shared, mode, separators, offsets), _tokens_schema(offsets)[0])
+    # repeated and null ids are kept apart by a row number
+    rows = materialize(src.withColumn("row", F.monotonically_increasing_id()), "segment_rows")
+    split = materialize(presplit(rows, "text", "row", separators), "segment_pieces").select(
+        F.col("doc_id").alias("row"), F.col("pos").alias("piece_pos"), "piece")
+    cuts = materialize(piece_words(split.select("piece").distinct(), lex, mode, model, max_word_len, base), "piece_words")
+    w = Window.partitionBy("row").orderBy("piece_pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = split.join(cuts, "piece").withColumns({
+        "before": F.coalesce(F.sum(F.size("words")).over(w), F.lit(0)),
+        "byte": F.coalesce(F.sum(F.octet_length("piece")).over(w), F.lit(0)),
+        "char": F.coalesce(F.sum(F.char_length("piece")).over(w), F.lit(0))})
+    out = placed.select("row", "before", "byte", "char", "piece", "starts", F.posexplode("words").alias("k", "word"))
+    start = F.get("starts", F.col("k"))
+    more = [(F.col("byte") + F.octet_length(F.call_function("substring", F.col("piece"), F.lit(1), start))).alias("offset"),
+            (F.col("char") + start).cast("long").alias("unicode_offset"),
+            F.char_length("word").cast("long").alias("unicode_length")] if offsets else []
+    tokens = out.select("row", (F.col("before") + F.col("k")).alias("pos"), "word", *more)
+    return rows.select("row", "doc_id").join(tokens, "row").drop("row")

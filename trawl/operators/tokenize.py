@@ -32,6 +32,16 @@ def tokens(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
                        F.posexplode(T.latin_tokens(text_col)).alias("pos", "word"))
 
 
+def separator_pattern(separators: str = T.DEFAULT_SEPARATORS) -> str:
+    """Regex of the pieces between separators and of the separators themselves."""
+    if len(set(separators)) != len(separators):
+        raise ValueError("duplicate separator")
+    if not separators:
+        raise ValueError("empty separator set")
+    cls = "".join("\\" + c if c in "\\^]-[" else c for c in separators)
+    return f"[^{cls}]+|[{cls}]"
+
+
 def presplit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
              separators: str = T.DEFAULT_SEPARATORS) -> DataFrame:
     """Pieces between separators; every separator is a piece of its own.
@@ -39,12 +49,7 @@ def presplit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     ``separators`` is a set of characters; repeats are rejected like the
     reference's separator reset.
     """
-    if len(set(separators)) != len(separators):
-        raise ValueError("duplicate separator")
-    if not separators:
-        raise ValueError("empty separator set")
-    cls = "".join("\\" + c if c in "\\^]-[" else c for c in separators)
-    pattern = f"[^{cls}]+|[{cls}]"
+    pattern = separator_pattern(separators)
     valid = F.call_function("is_valid_utf8", F.col(text_col))  # invalid UTF-8 -> no pieces
     return docs.where(valid).select(F.col(id_col).alias("doc_id"),
                        F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0))

@@ -28,7 +28,7 @@ def register(name: str):
 
 def registry() -> dict[str, Query]:
     # import the modules that register more queries
-    from trawl.plans import catalog_text  # noqa: F401
+    from trawl.plans import catalog_lexicon, catalog_text  # noqa: F401
     return dict(_REGISTRY)
 
 
@@ -43,7 +43,9 @@ def _docs(spark, sf):
 
 
 def _postings(spark, sf):
-    return index.build_postings(_docs(spark, sf))
+    """Postings of the pages, which are read and parsed once."""
+    docs, _, counts = parse.parse_corpus(S.pages(spark, sf))
+    return index.build_postings(docs, n_docs=counts["accepted"])
 
 
 @register("parse_documents")
@@ -51,9 +53,24 @@ def q_parse_documents(spark, sf):
     return _docs(spark, sf)
 
 
+def _mixed_pages(spark, sf):
+    """The pages, and the texts of ``documents`` as pages that have no title."""
+    texts = S.documents(spark, sf).select((-F.col("doc_id") - 1).alias("page_id"), F.lit(None).cast("string").alias("url"),
+                                          F.col("text").alias("html"))
+    return S.pages(spark, sf).select("page_id", "url", "html").unionByName(texts)
+
+
 @register("parse_rejects")
 def q_parse_rejects(spark, sf):
-    return parse.parse_rejects(S.pages(spark, sf))
+    return parse.parse_corpus(_mixed_pages(spark, sf))[1]
+
+
+@register("parse_accepted")
+def q_parse_accepted(spark, sf):
+    """What the same pass accepts, with the counts it observed."""
+    docs, _, counts = parse.parse_corpus(_mixed_pages(spark, sf))
+    return docs.select("doc_id", "title", F.lit(counts["rows"]).cast("long").alias("n_rows"),
+                       F.lit(counts["rejected"]).cast("long").alias("n_rejected"))
 
 
 @register("word_counts")
@@ -68,10 +85,9 @@ def q_postings(spark, sf):
 
 @register("doc_frequency")
 def q_doc_frequency(spark, sf):
-    docs = _docs(spark, sf)
+    docs, _, counts = parse.parse_corpus(S.pages(spark, sf))
     df = index.doc_frequency(index.postings_tf(docs))
-    n = index.corpus_size(docs)
-    return df.withColumn("n", n).select(
+    return df.withColumn("n", F.lit(counts["accepted"]).cast("long")).select(
         "word", "df", F.round(F.ln(F.expr("n div df").cast("double")), 10).alias("idf"))
 
 
@@ -97,32 +113,56 @@ def _search_out(res: DataFrame) -> DataFrame:
 @register("search_topk")
 def q_search_topk(spark, sf):
     pages = S.pages(spark, sf)
-    post = index.build_postings(parse.parse_documents(pages))
+    # the best 101 postings of a word are all that a top-101 answer can hold
+    post = index.champions(_postings(spark, sf))
+    return _search_out(search.search(S.benchmark_queries(spark, sf), post, pages))
+
+
+@register("search_topk_full")
+def q_search_topk_full(spark, sf):
+    """The same answer from all postings."""
+    pages = S.pages(spark, sf)
+    post = _postings(spark, sf)
     return _search_out(search.search(S.benchmark_queries(spark, sf), post, pages))
 
 
 @register("search_topk_champions")
 def q_search_topk_champions(spark, sf):
     pages = S.pages(spark, sf)
-    champ = index.champions(index.build_postings(parse.parse_documents(pages)))
+    champ = index.champions(_postings(spark, sf))
     return _search_out(search.search(S.benchmark_queries(spark, sf), champ, pages))
 
 
 @register("search_conversations")
 def q_search_conversations(spark, sf):
     pages = S.pages(spark, sf)
-    post = index.build_postings(parse.parse_documents(pages))
+    post = index.champions(_postings(spark, sf))
     return _search_out(search.search(S.conversation_queries(spark, sf), post, pages))
 
 
 @register("search_json")
 def q_search_json(spark, sf):
     pages = S.pages(spark, sf)
-    post = index.build_postings(parse.parse_documents(pages))
+    post = index.champions(_postings(spark, sf))
     queries = S.benchmark_queries(spark, sf)
     return search.results_json(queries, search.search(queries, post, pages))
 
 
+@register("search_topk_blocks")
+def q_search_topk_blocks(spark, sf):
+    """The first 10, 101 and 500 documents of each query from a block table."""
+    from trawl.operators import block_index as B
+
+    pages, queries = S.pages(spark, sf), S.benchmark_queries(spark, sf)
+    name = B.write_blocks(B.blocks(_postings(spark, sf)))
+    try:
+        found = [_search_out(B.search(queries, spark.table(name), pages, k)).withColumn("k", F.lit(k).cast("long"))
+                 for k in (10, 101, 500)]
+    finally:
+        B.drop(spark, name)
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @register("query_words")
 def q_query_words(spark, sf):
     return search.query_words(S.benchmark_queries(spark, sf))
@@ -173,11 +213,11 @@ def _request_log(spark, sf):
     text, and a request without the query parameter per assistant turn."""
     b = S.table(spark, sf, "benchmark").select(
         F.col("item_id").alias("request_id"),
-        F.concat(F.lit("http://localhost:19998/searcher?query="),
+        F.concat(F.lit("http://search.example/find?query="),
                  F.call_function("url_encode", F.col("text"))).alias("url"))
     c = (S.table(spark, sf, "conversations").where(F.col("role") == "assistant")
          .select((-(F.col("conv_id") * 1000 + F.col("turn")) - 1).alias("request_id"),
-                 F.concat(F.lit("http://localhost:19998/searcher?turn="),
+                 F.concat(F.lit("http://search.example/find?turn="),
                           F.col("turn").cast("string")).alias("url")))
     return b.unionByName(c)
 
@@ -195,6 +235,6 @@ def q_search_requests(spark, sf):
     from trawl.sources import corpus as C
 
     pages = S.pages(spark, sf)
-    post = index.build_postings(parse.parse_documents(pages))
+    post = index.champions(_postings(spark, sf))
     qs = C.requests_with_query(_request_log(spark, sf)).withColumnRenamed("request_id", "query_id")
     return search.results_json(qs, search.search(qs, post, pages))

@@ -23,7 +23,8 @@ def _stop(spark, sf):
 
 
 def _idf(spark, sf):
-    return K.build_idf(parse.parse_documents(S.pages(spark, sf)))
+    docs, _, counts = parse.parse_corpus(S.pages(spark, sf))
+    return K.build_idf(docs, counts["accepted"])
 
 
 # ---------------------------------------------------------------- tokens
@@ -114,6 +115,17 @@ def q_cache_sessions_by_type(spark, sf):
 
 @register("cache_sessions_stream")
 def q_cache_sessions_stream(spark, sf):
+    """All look-ups as a stream of several files, some of them late."""
+    from trawl.session import scratch_path
+    from trawl.streaming import cache_sessions as CS
+
+    path = scratch_path(spark, "stream_source")
+    _events(spark, sf).repartitionByRange(6, "ts").write.parquet(path)
+    return CS.run_merged(spark, path, LOG_KEYS, max_files_per_trigger=2)
+
+
+@register("cache_sessions_stream_closed")
+def q_cache_sessions_stream_closed(spark, sf):
     from trawl.streaming import cache_sessions as CS
 
     return CS.run_available(spark, f"{sf.rstrip('/')}/events.parquet", LOG_KEYS)
@@ -235,8 +247,8 @@ def q_segment_mp_capped(spark, sf):
     return _segment(spark, sf, "mp", max_word_len=3)
 
 
-@register("segment_hmm")
-def q_segment_hmm(spark, sf):
+@register("segment_hmm_empty_model")
+def q_segment_hmm_empty_model(spark, sf):
     return _segment(spark, sf, "hmm")
 
 

@@ -124,10 +124,21 @@ def sql() -> dict[str, str]:
 WITH {DOCS}
 SELECT doc_id, title, url, content FROM docs"""
 
+    mixed = """
+mixed AS (
+  SELECT page_id, url, CASE WHEN html = '' OR suffix(html, chr(10)) THEN html ELSE html || chr(10) END AS h FROM pages
+  UNION ALL
+  SELECT -doc_id - 1, NULL, CASE WHEN text = '' OR suffix(text, chr(10)) THEN text ELSE text || chr(10) END FROM documents
+),
+titled AS (SELECT page_id AS doc_id, url, regexp_extract(h, '(?s)<title>(.*?)</title>', 1) AS title FROM mixed)"""
     q["parse_rejects"] = f"""
-WITH {DOCS.split('docs AS')[0].rstrip().rstrip(',')}
-SELECT page_id AS doc_id, url, 'title' AS reason FROM raw
-WHERE regexp_extract(h, '(?s)<title>(.*?)</title>', 1) = ''"""
+WITH {mixed}
+SELECT doc_id, url, 'title' AS reason FROM titled WHERE title = ''"""
+
+    q["parse_accepted"] = f"""
+WITH {mixed}
+SELECT doc_id, title, (SELECT count(*) FROM mixed) AS n_rows, (SELECT count(*) FROM titled WHERE title = '') AS n_rejected
+FROM titled WHERE title <> ''"""
 
     q["word_counts"] = f"""
 WITH {DOCS}, {POSTINGS}
@@ -158,7 +169,11 @@ FROM champions"""
 WITH {DOCS}, {POSTINGS}, {BENCH_Q}, {_query_words('bq')}, {_search()}
 SELECT {search_cols} FROM results"""
 
-    q["search_topk_champions"] = q["search_topk"]
+    q["search_topk_champions"] = q["search_topk_full"] = q["search_topk"]
+
+    q["search_topk_blocks"] = f"""
+WITH {DOCS}, {POSTINGS}, {BENCH_Q}, {_query_words('bq')}, {_search(k=500)}
+""" + " UNION ALL ".join(f"SELECT {search_cols}, CAST({k} AS BIGINT) AS k FROM results WHERE rank <= {k}" for k in (10, 101, 500))
 
     q["search_conversations"] = f"""
 WITH {DOCS}, {POSTINGS}, {CONV_Q}, {_query_words('cq')}, {_search()}
@@ -208,6 +223,9 @@ SELECT query_id,
 FROM t"""
 
     q.update(_text_sql())
+    from trawl.plans import oracle_lexicon
+
+    q.update(oracle_lexicon.sql())
     return q
 
 
@@ -275,7 +293,7 @@ FROM (SELECT doc_id, unnest(generate_series(0, len(ch) - 1)) AS pos, unnest(ch)
 
     # with a model that knows no Latin-script character the HMM cut is the
     # letter / number / single-character tokenization, piece by piece
-    q["segment_hmm"] = f"""
+    q["segment_hmm_empty_model"] = f"""
 WITH {DTOK}
 SELECT doc_id, CAST(pos AS BIGINT) AS pos, word FROM dtok0"""
 
@@ -345,7 +363,9 @@ SELECT * FROM sess"""
 WITH {log_sql("event_type")}
 SELECT * FROM sess"""
 
-    q["cache_sessions_stream"] = f"""
+    q["cache_sessions_stream"] = q["cache_sessions"]
+
+    q["cache_sessions_stream_closed"] = f"""
 WITH {log_sql("user_id, event_type")}
 SELECT * FROM sess
 WHERE session_end_us <= (SELECT max(epoch_us(ts)) FROM events) - 1800000000"""

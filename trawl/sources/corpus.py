@@ -17,12 +17,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawl.functions import text as TX
-from trawl.operators.parse import assign_doc_id, derive_url
+from trawl.operators.parse import assign_doc_id
 
 DOC_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType(), False),
@@ -93,14 +93,28 @@ def write_json_results(results_json: DataFrame, path: str) -> None:
         .write.mode("overwrite").text(path)
 
 
-def request_query(url_col) -> "F.Column":
-    """The decoded ``query`` parameter of a request URL (null when absent).  It
-    is also found in a URL with forbidden characters, and stays as it is when
-    its escapes are broken."""
+def url_decoded(col: Column) -> Column:
+    """A query value with its escapes replaced one by one: ``%XX`` (UTF-8 bytes),
+    ``%uXXXX`` (a code point; surrogates vanish) and ``+`` (a blank).  What is no
+    escape stays as it is; bytes that are no UTF-8 become U+FFFD."""
+    parts = F.regexp_extract_all(col, F.lit("%u[0-9A-Fa-f]{4}|(?:%[0-9A-Fa-f]{2})+|[^%]+|%"), F.lit(0))
+
+    def one(p: Column) -> Column:
+        point = F.decode(F.unhex(F.substring(p, 3, 4)), "UTF-16BE")
+        return (F.when(p.rlike("^%u[dD][89A-Fa-f]"), "").when(p.rlike("^%u[0-9A-Fa-f]{4}$"), point)
+                .when(p.rlike("^%[0-9A-Fa-f]{2}"), F.unhex(F.regexp_replace(p, "%", "")).cast("string"))
+                .otherwise(F.translate(p, "+", " ")))
+
+    return F.make_valid_utf8(F.array_join(F.transform(parts, one), ""))
+
+
+def request_query(url_col) -> Column:
+    """The decoded ``query`` parameter of a request URL (null when absent); it
+    is also found in a URL with forbidden characters."""
     u = F.col(url_col) if isinstance(url_col, str) else url_col
     loose = F.when(u.rlike(r"[?&]query="), F.regexp_extract(u, r"[?&]query=([^&#]*)", 1))
     raw = F.coalesce(F.try_parse_url(u, F.lit("QUERY"), F.lit("query")), loose)
-    return F.when(raw.isNotNull(), F.coalesce(F.try_url_decode(raw), raw))
+    return url_decoded(raw)
 
 
 def requests_with_query(requests: DataFrame, url_col: str = "url", id_col: str = "request_id") -> DataFrame:
