@@ -22,7 +22,7 @@ from trawl.operators.index import rank_key
 from trawl.operators.numbering import numbered
 from trawl.session import bounded_broadcast, materialize, scratch_path
 
-BLOCK = 64
+BLOCK = 128
 BUCKETS = 16
 PRUNED_WORDS = 1000  # query words up to this number are named in the scan's filter
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.operators.index import corpus_size, doc_frequency, postings_tf
+from trawl.operators.index import corpus_size, doc_frequency, postings_tf, rank_key
 from trawl.functions import text as TX
 from trawl.operators.tokenize import by_document
 from trawl.session import bounded_broadcast, materialize, spread
@@ -124,8 +124,9 @@ def term_counts(kept: DataFrame) -> DataFrame:
 
 
 def top_n(scored: DataFrame, n: int) -> DataFrame:
-    """Keep the n best words per document (weight desc, then word)."""
-    w = Window.partitionBy("doc_id").orderBy(F.desc("weight"), F.col("word"))
+    """Keep the n best words per document (weight desc, then word); weights are compared
+    rounded, as in ``index.rank_key``."""
+    w = Window.partitionBy("doc_id").orderBy(rank_key().desc(), F.col("word"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 

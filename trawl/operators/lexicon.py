@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions import text as T
-from trawl.operators.parse import assign_doc_id
 from trawl.session import bounded_broadcast, materialize
 
 # Fixed values that must equal the reference.
@@ -43,24 +42,40 @@ def with_weights(lex: DataFrame) -> DataFrame:
     return lex.withColumn("weight", F.ln(F.col("freq") / total))
 
 
-def kth_smallest(df: DataFrame, col: str, k):
-    """Scalar Column: the value at 0-based position ``k`` in ascending order.
+KTH_RANGES = 1024
 
-    Range-partitioned sort plus per-partition offsets -- no single task
-    holds the column.  ``k`` may be a Column (scalar subquery).
+
+def kth_smallest(df: DataFrame, col: str, k: int):
+    """The ``k``-th smallest value (0-based) of a numeric column, exactly, as a
+    literal; null if there are no so many.
+
+    Histogram refinement: count the values in equal ranges, go on with the range
+    that holds element ``k``, until its values are all the same.  Every round is
+    an aggregate of at most KTH_RANGES rows; nothing is sorted or numbered.
     """
-    ranked = assign_doc_id(df.select(col), order_col=col, id_col="_idx")
-    k_col = k if not isinstance(k, int) else F.lit(k)
-    return ranked.where(F.col("_idx") == k_col).select(F.min(col)).scalar()
+    rows = materialize(df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull()), "order_statistic")
+    n, lo, hi = rows.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    if not 0 <= k < n:
+        return F.lit(None).cast("double")
+    while lo < hi:
+        # monotone in v, with the least value in the first range and the largest in the last
+        place = F.least(F.floor((F.col("v") - lo) / (hi - lo) * KTH_RANGES), F.lit(KTH_RANGES - 1))
+        ranges = rows.where(F.col("v").between(lo, hi)).groupBy(place.alias("r")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("r").collect()
+        for r in ranges:
+            if k < r["n"]:
+                lo, hi = r["lo"], r["hi"]
+                break
+            k -= r["n"]
+    return F.lit(lo)
 
 
 def lexicon_stats(lex: DataFrame) -> DataFrame:
     """One row: (n_words, freq_sum, min_weight, max_weight, median_weight);
     the median is element ``n div 2`` of the sorted weights (no
     interpolation)."""
-    w = with_weights(lex)
-    n = w.select(F.count(F.lit(1))).scalar()
-    median = kth_smallest(w, "weight", F.floor(n / 2).cast("long"))
+    w = materialize(with_weights(lex), "lexicon_weights")
+    median = kth_smallest(w, "weight", w.count() // 2)
     return w.agg(F.count(F.lit(1)).alias("n_words"), F.sum("freq").alias("freq_sum"),
                  F.min("weight").alias("min_weight"), F.max("weight").alias("max_weight")) \
         .withColumn("median_weight", median)
@@ -94,14 +109,13 @@ def overlay(base: DataFrame, user: DataFrame, default: str = "median") -> DataFr
     bw = with_weights(base)
     total = base.select(F.sum("freq")).scalar()
     if default == "median":
-        n = bw.select(F.count(F.lit(1))).scalar()
-        dflt = kth_smallest(bw, "weight", F.floor(n / 2).cast("long"))
+        dflt = kth_smallest(bw, "weight", base.count() // 2)
     elif default == "min":
         dflt = bw.select(F.min("weight")).scalar()
     else:
         dflt = bw.select(F.max("weight")).scalar()
-    b_line = F.col("line_no") if "line_no" in base.columns else F.lit(0).cast("long")
-    u_line = F.col("line_no") if "line_no" in user.columns else F.lit(0).cast("long")
+    b_line = F.col("line_no").cast("string") if "line_no" in base.columns else F.lit("")
+    u_line = F.col("line_no").cast("string") if "line_no" in user.columns else F.lit("")
     b = bw.select("word", "weight", "tag", F.lit(False).alias("is_user"), F.lit(0).alias("prio"),
                   b_line.alias("line_no"))
     u = user.select("word", F.when(F.col("freq").isNotNull() & (F.col("freq") != 0),

@@ -41,10 +41,15 @@ def q_segment_mix_hmm(spark, sf):
 
 @register("segment_offsets")
 def q_segment_offsets(spark, sf):
-    """Tokens with their places, by every cut."""
+    """Every cut with its tokens' places: one row a cut and document, with the number
+    of tokens and the MD5 of ``word:offset:unicode_offset:unicode_length`` in order."""
     docs, lex, base, model = _documents(spark, sf), _overlay(spark, sf), _base_lexicon(spark, sf), _model(spark, sf)
     cuts = [SG.segment(docs, lex, m, model, base=base, offsets=True).withColumn("mode", F.lit(m)) for m in SG.MODES]
-    return reduce(lambda a, b: a.unionByName(b), cuts)
+    place = F.concat_ws(":", "word", "offset", "unicode_offset", "unicode_length")
+    return reduce(lambda a, b: a.unionByName(b), cuts).groupBy("mode", "doc_id").agg(
+        F.count(F.lit(1)).alias("n_tokens"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", place.alias("p")))), lambda x: x["p"]), ","))
+        .alias("places_md5"))
 
 
 def _lexicon_postings(spark, sf):
@@ -71,3 +76,35 @@ def q_keywords_tfidf_lexicon(spark, sf):
     kw = K.extract_keywords(docs, _idf(spark, sf), _stop(spark, sf), TOP_N, tokens=tokens)
     return kw.select("doc_id", F.col("rank").cast("long").alias("rank"), "word",
                      F.array_join("offsets", ",").alias("offsets"), r10("weight"))
+
+
+@register("index_increment")
+def q_index_increment(spark, sf):
+    """An index of the pages made in three batches, by page."""
+    from trawl.operators import increment as I
+
+    root, pages = scratch_path(spark, "growing_index"), S.pages(spark, sf)
+    for i in range(3):
+        I.append(root, i, pages.where(F.pmod(F.xxhash64("page_id"), F.lit(3)) == i))
+    ids = I.documents(spark, root, 3).select("doc_id", "page_id")
+    return I.postings(spark, root, 3).join(ids, "doc_id").select(
+        "word", F.col("page_id").alias("doc_id"), r10("tf"), r10("idf"), r10("weight"))
+
+
+@register("user_lexicon_load")
+def q_user_lexicon_load(spark, sf):
+    """User lexicon files: a directory of part files that has every word of
+    ``benchmark`` twice, then one with the words of the page titles; the last line
+    of a word counts (freq 0: none given)."""
+    from trawl.plans.catalog_text import _user_lines
+    from trawl.sources import dictionaries as D
+
+    first, second = scratch_path(spark, "user_lexicon"), scratch_path(spark, "user_lexicon")
+    words = _base_lexicon(spark, sf).select("word", F.explode(F.array(F.lit(0), F.lit(1))).alias("again"), "freq")
+    line = F.when(F.col("again") == 0, F.concat_ws(" ", "word", F.lit("early"))).otherwise(
+        F.concat_ws(" ", "word", F.col("freq").cast("long").cast("string"), F.lit("late")))
+    words.repartitionByRange(7, "again", "word").sortWithinPartitions("again", "word").select(line.alias("value")).write.text(first)
+    _user_lines(spark, sf).write.text(second)
+    lines = D.load_user_lexicon(spark, f"{first}|{second}")
+    return lines.groupBy("word").agg(F.max_by(F.struct("freq", "tag"), "line_no").alias("x")).select(
+        "word", F.coalesce(F.col("x.freq"), F.lit(0)).cast("long").alias("freq"), "x.tag")

@@ -324,7 +324,7 @@ scored AS (
   FROM counts c LEFT JOIN idf i USING (word)
 ),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, word) AS rank FROM scored
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 12) DESC, word) AS rank FROM scored
 )
 SELECT doc_id, CAST(rank AS BIGINT) AS rank, word, offsets, round(weight, 10) AS weight
 FROM ranked WHERE rank <= 5"""

@@ -102,21 +102,21 @@ mtok AS (
   SELECT doc_id, s, k, coalesce(j, 0), coalesce(word, unit) FROM munit LEFT JOIN vtok ON run = unit
 ),
 mord AS (
-  SELECT doc_id, word, row_number() OVER w AS o, coalesce(sum(length(word)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+  SELECT doc_id, word, row_number() OVER w AS o, coalesce(sum(length(word)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
   FROM mtok WINDOW w AS (PARTITION BY doc_id ORDER BY s, k, j)
 ),
 hord AS (
-  SELECT doc_id, word, row_number() OVER w AS o, coalesce(sum(length(word)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+  SELECT doc_id, word, row_number() OVER w AS o, coalesce(sum(length(word)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
   FROM htok WINDOW w AS (PARTITION BY doc_id ORDER BY s, k, j)
 ),
 lw AS (SELECT DISTINCT word FROM lex),
 sgram AS (
-  SELECT doc_id, o, at, i, size, substring(word, i + 1, size) AS word
+  SELECT doc_id, o, place, i, size, substring(word, i + 1, size) AS word
   FROM (SELECT m.*, size, unnest(generate_series(0, length(word) - size)) AS i FROM mord m, (VALUES (2), (3)) z(size) WHERE length(word) > size)
 ),
 sord AS (
-  SELECT doc_id, o, size, i, at + i AS at, word FROM sgram SEMI JOIN lw USING (word)
-  UNION ALL SELECT doc_id, o, 9, 0, at, word FROM mord
+  SELECT doc_id, o, size, i, place + i AS place, word FROM sgram SEMI JOIN lw USING (word)
+  UNION ALL SELECT doc_id, o, 9, 0, place, word FROM mord
 )"""
 
 _DOC_PIECES = f"""
@@ -174,6 +174,16 @@ qpieces AS (
 
 def sql() -> dict[str, str]:
     q: dict[str, str] = {}
+    q["index_increment"] = f"""
+WITH {DOCS}, {POSTINGS}
+SELECT word, doc_id, round(tf, 10) AS tf, round(idf, 10) AS idf, round(weight, 10) AS weight FROM postings"""
+
+    q["user_lexicon_load"] = f"""
+WITH {DOCS}, {LEX}
+SELECT word, CAST(coalesce(freq, 0) AS BIGINT) AS freq, tag FROM usr
+UNION ALL
+SELECT word, CAST(freq AS BIGINT), 'late' FROM base WHERE word NOT IN (SELECT word FROM usr)"""
+
     q["hmm_model_load"] = f"""
 WITH {MODEL}
 SELECT 'start' AS part, nx AS state, '' AS key, p AS log_p FROM moves WHERE st = 'start'
@@ -190,17 +200,20 @@ FROM placed p JOIN {source} t ON t.doc_id = p.pid"""
     def mode(name, source, order):
         return f"""
 SELECT '{name}' AS mode, p.doc_id, CAST(row_number() OVER (PARTITION BY p.doc_id ORDER BY p.piece_pos, {order}) - 1 AS BIGINT) AS pos,
-       t.word, CAST(byte0 + strlen(substring(piece, 1, CAST(t.at AS BIGINT))) AS BIGINT) AS "offset",
-       CAST(char0 + t.at AS BIGINT) AS unicode_offset, CAST(length(t.word) AS BIGINT) AS unicode_length
+       t.word, CAST(byte0 + strlen(substring(piece, 1, CAST(t.place AS BIGINT))) AS BIGINT) AS "offset",
+       CAST(char0 + t.place AS BIGINT) AS unicode_offset, CAST(length(t.word) AS BIGINT) AS unicode_length
 FROM placed p JOIN {source} t ON t.doc_id = p.pid"""
 
     q["segment_offsets"] = f"""
-WITH {lexicon}, {_FULL}
-{mode('mp', '(SELECT doc_id, s AS at, word FROM mpw)', 't.at')}
+WITH {lexicon}, {_FULL},
+every AS ({mode('mp', '(SELECT doc_id, s AS place, word FROM mpw)', 't.place')}
 UNION ALL {mode('hmm', 'hord', 't.o')}
 UNION ALL {mode('mix', 'mord', 't.o')}
-UNION ALL {mode('full', '(SELECT doc_id, start AS at, "end" AS e, word FROM ford)', 't.at, t.e')}
-UNION ALL {mode('search', 'sord', 't.o, t.size, t.i')}"""
+UNION ALL {mode('full', '(SELECT doc_id, start AS place, "end" AS e, word FROM ford)', 't.place, t.e')}
+UNION ALL {mode('search', 'sord', 't.o, t.size, t.i')})
+SELECT mode, doc_id, count(*) AS n_tokens,
+       md5(string_agg(word || ':' || "offset" || ':' || unicode_offset || ':' || unicode_length, ',' ORDER BY pos)) AS places_md5
+FROM every GROUP BY mode, doc_id"""
 
     q["postings_lexicon"] = f"""
 WITH {DOCS}, {LEX}, {_LEX_POSTINGS}
@@ -221,7 +234,7 @@ WITH {lexicon}, {POSTINGS}, {IDF},
 dtok0 AS (SELECT doc_id, unnest(regexp_extract_all(text, '{LATIN_TOKEN_RE}', 0)) AS word FROM documents),
 stop AS (SELECT word FROM (SELECT word, count(*) AS c FROM dtok0 WHERE length(word) > 1 GROUP BY word ORDER BY c DESC, word LIMIT 50)),
 ktok AS (
-  SELECT p.doc_id, t.word, CAST(byte0 + strlen(substring(piece, 1, CAST(t.at AS BIGINT))) AS BIGINT) AS "offset"
+  SELECT p.doc_id, t.word, CAST(byte0 + strlen(substring(piece, 1, CAST(t.place AS BIGINT))) AS BIGINT) AS "offset"
   FROM placed p JOIN mord t ON t.doc_id = p.pid
   WHERE length(t.word) > 1 AND t.word NOT IN (SELECT word FROM stop)
 ),
@@ -231,6 +244,6 @@ counts AS (
 scored AS (
   SELECT c.doc_id, c.word, c.offsets, c.tf * coalesce(i.idf, (SELECT a FROM idfavg)) AS weight FROM counts c LEFT JOIN idf i USING (word)
 ),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, word) AS rank FROM scored)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 12) DESC, word) AS rank FROM scored)
 SELECT doc_id, CAST(rank AS BIGINT) AS rank, word, offsets, round(weight, 10) AS weight FROM ranked WHERE rank <= 5"""
     return q

@@ -1,7 +1,9 @@
 """Loaders for the dictionary-style inputs: lexicon, user lexicon, IDF table,
-stop words.  Each is ``spark.read.text`` plus column expressions; line order
-(for "last line wins") comes from ``monotonically_increasing_id`` within a
-file and the file's place in the given list."""
+stop words.  Each is ``spark.read.text`` plus column expressions.
+
+Line order (for "last line wins") is the order of the given list, then of the
+file names (an entry may be a directory of part files), then of the lines, whatever
+splits the files are read in: ``line_no`` is a text that sorts that way."""
 
 from __future__ import annotations
 
@@ -20,14 +22,14 @@ def _paths(paths) -> list[str]:
 
 
 def _lines(spark: SparkSession, paths) -> DataFrame:
-    """(value, line_no) over one or more files, in file-list order (512 files at
-    most, each of up to 2^21 splits, so the numbers never meet)."""
+    """(value, line_no) over one or more files or directories."""
     frames = []
-    if len(_paths(paths)) > 512:
-        raise ValueError("more than 512 dictionary files")
     for i, p in enumerate(_paths(paths)):
-        frames.append(spark.read.text(p).select(
-            "value", (F.lit(i).cast("long") * (1 << 54) + F.monotonically_increasing_id()).alias("line_no")))
+        # rows of one block are numbered in their order; blocks and files sort by where they begin
+        frames.append(spark.read.text(p).select("value", F.concat(
+            F.lit(f"{i:06d} "), F.col("_metadata.file_path"), F.lit("\u0001"),
+            F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"), F.lit(" "),
+            F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")).alias("line_no")))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
