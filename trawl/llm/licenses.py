@@ -2,13 +2,13 @@
 
 All rolling word k-gram hashes of the documents are joined by Spark to the
 template positions (a fixed, small table, so broadcast).  Votes are summed per
-(document, template, diagonal = word position - template position);
-neighbouring diagonals are merged to spans, and each span is verified by its
-words against the template.
+(row, template, diagonal = word position - template position); neighbouring
+diagonals are merged to spans.  A span reaches over the whole template, begun
+and ended where its diagonals put it, and is verified by its words.
 
-Null or empty text: no words, no labels, score 0.  Rows with a null doc_id get
-the base result only.  Rows with a repeated doc_id share the candidate spans,
-and each is verified by its own text.
+Null or empty text: no words, no labels, score 0.  Rows are told apart by a hash
+of id and text, so null and repeated ids are scanned like others; rows that
+share it share candidate spans, and each is verified by its own text.
 """
 
 from __future__ import annotations
@@ -22,24 +22,48 @@ from pyspark.sql import functions as F
 
 from trawl.llm.common import WordHash, arrow_map, rolling
 
-K = 4
+K = 3
 SLACK = 3        # diagonals at most this far apart are one span (inserted or lost words)
 COVER = 0.8      # share of a template's words that a verified span has
 
 # Phrases and labels of the base, then wording of public licenses.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 TEMPLATES = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+            "documentation files the software to deal in the software without restriction including without limitation the "
+            "rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+            "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice "
+            "and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software "
             "and associated documentation files"),
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+            "provided that the above copyright notice and this permission notice appear in all copies"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with "
+                   "the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required "
+                   "by applicable law or agreed to in writing software distributed under the license is distributed on an as is "
+                   "basis without warranties or conditions of any kind either express or implied"),
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "you may not use this file except in compliance with the license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+            "following conditions are met redistributions of source code must retain the above copyright notice this list of "
+            "conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice "
+            "this list of conditions and the following disclaimer in the documentation and or other materials provided with the "
+            "distribution"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted "
             "provided that the following conditions are met"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc", "licensed under a creative commons attribution"),
+    ("cc", "licensed under the creative commons attribution 4 0 international license"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+            "license as published by the free software foundation either version 3 of the license or at your option any later "
+            "version"),
     ("gpl", "either version 3 of the license or at your option any later version"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general "
+             "public license as published by the free software foundation"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
 _KEEP = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -50,8 +74,8 @@ def license_words(text: str | None) -> list[bytes]:
 
 
 def grams(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, h) of every k-gram of every document."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("h", pa.int64())])
+    """(key, pos, h) of every k-gram of every row."""
+    arrow = pa.schema([("key", pa.int64()), ("pos", pa.int32()), ("h", pa.int64())])
     hashes = WordHash()
 
     def run(batches):
@@ -59,7 +83,7 @@ def grams(docs: DataFrame) -> DataFrame:
             for k in range(0, batch.num_rows, 64):
                 ids, pos, hs = [], [], []
                 b = batch.slice(k, 64).to_pydict()
-                for i, t in zip(b["doc_id"], b["text"]):
+                for i, t in zip(b["key"], b["text"]):
                     h = hashes(license_words(t))
                     if len(h) >= K:
                         h = rolling(h, K)
@@ -69,30 +93,37 @@ def grams(docs: DataFrame) -> DataFrame:
                 if ids:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, pos, hs)], schema=arrow)
 
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text") \
-        .mapInArrow(run, "doc_id long, pos int, h long")
+    return docs.select("key", "text").mapInArrow(run, "key long, pos int, h long")
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, tpl, first, last) word ranges with merged diagonals."""
-    hashes, rows = WordHash(), []
+def keyed(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, text): rows with a hash of id and text."""
+    i = F.col("doc_id").cast("long")
+    return docs.select(F.xxhash64(F.coalesce(i, F.lit(-1).cast("long")), i.isNull(), "text").alias("key"), i.alias("doc_id"), "text")
+
+
+def spans(rows: DataFrame) -> DataFrame:
+    """(key, tpl, first, last) word ranges with merged diagonals."""
+    hashes, made = WordHash(), []
     for t, (_, wording) in enumerate(TEMPLATES):
         for p, h in enumerate(rolling(hashes(license_words(wording)), K).view(np.int64).tolist()):
-            rows.append((h, t, p))
-    table = docs.sparkSession.createDataFrame(rows, "h long, tpl int, at int")
-    votes = (grams(docs).join(F.broadcast(table), "h").groupBy("doc_id", "tpl", (F.col("pos") - F.col("at")).alias("diag"))
-             .agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last")))
-    w = Window.partitionBy("doc_id", "tpl").orderBy("diag")
+            made.append((h, t, p))
+    table = rows.sparkSession.createDataFrame(made, "h long, tpl int, at int")
+    votes = (grams(rows).join(F.broadcast(table), "h").groupBy("key", "tpl", (F.col("pos") - F.col("at")).alias("diag"))
+             .agg(F.count(F.lit(1)).alias("votes")))
+    w = Window.partitionBy("key", "tpl").orderBy("diag")
     new = F.when(F.col("diag") - F.lag("diag").over(w) <= SLACK, 0).otherwise(1)
     run = votes.withColumn("new", new).withColumn("span", F.sum("new").over(w))
-    return run.groupBy("doc_id", "tpl", "span").agg(F.min("first").alias("first"),
-                                                    (F.max("last") + K).alias("last"), F.sum("votes").alias("votes"))
+    long = F.element_at(F.lit([len(license_words(x)) for _, x in TEMPLATES]), F.col("tpl") + 1)
+    return run.groupBy("key", "tpl", "span").agg(F.min("diag").alias("lo"), F.max("diag").alias("hi"), F.sum("votes").alias("votes")) \
+        .select("key", "tpl", F.greatest(F.lit(0), F.col("lo")).alias("first"), (F.col("hi") + long).alias("last"), "votes")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Base result, labels and score of every document."""
-    found = spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("tpl", "first", "last")).alias("spans"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id", "left")
+    own = keyed(docs)
+    found = spans(own).groupBy("key").agg(F.collect_list(F.struct("tpl", "first", "last")).alias("spans"))
+    rows = own.join(found, "key", "left").select("doc_id", "text", "spans")
     phrases = [(p.encode().split(), label) for p, label in PHRASES]
     wordings = [(label, license_words(x)) for label, x in TEMPLATES]
     hashes = WordHash()
