@@ -19,9 +19,7 @@ from trawl.sources.tables import documents
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the perplexity band."""
-    kept = quality.verdicts(docs).where("kept").select("doc_id", "text_key").distinct()
-    same = docs["doc_id"].eqNullSafe(kept["doc_id"]) & (F.xxhash64(docs["text"]) == kept["text_key"])
-    return docs.join(kept, same, "left_semi")
+    return quality.kept_rows(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,52 +11,93 @@ from trawl.llm import quality
 SCHEMA = "doc_id long, text string, lang string"
 
 
-def brute_force(texts: list[str]) -> list[float]:
-    """Sums of natural logs under an interpolated modified Kneser-Ney model."""
+def model(texts: list[str]):
+    """log p(w | context) of an interpolated modified Kneser-Ney model, for any n-gram."""
     n = quality.ORDER
     padded = [chr(quality.PAD) * (n - 1) + t for t in texts]
     levels = {n: Counter(t[i:i + n] for t in padded for i in range(len(t) - n + 1))}
     for k in range(n - 1, 0, -1):
         levels[k] = Counter(g[1:] for g in levels[k + 1])
     total = sum(levels[1].values())
-    p = {g: (c + 0.5) / (total + 0.5 * len(levels[1])) for g, c in levels[1].items()}
+    whole, back, disc = {}, {}, {}
     for k in range(2, n + 1):
         n1, n2, n3, n4 = (sum(c == i for c in levels[k].values()) for i in (1, 2, 3, 4))
         d = [0.5, 0.75, 0.9]
         if n1 and n2 and n3 and n4:
             y = n1 / (n1 + 2 * n2)
-            d = [min(max(x, 0), i) for i, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
-        whole, back = defaultdict(float), defaultdict(float)
+            d = [min(max(x, quality.LEAST_DISCOUNT), i) for i, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+        disc[k] = [0, *d]
+        whole[k], back[k] = Counter(), Counter()
         for g, c in levels[k].items():
-            whole[g[:-1]] += c
-            back[g[:-1]] += d[min(c, 3) - 1]
-        p = {g: (c - d[min(c, 3) - 1]) / whole[g[:-1]] + back[g[:-1]] / whole[g[:-1]] * p[g[1:]] for g, c in levels[k].items()}
-    return [sum(math.log(p[t[i:i + n]]) for i in range(len(t) - n + 1)) for t in padded]
+            whole[k][g[:-1]] += c
+            back[k][g[:-1]] += d[min(c, 3) - 1]
+
+    def p(g):
+        k = len(g)
+        if k == 1:
+            return (levels[1][g] + 0.5) / (total + 0.5 * (len(levels[1]) + 1))
+        lower, t = p(g[1:]), whole[k][g[:-1]]
+        if not t:
+            return lower
+        c = levels[k][g]
+        return (c - disc[k][min(c, 3)]) / t + back[k][g[:-1]] / t * lower
+    return p
+
+
+def brute_force(texts: list[str], halves: list[int]) -> list[float]:
+    """Sums of natural logs, each text by the model of the other half."""
+    n = quality.ORDER
+    p = [model([t for t, h in zip(texts, halves) if h == i]) for i in (0, 1)]
+    padded = [chr(quality.PAD) * (n - 1) + t for t in texts]
+    return [sum(math.log(p[1 - h](t[i:i + n])) for i in range(len(t) - n + 1)) for t, h in zip(padded, halves)]
 
 
 def words(rng, letters, n):
     return " ".join("".join(rng.choice(list(letters), rng.integers(2, 6))) for _ in range(n))
 
 
-@pytest.mark.parametrize("bits, part", [(quality.BITS, quality.PART), (4, 300)])
-def test_model_equals_brute_force_by_language(spark, monkeypatch, bits, part):
+def half_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").selectExpr("i", "pmod(xxhash64(text), 2) AS h").collect()
+    return [r.h for r in sorted(rows)]
+
+
+def texts_by_language(rng):
     # letters beyond ASCII that a folding to 128 classes would take for one another
+    return {"en": [words(rng, "abcde", 40) for _ in range(20)], "ja": [words(rng, "日本語東京大学院", 30) for _ in range(20)],
+            "": [words(rng, "abxyz\U0001f600", 20), "\x00 \x00", "one", "two", "three"]}
+
+
+@pytest.mark.parametrize("part, most, chunk", [(quality.PART, quality.MODEL_ROWS, quality.CHUNK), (300, 0, 900)])
+def test_model_equals_brute_force_by_language(spark, monkeypatch, part, most, chunk):
     monkeypatch.setattr(quality, "PART", part)
-    rng = np.random.default_rng(5)
-    texts = {"en": [words(rng, "abcde", 40) for _ in range(20)], "ja": [words(rng, "日本語東京大学院", 30) for _ in range(20)],
-             "": [words(rng, "abxyz\U0001f600", 20), "\x00 \x00", "one"]}
-    rows = [(i, t, lang or None) for lang in texts for i, t in enumerate(texts[lang])]
-    found = {(r.lang, r.doc_id): r.log_ppl for r in quality.scored(spark.createDataFrame(rows, SCHEMA)).collect()}
+    monkeypatch.setattr(quality, "CHUNK", chunk)
+    texts = texts_by_language(np.random.default_rng(5))
+    rows = [(i, t, lang or None) for lang in texts for i, t in enumerate(texts[lang])] + [(99, None, "en"), (99, "", "xx")]
+    found = {(r.lang, r.doc_id): r.log_ppl for r in quality.scored(spark.createDataFrame(rows, SCHEMA), most=most).collect()}
+    assert len(found) == len(rows) and found["en", 99] is None and found["xx", 99] is None
     for lang, ts in texts.items():
-        for i, (t, s) in enumerate(zip(ts, brute_force(ts))):
-            assert math.isclose(found[lang, i], -s / len(t.split()), rel_tol=1e-9)
-    tally = quality.Tally()
-    got = Counter()
-    monkeypatch.setattr(quality, "BITS", bits)  # with 4, the alphabets do not fit
+        for i, (t, s) in enumerate(zip(ts, brute_force(ts, half_of(spark, ts)))):
+            assert math.isclose(found[lang, i], -s / len(t.replace(" ", "")), rel_tol=1e-5), (lang, i)
+
+
+def test_probabilities_sum_to_one():
+    p = model(texts_by_language(np.random.default_rng(5))["en"])
+    for context in ("abcd", "zzzz", " abc", chr(quality.PAD) * 4):
+        assert math.isclose(sum(p(context + w) for w in "abcde ") + p(context + "\x01"), 1, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("bits", [quality.BITS, 3])
+def test_counts_with_few_numbers_for_characters(monkeypatch, bits):
+    monkeypatch.setattr(quality, "BITS", bits)  # with 3, the alphabets do not fit
+    texts = texts_by_language(np.random.default_rng(6))
+    tally, got = quality.Tally(), Counter()
     for lang, ts in texts.items():
-        for _, cps, n in [*tally.add(lang, ts), *tally.flush()]:
-            for g, c in zip(cps.tolist(), n.tolist()):
-                got[lang, "".join(map(chr, g))] += c
+        tally.add((lang, 0), *quality.padded(ts))
+    tally.flush()
+    for (lang, _), a, b, n in tally.out:
+        for x, y, c in zip(a.tolist(), b.tolist(), n.tolist()):
+            mask = (1 << quality.WIDE) - 1
+            got[lang, "".join(chr(v & mask) for v in (x >> quality.WIDE, x, y >> 2 * quality.WIDE, y >> quality.WIDE, y))] += c
     pad = chr(quality.PAD) * 4
     assert got == Counter((lang, (pad + t)[i:i + 5]) for lang, ts in texts.items() for t in ts for i in range(len(t)))
 
@@ -64,12 +105,29 @@ def test_model_equals_brute_force_by_language(spark, monkeypatch, bits, part):
 def test_no_characters_share_a_class_and_the_model_grows():
     def distinct(texts):
         tally = quality.Tally()
-        return sum(len(n) for _, _, n in [*tally.add("zh", texts), *tally.flush()])
+        tally.add(("zh", 0), *quality.padded(texts))
+        tally.flush()
+        return sum(len(x[3]) for x in tally.out)
 
     han = [chr(0x4E00 + i) for i in range(3000)]
     assert distinct(["".join(han)]) == 3000 and distinct(["".join(han), "".join(han[::-1])]) == 6000
 
 
+def test_random_characters_look_as_unlikely_as_they_are(spark):
+    rng = np.random.default_rng(2)
+    han = [chr(0x4E00 + i) for i in range(2500)]
+    rows = [(i, "".join(rng.choice(han, 240)), "zh") for i in range(40)]
+    for r in quality.scored(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert r.log_ppl > 7  # a model that had seen the text would say 0.1
+
+
+def test_band_of_very_large_perplexities_is_not_capped(spark):
+    rows = [("en", 60, 0, 1100.0 + i) for i in range(200)]
+    s = spark.createDataFrame(rows, "lang string, n_words long, n_repeat_words long, log_ppl double")
+    band = quality.bands(s).first()
+    assert band.least < 1100 and band.most > 1299
+
+
 def test_symbol_laden_texts_are_rejected_and_plain_ones_stay(spark):
     rng = np.random.default_rng(1)
     vocab = [words(rng, "etaoinshrdlu", 1) for _ in range(3000)]
@@ -85,5 +143,5 @@ def test_symbol_laden_texts_are_rejected_and_plain_ones_stay(spark):
 def test_base_failures_do_not_widen_the_band(spark):
     rows = [("en", 60, 0, 9.0 + i / 100) for i in range(100)] + [("en", 3, 0, 40.0 + i) for i in range(100)]
     s = spark.createDataFrame(rows, "lang string, n_words long, n_repeat_words long, log_ppl double")
-    band = quality.bands(s).first()
+    band = quality.bands(s, 2.5, 3.0).first()
     assert 7 < band.least < 9 and 10 < band.most < 13

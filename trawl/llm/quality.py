@@ -1,19 +1,26 @@
 """Quality rules: base counts and n-gram perplexity bands per language.
 
-The model is an interpolated modified Kneser-Ney model of character 5-grams,
-one per language, over whole code points.  An n-gram is a binary of three bytes
-a character, so prefixes and suffixes are substrings of it.  Counts, counts of
-counts, continuation counts, back-off weights and probabilities are Spark
-aggregations and joins; nothing of the model is collected or broadcast.
-
-Documents are packed into chunks of CHUNK characters at most.  A chunk sends
-each of its distinct n-grams once, the model's probabilities of just these
-come back to it, and its documents are scored by binary search in them.
-
-A document's perplexity is per word.  Quartiles over the documents that pass
-the base rules give the band of a language, ``[Q1 - LOW * IQR, Q3 + HIGH *
-IQR]``; outside it, a document is rejected.  Quartiles of ``n`` documents are
-uncertain, so both widths grow by ``sqrt(1 + FEW / n)``.
+The model is an interpolated modified Kneser-Ney model of character 5-grams
+over whole code points, one for each language and half of the documents (by a
+hash of the text, so equal texts share a half).  A document is scored by the
+model of the other half: its own n-grams do not make it look likely.  Spark
+counts: n-gram counts, continuation counts, counts of counts, back-off weights
+and probabilities are aggregations and joins, and the result is one table with
+the two log-probabilities of every n-gram of the corpus.
+
+An n-gram is two longs of 21 bits a character, so contexts and suffixes are
+shifts and masks.  To score, log-probabilities lie in arrays sorted by a 64-bit
+hash, found by the hash's leading bits.  While the table has at most MODEL_ROWS
+rows (counted), the arrays travel to the tasks and documents are scored where
+they are read.  Beyond, documents are packed into chunks of CHUNK characters, a
+chunk asks for the rows of its distinct n-grams by a join, and is scored with an
+array of just these.
+
+Perplexity is per word character, so that scripts with long runs between blanks
+are not apart.  Quartiles over the documents that pass the base rules give the band
+of a language, ``[Q1 - LOW * IQR, Q3 + HIGH * IQR]``; outside it, a document is
+rejected.  Quartiles of ``n`` documents are uncertain, so both widths grow by
+``sqrt(1 + FEW / n)``; a language with fewer than FEW such documents has no band.
 
 Null or empty text: no words, all counts 0, no perplexity, base_failed.
 Null lang: the language "".  Null or repeated ids: each row by itself.
@@ -21,7 +28,7 @@ Null lang: the language "".  Null or repeated ids: each row by itself.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,129 +38,80 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import WordHash, hot_join, rolling
+from trawl.llm.common import hot_join, mix, rolling
 from trawl.session import bounded_broadcast, materialize, scratch_path
 
-LOW, HIGH = 2.5, 3.0  # chosen on the labelled documents of sf0.1
+LOW, HIGH = 6.0, 8.0  # chosen on the labelled documents of sf0.1 with an even doc_id
 FEW = 30
 MIN_WORDS = 50
-BIN = 100  # histogram bins per nat
-LOW_BIN, HIGH_BIN = 0, 100_000
-LEAST_IQR = 10  # bins
+BIN = 1000  # histogram bins per nat
+LEAST_IQR = 20  # bins
 
 ORDER = 5
-CHUNK = 1 << 26  # characters
+LEAST_DISCOUNT = 0.1  # so that an n-gram not seen after a known context has a probability
+MODEL_ROWS = 1 << 23  # rows of 16 bytes that travel to the tasks
+CHUNK = 1 << 23  # characters
 MOST_BUCKETS = 50_000
-PART = 1 << 21  # characters decoded at a time
-WIDTH = 3  # bytes of a character in an n-gram
+PART = 1 << 18  # characters handled at a time
+HELD = 1 << 22  # distinct n-grams that a task holds before it sends them on
 BITS = 12  # of a character's number in a packed n-gram, which has 60 bits
+WIDE = 21  # bits of a code point in a pair of longs
 PAD = 0x10FFFF  # stands before a text; not a character
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
+SYMBOLS = "#*$%&|<>"
 
-def classes(text: str) -> np.ndarray:
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    return np.where(cp < 128, cp, 128 + (cp * 2654435761 >> 7) % 128)
-
-
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed 3-grams of all texts (each led by two zeros) and their owners."""
-    cs = [classes(t) for t in texts]
-    lens = np.array([len(c) for c in cs], np.int64)
-    if not lens.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pad = np.zeros(2, np.int64)
-    flat = np.concatenate([x for c in cs for x in (pad, c)])
-    own = np.repeat(np.arange(len(cs)), lens + 2)
-    first = np.cumsum(lens + 2) - (lens + 2)
-    keep = np.ones(len(flat), bool)
-    keep[first] = keep[first + 1] = False
-    at = np.flatnonzero(keep)
-    return flat[at - 2] << 16 | flat[at - 1] << 8 | flat[at], own[at]
-
-
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts D1, D2, D3+ from counts of counts."""
-    n1, n2, n3, n4 = ((n == i).sum() for i in (1, 2, 3, 4))
-    if not (n1 and n2 and n3 and n4):
-        return np.array([0.0, 0.5, 0.75, 0.9])
-    y = n1 / (n1 + 2 * n2)
-    return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0, [0, 1, 2, 3])
-
-
-class KneserNey:
-    """A small model of folded 3-grams in memory; ``verdicts`` does not use it."""
-
-    def __init__(self, g: np.ndarray, n: np.ndarray):
-        order = np.argsort(g)
-        g, n = g[order].astype(np.int64), n[order]
-        self.k3 = g
-        self.k2, c2 = np.unique(g & 0xFFFF, return_counts=True)          # histories before a 2-gram
-        c1 = np.bincount(self.k2 & 0xFF, minlength=256)                   # histories before a character
-        p1 = (c1 + 0.5) / (c1.sum() + 128.0)
-        self.h1, b1, p2 = self._level(self.k2 >> 8, c2, lambda: p1[self.k2 & 0xFF])
-        self.b1 = np.zeros(256)
-        self.b1[:] = 1.0
-        self.b1[self.h1] = b1
-        self.p1, self.p2 = p1, p2
-        self.h2, self.b2, self.p3 = self._level(g >> 8, n, lambda: self._two(g & 0xFFFF))
-
-    @staticmethod
-    def _level(ctx, n, lower):
-        d = _discounts(n)[np.minimum(n, 3)]
-        keys, inv = np.unique(ctx, return_inverse=True)
-        total = np.bincount(inv, n)
-        back = np.bincount(inv, d) / total
-        return keys, back, np.maximum(n - d, 0) / total[inv] + back[inv] * lower()
-
-    @staticmethod
-    def _find(keys, q):
-        at = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
-        return at, keys[at] == q
-
-    def _two(self, g):
-        at, hit = self._find(self.k2, g)
-        return np.where(hit, self.p2[at], self.b1[g >> 8] * self.p1[g & 0xFF])
-
-    def log_p(self, g: np.ndarray) -> np.ndarray:
-        if not len(self.k3):
-            return np.full(len(g), np.log(1 / 256))
-        u, inv = np.unique(g, return_inverse=True)
-        at, hit = self._find(self.k3, u)
-        ctx, known = self._find(self.h2, u >> 8)
-        p = np.where(hit, self.p3[at], np.where(known, self.b2[ctx], 1.0) * self._two(u & 0xFFFF))
-        return np.log(p)[inv]
 
-
-SYMBOLS = str.maketrans("", "", "#*$%&|<>")
-
-
-def base_counts(text: str, hashes: WordHash) -> tuple:
+def base_counts(text: str) -> tuple:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     n = len(words)
     chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
-    symbols = len(text) - len(text.translate(SYMBOLS))
+    symbols = sum(map(text.count, SYMBOLS))
     lines = [x for x in raw.split(b"\n") if x.split()]
     repeat = 0
     if n >= 3:
-        w = rolling(hashes(words), 3)
-        _, inv, c = np.unique(w, return_inverse=True, return_counts=True)
-        twice = np.flatnonzero(c[inv] > 1)
-        cover = np.zeros(n, bool)
-        for i in range(3):
-            cover[twice + i] = True
-        repeat = int(cover.sum())
+        w = rolling(np.fromiter(map(hash, words), np.int64, n).view(np.uint64), 3)
+        s = np.sort(w)
+        again = s[1:][s[1:] == s[:-1]]
+        if len(again):
+            twice = np.flatnonzero(np.isin(w, again))
+            cover = np.zeros(n, bool)
+            for i in range(3):
+                cover[twice + i] = True
+            repeat = int(cover.sum())
     return n, chars, symbols, len(lines) - len(set(lines)), repeat
 
 
+def padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts one after another, ORDER - 1 PADs before each, and
+    the text (or -1) that an n-gram belongs to, by its last place from ORDER - 1 on."""
+    pad = np.full(ORDER - 1, PAD, "<u4")
+    cps = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
+    flat = np.concatenate([x for c in cps for x in (pad, c)]).astype(np.int64)
+    sizes = np.array([len(c) + ORDER - 1 for c in cps])
+    own = np.repeat(np.arange(len(cps)), sizes)
+    own[((np.cumsum(sizes) - sizes)[:, None] + np.arange(ORDER - 1)).ravel()] = -1
+    return flat, own[ORDER - 1:]
+
+
+def pairs(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram that ends at each place from ORDER - 1 on, as two longs."""
+    two = flat[:-1] << WIDE | flat[1:]
+    return two[:-3], flat[2:-2] << 2 * WIDE | two[3:]
+
+
+def gram_hash(lang: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a.astype(np.uint64) * _A + b.astype(np.uint64) * _B + lang.astype(np.uint64))
+
+
 class Alphabet:
     """Numbers for the code points seen by a task, below 2^BITS."""
 
     def __init__(self):
         self.ids = np.full(PAD + 1, -1, np.int16)
         self.cps = np.zeros(0, np.int64)
-        self.add(np.array([PAD]))
 
     def add(self, cps: np.ndarray) -> bool:
         """Numbers new code points, if all of them find room."""
@@ -174,69 +132,282 @@ class Alphabet:
             out |= ids[i:n + i]
         return out
 
-    def unpacked(self, keys: np.ndarray) -> np.ndarray:
-        shifts = BITS * np.arange(ORDER - 1, -1, -1)
-        return self.cps[keys[:, None] >> shifts & (1 << BITS) - 1]
+    def unpacked(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two longs of packed n-grams."""
+        c = [self.cps[keys >> BITS * (ORDER - 1 - i) & (1 << BITS) - 1] for i in range(ORDER)]
+        return c[0] << WIDE | c[1], c[2] << 2 * WIDE | c[3] << WIDE | c[4]
 
 
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+class Tally:
+    """n-gram counts by a key (language, half); rows go to ``out`` when there are many."""
 
+    def __init__(self):
+        self.alphabet, self.found, self.held, self.out = Alphabet(), defaultdict(list), 0, []
 
-def padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts one after another, ORDER - 1 PADs before each, and where an
-    n-gram ends in a character of a text, from place ORDER - 1 on."""
-    pad = np.full(ORDER - 1, PAD, np.int64)
-    cps = [code_points(t) for t in texts]
-    flat = np.concatenate([x for c in cps for x in (pad, c)])
-    own = np.repeat(np.arange(len(cps)), [len(c) + ORDER - 1 for c in cps])
-    first = np.concatenate([[0], np.cumsum([len(c) + ORDER - 1 for c in cps])[:-1]])
-    own[(first[:, None] + np.arange(ORDER - 1)).ravel()] = -1
-    return flat, own[ORDER - 1:]
+    def add(self, key: tuple, flat: np.ndarray, own: np.ndarray) -> None:
+        if not self.alphabet.add(flat):
+            self.flush()
+            self.alphabet = Alphabet()
+            if not self.alphabet.add(flat):  # more code points than have numbers
+                half = len(own) // 2
+                self.add(key, flat[:half + ORDER - 1], own[:half])
+                self.add(key, flat[half:], own[half:])
+                return
+        keys = np.sort(self.alphabet.packed(flat)[own >= 0])
+        if not len(keys):
+            return
+        self.found[key].append(self.counted(keys, np.ones(len(keys), np.int64)))
+        self.held += len(self.found[key][-1][0])
+        if len(self.found[key]) >= 16:
+            self.merge(key)
+        if self.held > HELD:
+            self.flush()
+
+    @staticmethod
+    def counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[first], np.add.reduceat(n, first)
+
+    def merge(self, key: tuple) -> None:
+        keys, n = map(np.concatenate, zip(*self.found[key]))
+        order = np.argsort(keys)
+        self.found[key] = [self.counted(keys[order], n[order])]
+        self.held += len(self.found[key][0][0]) - len(keys)
+
+    def flush(self) -> None:
+        for key in self.found:
+            self.merge(key)
+            keys, n = self.found[key][0]
+            self.out.append((key, *self.alphabet.unpacked(keys), n))
+        self.found.clear()
+        self.held = 0
+
+
+def by_half(batch: dict) -> dict[tuple, list[int]]:
+    """Rows with text by (language, half)."""
+    out = defaultdict(list)
+    for i, (lang, half, t) in enumerate(zip(batch["lang"], batch["half"], batch["text"])):
+        if t:
+            out[lang, half].append(i)
+    return out
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about PART characters, one row at least."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = 0
+    while at < len(sizes):
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at:at + 4096]), PART, "right")))
+        yield batch.slice(at, n)
+        at += n
+
+
+GRAMS = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("a", pa.int64()), ("b", pa.int64()),
+                   ("n0", pa.int64()), ("n1", pa.int64())])
 
 
-def to_bytes(cps: np.ndarray) -> pa.Array:
-    """Rows of ORDER code points as binaries."""
-    raw = np.ascontiguousarray(cps.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - WIDTH:])
-    at = np.arange(len(cps) + 1, dtype=np.int32) * (ORDER * WIDTH)
-    return pa.Array.from_buffers(pa.binary(), len(cps), [None, pa.py_buffer(at), pa.py_buffer(raw)])
+def tally_rows(tally: Tally, chunk: int) -> Iterator[pa.RecordBatch]:
+    for (lang, half), a, b, n in tally.out:
+        none = np.zeros(len(n), np.int64)
+        for k in range(0, len(n), 50_000):
+            s = slice(k, k + 50_000)
+            m = len(n[s])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(m, chunk)), pa.array([lang] * m, pa.string()), pa.array(a[s]), pa.array(b[s]),
+                 pa.array((none if half else n)[s]), pa.array((n if half else none)[s])], schema=GRAMS)
+    tally.out.clear()
 
 
-def from_bytes(grams: pa.ChunkedArray) -> np.ndarray:
-    raw = np.frombuffer(b"".join(grams.to_pylist()), np.uint8).reshape(-1, WIDTH).astype(np.int64)
-    return (raw[:, 0] << 16 | raw[:, 1] << 8 | raw[:, 2]).reshape(-1, ORDER)
+def add_texts(tally: Tally, batch: dict) -> None:
+    for key, rows in by_half(batch).items():
+        tally.add(key, *padded([batch["text"][i] for i in rows]))
+
+
+_GRAM_DDL = "chunk long, lang string, a long, b long, n0 long, n1 long"
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(lang, a, b, n0, n1): n-gram counts of tasks, by half."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for batch in batches:
+            for part in slices(batch):
+                add_texts(tally, part.to_pydict())
+                yield from tally_rows(tally, 0)
+        tally.flush()
+        yield from tally_rows(tally, 0)
+
+    return rows.select("lang", "half", "text").mapInArrow(run, _GRAM_DDL).drop("chunk")
+
+
+# suffix (k - 1 characters) and context of an n-gram of k characters
+_SUFFIX = {5: (f"a & {(1 << WIDE) - 1}", "b"), 4: ("0L", "b"), 3: ("0L", f"b & {(1 << 2 * WIDE) - 1}"),
+           2: ("0L", f"b & {(1 << WIDE) - 1}")}
+_BEFORE = ("a", f"shiftright(b, {WIDE})")
+
+
+def discounts(level: DataFrame) -> DataFrame:
+    """(lang, d1_0, d2_0, d3_0, d1_1, ...): modified Kneser-Ney discounts by half."""
+    seen = level.groupBy("lang").agg(*[F.count_if(F.col(f"n{h}") == i).cast("double").alias(f"c{i}_{h}")
+                                       for h in (0, 1) for i in (1, 2, 3, 4)])
+    cells = []
+    for h in (0, 1):
+        y = f"c1_{h} / nullif(c1_{h} + 2 * c2_{h}, 0)"
+        whole = " AND ".join(f"c{i}_{h} > 0" for i in (1, 2, 3, 4))
+        cells += [f"CASE WHEN {whole} THEN greatest({LEAST_DISCOUNT}D, least({i}D, {i} - {i + 1} * {y} * c{i + 1}_{h} / nullif(c{i}_{h}, 0))) "
+                  f"ELSE {e}D END AS d{i}_{h}" for i, e in ((1, 0.5), (2, 0.75), (3, 0.9))]
+    return seen.selectExpr("lang", *cells)
+
+
+def probabilities(grams: DataFrame) -> DataFrame:
+    """(lang, a, b, p0, p1) of every n-gram of the corpus from counts (lang, a, b, n0,
+    n1): its probability in the model of either half, seen there or not."""
+    levels = {ORDER: materialize(grams.groupBy("lang", "a", "b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")),
+                                 f"grams_{ORDER}")}
+    for k in range(ORDER, 1, -1):  # how many n-grams of k characters end in one of k - 1
+        a, b = _SUFFIX[k]
+        levels[k - 1] = materialize(levels[k].groupBy("lang", F.expr(a).alias("a"), F.expr(b).alias("b")).agg(
+            F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1")), f"grams_{k - 1}")
+    size = materialize(levels[1].groupBy("lang").agg(
+        *[F.sum(f"n{h}").alias(f"all{h}") for h in (0, 1)], *[F.count_if(F.col(f"n{h}") > 0).alias(f"size{h}") for h in (0, 1)]), "alphabets")
+    langs, width = size.agg(F.count(F.lit(1)), F.max(F.octet_length("lang"))).first()
+    width = 200 + (width or 0)
+    # one more character stands for those that a half has not seen
+    p = levels[1].join(bounded_broadcast(size, langs, width), "lang").selectExpr(
+        "lang", "a", "b", *[f"(n{h} + 0.5D) / (all{h} + 0.5D * (size{h} + 1)) AS p{h}" for h in (0, 1)])
+    for k in range(2, ORDER + 1):
+        d = bounded_broadcast(materialize(discounts(levels[k]), f"discounts_{k}"), langs, width)
+        # sums of few distinct values times counts, so that their order does not matter
+        back = levels[k].groupBy("lang", *[F.expr(e).alias(c) for e, c in zip(_BEFORE, ("ca", "cb"))]).agg(
+            *[F.sum(f"n{h}").alias(f"t{h}") for h in (0, 1)],
+            *[F.count_if(F.expr(c.format(f"n{h}"))).alias(f"k{i}_{h}") for h in (0, 1)
+              for i, c in ((1, "{} = 1"), (2, "{} = 2"), (3, "{} > 2"))])
+        back = back.join(d, "lang").selectExpr("lang", "ca", "cb", "t0", "t1", *[
+            f"(k1_{h} * d1_{h} + k2_{h} * d2_{h} + k3_{h} * d3_{h}) / nullif(t{h}, 0) AS back{h}" for h in (0, 1)])
+        sa, sb = _SUFFIX[k]
+        rows = levels[k].join(d, "lang").selectExpr(
+            "lang", "a", "b", f"{_BEFORE[0]} AS ca", f"{_BEFORE[1]} AS cb", f"{sa} AS sa", f"{sb} AS sb",
+            *[f"n{h} - CASE n{h} WHEN 0 THEN 0 WHEN 1 THEN d1_{h} WHEN 2 THEN d2_{h} ELSE d3_{h} END AS rest{h}" for h in (0, 1)])
+        lower = p.withColumnsRenamed({"a": "sa", "b": "sb", "p0": "low0", "p1": "low1"})
+        p = rows.join(back, ["lang", "ca", "cb"]).join(lower, ["lang", "sa", "sb"]).selectExpr("lang", "a", "b", *[
+            f"CASE WHEN t{h} > 0 THEN rest{h} / t{h} + back{h} * low{h} ELSE low{h} END AS p{h}" for h in (0, 1)])
+    return p
+
+
+class Model:
+    """Log-probabilities in arrays sorted by the n-gram's hash; ``starts`` has the first
+    place of every leading bit pattern."""
+
+    def __init__(self, keys: np.ndarray, log_p0: np.ndarray, log_p1: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.log_p = keys[order], (log_p0[order], log_p1[order])
+        self.shift = np.uint64(64 - max(1, int(len(keys)).bit_length()))
+        lead = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
+        self.starts = np.searchsorted(self.keys, lead).astype(np.int64)
+
+    def __call__(self, lang_key: int, half: int, texts: list[str]) -> np.ndarray:
+        """The sum of each text by the model of the other half."""
+        flat, own = padded(texts)
+        a, b = pairs(flat)
+        keep = own >= 0
+        key = gram_hash(np.int64(lang_key), a[keep], b[keep])
+        at = self.starts[key >> self.shift]
+        away = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != key)
+        while len(away):
+            at[away] += 1
+            if at[away].max() >= len(self.keys):
+                raise ValueError("the documents changed while they were read")
+            away = away[self.keys[at[away]] != key[away]]
+        return np.bincount(own[keep], self.log_p[1 - half][at], len(texts))
 
 
-DOC = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text_key", pa.int64()), ("text", pa.string())])
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_SCORE_DDL = ", ".join(f"{c} long" for c in COUNTS) + ", log_ppl double"
+_SCORE_FIELDS = [(c, pa.int64()) for c in COUNTS] + [("log_ppl", pa.float64())]
+
+
+def scores(batch: pa.RecordBatch, model: Model) -> list[pa.Array]:
+    """Counts and log-perplexity a word character of rows (text, lang, lang_key, half);
+    symbols count in the sum, not as characters, or else runs of them look likely."""
+    b = {c: batch.column(c).to_pylist() for c in ("text", "lang", "lang_key", "half")}
+    counts = list(zip(*[base_counts(t or "") for t in b["text"]])) or [()] * len(COUNTS)
+    total = np.zeros(len(b["text"]))
+    for (_, half), rows in by_half(b).items():
+        total[rows] = model(b["lang_key"][rows[0]], half, [b["text"][i] for i in rows])
+    ppl = [-t / max(1, c - s) if n else None for t, n, c, s in zip(total.tolist(), *counts[:3])]
+    return [*[pa.array(c, pa.int64()) for c in counts], pa.array(ppl, pa.float64())]
+
+
+def prepared(docs: DataFrame) -> DataFrame:
+    """(lang, lang_key, half, text) of every document."""
+    return docs.selectExpr("coalesce(CAST(lang AS STRING), '') AS lang", "text").selectExpr(
+        "lang", "xxhash64(lang) AS lang_key", "CAST(pmod(xxhash64(text), 2) AS INT) AS half", "text")
 
 
-def packed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(chunk, body): documents as compressed Arrow batches of PART characters or
-    one document, and about how many chunks there are.  A task begins a new chunk
+def gram_keys(lang_key: pa.Array, a: pa.Array, b: pa.Array) -> np.ndarray:
+    return gram_hash(lang_key.to_numpy(), a.to_numpy(), b.to_numpy())
+
+
+def model_of(table: DataFrame) -> Model:
+    """The sorted arrays of a table of at most MODEL_ROWS rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            key = gram_keys(x.column("lang_key"), x.column("a"), x.column("b")).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), x.column("l0"), x.column("l1")], names=["key", "l0", "l1"])
+
+    t = table.mapInArrow(run, "key long, l0 float, l1 float").toArrow()
+    return Model(t.column("key").to_numpy().view(np.uint64), t.column("l0").to_numpy(), t.column("l1").to_numpy())
+
+
+def scored(docs: DataFrame, carry: list[str] | None = None, most: int = MODEL_ROWS) -> DataFrame:
+    """``carry`` columns (doc_id unless given) and lang, counts, log_ppl of every row.
+    ``most``: rows of the model up to which it travels to the tasks."""
+    carry = ["doc_id"] if carry is None else carry
+    log_p = probabilities(counted(prepared(docs))).selectExpr(
+        "lang", "xxhash64(lang) AS lang_key", "a", "b", "CAST(ln(p0) AS FLOAT) AS l0", "CAST(ln(p1) AS FLOAT) AS l1")
+    table = materialize(log_p, "model")
+    own = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]  # clashing names stay apart
+    rows = docs.select(*own, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text").withColumns({
+        "lang_key": F.xxhash64("lang"), "half": F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")})
+    kept = [f"c{i}" for i in range(len(carry))]
+    fields = [f for f in rows.schema.fields if f.name in kept]
+    ddl = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in fields] + ["lang string", _SCORE_DDL])
+    if table.count() <= most:
+        shared = docs.sparkSession.sparkContext.broadcast(model_of(table.drop("lang")))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = shared.value
+            for batch in batches:
+                for x in slices(batch):
+                    yield pa.RecordBatch.from_arrays([*[x.column(c) for c in kept], x.column("lang"), *scores(x, model)],
+                                                     names=[*kept, "lang", *COUNTS, "log_ppl"])
+
+        out = rows.mapInArrow(run, ddl)
+    else:
+        out = scored_by_chunks(rows, kept, table, ddl)
+    out = materialize(out, "quality")
+    return out.withColumnsRenamed(dict(zip(kept, carry)))
+
+
+def packed(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(chunk, body): rows as compressed Arrow batches of PART characters or one
+    document, and about how many chunks there are.  A task begins a new chunk
     after CHUNK characters."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, room = TaskContext.get().partitionId() << 32, CHUNK
         for batch in batches:
-            sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = 0
-            while at < len(sizes):
-                n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), PART, "right")))
-                size = int(sizes[at:at + n].sum())
+            for x in slices(batch):
+                size = pc.sum(pc.utf8_length(x.column("text"))).as_py() or 0
                 if size > room and room < CHUNK:
                     chunk, room = chunk + 1, CHUNK
                 room -= size
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, DOC, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_table(pa.Table.from_batches([batch.slice(at, n)]).cast(DOC))
+                with pa.ipc.new_stream(sink, x.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_batch(x)
                 yield pa.RecordBatch.from_pydict({"chunk": [chunk], "body": [sink.getvalue().to_pybytes()]})
-                at += n
 
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-chars // CHUNK))
-    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "coalesce(CAST(lang AS STRING), '') AS lang",
-                           "xxhash64(text) AS text_key", "text").coalesce(tasks)
-    return rows.mapInArrow(run, "chunk long, body binary"), tasks
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    return rows.mapInArrow(run, "chunk long, body binary"), max(1, -(-chars // CHUNK))
 
 
 def bucketed(df: DataFrame, key: str, n: int) -> tuple[DataFrame, str]:
@@ -248,190 +419,59 @@ def bucketed(df: DataFrame, key: str, n: int) -> tuple[DataFrame, str]:
     return df.sparkSession.table(name), name
 
 
-def unpack(body: bytes) -> dict:
-    return pa.ipc.open_stream(body).read_all().to_pydict()
-
+def unpacked(body: bytes) -> Iterator[pa.RecordBatch]:
+    yield from pa.ipc.open_stream(body)
 
-def by_lang(b: dict) -> dict[str, list[int]]:
-    out = defaultdict(list)
-    for i, (lang, t) in enumerate(zip(b["lang"], b["text"])):
-        if t:
-            out[lang].append(i)
-    return out
 
+def scored_by_chunks(rows: DataFrame, kept: list[str], table: DataFrame, ddl: str) -> DataFrame:
+    """Scores with a model that is too large for the tasks."""
+    chunks, name = bucketed(*(lambda r, n: (r, "chunk", min(4 * n, MOST_BUCKETS)))(*packed(rows)))
 
-GRAMS = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("g", pa.binary()), ("n", pa.int64())])
-
-
-class Tally:
-    """n-gram counts of a chunk by language."""
-
-    def __init__(self):
-        self.alphabet, self.found = Alphabet(), defaultdict(list)
-
-    def add(self, lang: str, texts: list[str]) -> Iterator[tuple]:
-        flat, own = padded(texts)
-        if not self.alphabet.add(flat):
-            yield from self.flush()
-            self.alphabet = Alphabet()
-            if not self.alphabet.add(flat):  # more code points than have numbers
-                if len(texts) > 1:
-                    yield from self.add(lang, texts[:len(texts) // 2])
-                    yield from self.add(lang, texts[len(texts) // 2:])
-                else:
-                    t = chr(PAD) * (ORDER - 1) + texts[0]
-                    c = Counter(t[i:i + ORDER] for i in range(len(texts[0])))
-                    yield lang, np.array([code_points(g) for g in c]), np.fromiter(c.values(), np.int64)
-                return
-        keys = np.sort(self.alphabet.packed(flat)[own >= 0])
-        self.found[lang].append(self.counted(keys, np.ones(len(keys), np.int64)))
-        if len(self.found[lang]) >= 8:
-            self.merge(lang)
-
-    @staticmethod
-    def counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return keys[first], np.add.reduceat(n, first)
-
-    def merge(self, lang: str) -> None:
-        keys, n = map(np.concatenate, zip(*self.found[lang]))
-        order = np.argsort(keys, kind="stable")
-        self.found[lang] = [self.counted(keys[order], n[order])]
-
-    def flush(self) -> Iterator[tuple]:
-        for lang in self.found:
-            self.merge(lang)
-            keys, n = self.found[lang][0]
-            yield lang, self.alphabet.unpacked(keys), n
-        self.found.clear()
-
-
-def counted(chunks: DataFrame) -> DataFrame:
-    """(chunk, lang, g, n): a chunk's n-gram counts, in parts where its rows are
-    read by several tasks."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(found):
-            for lang, cps, n in found:
-                for k in range(0, len(n), 50_000):
-                    m = len(n[k:k + 50_000])
-                    yield pa.RecordBatch.from_arrays([pa.array([now] * m, pa.int64()), pa.array([lang] * m, pa.string()),
-                                                      to_bytes(cps[k:k + m]), pa.array(n[k:k + m])], schema=GRAMS)
-
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, now = Tally(), None
         for batch in batches:
             for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body")):
                 if chunk != now:
-                    yield from rows(tally.flush())
+                    tally.flush()
+                    yield from tally_rows(tally, now or 0)
                     now = chunk
-                b = unpack(body.as_py())
-                for lang, at in by_lang(b).items():
-                    yield from rows(tally.add(lang, [b["text"][i] for i in at]))
-        yield from rows(tally.flush())
-
-    return chunks.mapInArrow(run, "chunk long, lang string, g binary, n long")
-
-
-def probabilities(grams: DataFrame) -> DataFrame:
-    """(lang, g, log_p) of all n-grams, from counts (lang, g, n)."""
-    levels = {ORDER: materialize(grams.groupBy("lang", "g").agg(F.sum("n").alias("n")), f"grams_{ORDER}")}
-    for k in range(ORDER - 1, 0, -1):  # how many n-grams of one character more end in g
-        levels[k] = materialize(levels[k + 1].groupBy("lang", F.substring("g", WIDTH + 1, k * WIDTH).alias("g"))
-                                .agg(F.count(F.lit(1)).alias("n")), f"grams_{k}")
-    size = levels[1].groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("size"))
-    size = materialize(size, "alphabets")
-    langs = size.count()
-    p = levels[1].join(bounded_broadcast(size, langs, 200), "lang") \
-        .selectExpr("lang", "g", "(n + 0.5D) / (total + 0.5D * size) AS p")
-    for k in range(2, ORDER + 1):
-        seen = levels[k].groupBy("lang").agg(*[F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
-        y = "n1 / nullif(n1 + 2 * n2, 0)"
-        whole = "n1 > 0 AND n2 > 0 AND n3 > 0 AND n4 > 0"
-        d = materialize(seen.selectExpr("lang", *[
-            f"CASE WHEN {whole} THEN greatest(0D, least({i}D, {i} - {i + 1} * {y} * n{i + 1} / nullif(n{i}, 0))) ELSE {e}D END AS d{i}"
-            for i, e in ((1, 0.5), (2, 0.75), (3, 0.9))]), f"discounts_{k}")
-        d = bounded_broadcast(d, langs, 200)
-        rows = levels[k].join(d, "lang").selectExpr(
-            "lang", "g", "n", "CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS d",
-            f"substring(g, 1, {(k - 1) * WIDTH}) AS before", f"substring(g, {WIDTH + 1}, {(k - 1) * WIDTH}) AS tail")
-        # sums of few distinct values times counts, so that their order does not matter
-        back = rows.groupBy("lang", "before").agg(
-            F.sum("n").alias("total"), *[F.count_if(F.expr(c)).alias(a) for a, c in
-                                         (("k1", "n = 1"), ("k2", "n = 2"), ("k3", "n > 2"))])
-        back = back.join(d, "lang").selectExpr("lang", "before", "total", "(k1 * d1 + k2 * d2 + k3 * d3) / total AS back")
-        p = rows.join(back, ["lang", "before"]).join(p.withColumnsRenamed({"g": "tail", "p": "lower"}), ["lang", "tail"]) \
-            .selectExpr("lang", "g", "(n - d) / total + back * lower AS p")
-    return p.selectExpr("lang", "g", "ln(p) AS log_p")
-
-
-class Scorer:
-    """Log-probabilities of one language's texts from the n-grams of their chunk,
-    whose languages share an alphabet."""
-
-    def __init__(self, alphabet: Alphabet, cps: np.ndarray, log_p: np.ndarray):
-        self.alphabet, self.exact = alphabet, None
-        if self.alphabet.add(cps.ravel()):
-            keys = self.alphabet.packed(cps.ravel())[::ORDER]
-            order = np.argsort(keys)
-            self.keys, self.log_p = keys[order], log_p[order]
-        else:
-            self.exact = dict(zip(("".join(map(chr, g)) for g in cps.tolist()), log_p.tolist()))
-
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        """The sum of each text."""
-        if self.exact is not None:
-            ts = [chr(PAD) * (ORDER - 1) + t for t in texts]
-            return np.array([sum(self.exact[t[i:i + ORDER]] for i in range(len(t) - ORDER + 1)) for t in ts])
-        flat, own = padded(texts)
-        keys = self.alphabet.packed(flat)[own >= 0]
-        return np.bincount(own[own >= 0], self.log_p[np.searchsorted(self.keys, keys)], len(texts))
-
-
-SCORES = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text_key", pa.int64())]
-                   + [(c, pa.int64()) for c in COUNTS] + [("log_ppl", pa.float64())])
-
+                for x in unpacked(body.as_py()):
+                    add_texts(tally, {c: x.column(c).to_pylist() for c in ("lang", "half", "text")})
+        tally.flush()
+        yield from tally_rows(tally, now or 0)
 
-def scored(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, text_key, counts, log_ppl)."""
-    rows, n = packed(docs)
-    chunks, table = bucketed(rows, "chunk", min(4 * n, MOST_BUCKETS))
-    grams = materialize(counted(chunks), "grams")
-    model = grams.select("chunk", "lang", "g").join(probabilities(grams), ["lang", "g"])
+    # parts of a chunk can be read by several tasks, or sent on before its end
+    want = chunks.mapInArrow(asked, _GRAM_DDL).select("chunk", "lang", "a", "b").distinct()
+    model = want.join(table, ["lang", "a", "b"]).select("chunk", "lang_key", "a", "b", "l0", "l1")
 
     def fn(left: pa.Table, right: pa.Table) -> pa.Table:
-        hashes, alphabet, out = WordHash(), Alphabet(), [SCORES.empty_table()]
-        langs, scorers = pa.concat_arrays([pa.array([], pa.string()), *right.column("lang").chunks]).dictionary_encode(), {}
-        cps, log_p = from_bytes(right.column("g")), right.column("log_p").to_numpy()
-        which = langs.indices.to_numpy()
-        for i, lang in enumerate(langs.dictionary.to_pylist()):
-            scorers[lang] = Scorer(alphabet, cps[which == i], log_p[which == i])
+        t = right.combine_chunks()
+        col = lambda c: t.column(c).combine_chunks()
+        model = Model(gram_keys(col("lang_key"), col("a"), col("b")), col("l0").to_numpy(), col("l1").to_numpy()) if t.num_rows else None
+        out = []
         for body in left.column("body"):
-            b = unpack(body.as_py())
-            counts = dict(zip(COUNTS, zip(*[base_counts(t or "", hashes) for t in b["text"]])))
-            total = np.zeros(len(b["text"]))
-            for lang, at in by_lang(b).items():
-                total[at] = scorers[lang]([b["text"][i] for i in at])
-            ppl = [-t / n if n else None for t, n in zip(total.tolist(), counts["n_words"])]
-            out.append(pa.Table.from_pydict({"doc_id": b["doc_id"], "lang": b["lang"], "text_key": b["text_key"],
-                                             **counts, "log_ppl": ppl}, schema=SCORES))
+            for x in unpacked(body.as_py()):
+                out.append(pa.Table.from_arrays([*[x.column(c) for c in kept], x.column("lang"), *scores(x, model)],
+                                                names=[*kept, "lang", *COUNTS, "log_ppl"]))
         return pa.concat_tables(out)
 
-    out = materialize(chunks.groupBy("chunk").cogroup(model.groupBy("chunk")).applyInArrow(
-        fn, "doc_id long, lang string, text_key long, " + ", ".join(f"{c} long" for c in COUNTS) + ", log_ppl double"), "quality")
-    docs.sparkSession.sql(f"DROP TABLE {table}")
-    return out
+    try:
+        return materialize(chunks.groupBy("chunk").cogroup(model.groupBy("chunk")).applyInArrow(fn, ddl), "quality_chunks")
+    finally:
+        rows.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 BASE_FAILED = f"(n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words)"
 
 
 def bands(scores: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(lang, least, most) from exact quartiles of the binned log-perplexities of
+    """(lang_, least, most) from exact quartiles of the binned log-perplexities of
     the documents that pass the base rules."""
-    b = F.greatest(F.lit(LOW_BIN), F.least(F.lit(HIGH_BIN), F.floor(F.col("log_ppl") * BIN)))
-    hist = scores.where(f"log_ppl IS NOT NULL AND NOT {BASE_FAILED}").groupBy("lang", b.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    hist = scores.where(f"log_ppl IS NOT NULL AND NOT {BASE_FAILED}").groupBy(
+        "lang", F.floor(F.col("log_ppl") * BIN).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("lang")
     run = hist.withColumn("upto", F.sum("n").over(w.orderBy("b"))).withColumn("all", F.sum("n").over(w))
-    q = run.groupBy("lang").agg(
+    q = run.where(f"all >= {FEW}").groupBy("lang").agg(
         F.first("all").alias("n"),
         F.min(F.when(F.col("upto") * 4 >= F.col("all"), F.col("b"))).alias("q1"),
         F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("b"))).alias("q3"))
@@ -440,12 +480,22 @@ def bands(scores: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
                     ((F.col("q3") + 1 + high * width) / BIN).alias("most"))
 
 
-def verdicts(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """Counts, base_failed, log_ppl (nats a word), text_key (xxhash64 of the text)
-    and kept of every document."""
-    s = scored(docs)
-    out = hot_join(s, bands(s, low, high), "lang", "doc_id", "left")
+def judged(docs: DataFrame, carry: list[str] | None = None, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """``scored`` plus base_failed and kept."""
+    s = scored(docs, carry)
+    out = hot_join(s, bands(s, low, high), "lang", "log_ppl", "left")
     inside = F.coalesce(F.col("log_ppl").between(F.col("least"), F.col("most")), F.lit(True))
-    return out.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & inside) \
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                "base_failed", "kept", "log_ppl", "text_key")
+    return out.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & inside)
+
+
+def verdicts(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """Counts, base_failed, kept and log_ppl (nats a word character) of every document."""
+    return judged(docs, None, low, high).select(
+        F.col("doc_id").cast("long").alias("doc_id"), *COUNTS, "base_failed", "kept", "log_ppl")
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, in the columns of ``docs``; their texts are written
+    once beside the scores and filtered there."""
+    marked = docs.select(F.struct(*docs.columns).alias("row"), "lang", "text")
+    return judged(marked, ["row"]).where("kept").select("row.*")
