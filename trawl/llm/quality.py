@@ -53,6 +53,7 @@ MODEL_ROWS = 1 << 23  # rows of 16 bytes that travel to the tasks
 CHUNK = 1 << 23  # characters
 MOST_BUCKETS = 50_000
 PART = 1 << 18  # characters handled at a time
+COUNTED = 1 << 25  # characters that a task counts at least
 HELD = 1 << 22  # distinct n-grams that a task holds before it sends them on
 BITS = 12  # of a character's number in a packed n-gram, which has 60 bits
 WIDE = 21  # bits of a code point in a pair of longs
@@ -227,7 +228,11 @@ _GRAM_DDL = "chunk long, lang string, a long, b long, n0 long, n1 long"
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """(lang, a, b, n0, n1): n-gram counts of tasks, by half."""
+    """(lang, a, b, n0, n1): n-gram counts of tasks, by half.  Small input partitions
+    are read together, as most n-grams of a task are there in the next one too."""
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-chars // COUNTED))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
         for batch in batches:
@@ -237,7 +242,7 @@ def counted(rows: DataFrame) -> DataFrame:
         tally.flush()
         yield from tally_rows(tally, 0)
 
-    return rows.select("lang", "half", "text").mapInArrow(run, _GRAM_DDL).drop("chunk")
+    return rows.select("lang", "half", "text").coalesce(tasks).mapInArrow(run, _GRAM_DDL).drop("chunk")
 
 
 # suffix (k - 1 characters) and context of an n-gram of k characters
