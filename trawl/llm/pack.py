@@ -1,7 +1,8 @@
 """Packing by concatenate and cut.
 
-Pass 1 tokenizes each partition and writes its documents with their offsets
-inside the partition.  The partition totals (one row per partition) give global
+Pass 1 tokenizes each partition (by the merge rounds of ``bpe``, each distinct
+word once as long as a worker knows it) and writes its documents with their
+offsets inside the partition.  The partition totals (one row per partition) give global
 offsets by a prefix sum.  Pass 2 cuts the documents at the window borders; a
 document over a border leaves a piece in each window.  Nothing is shuffled.
 
@@ -19,19 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trawl.llm.bpe import loaded
 from trawl.session import materialize
 
 WINDOW = 2048
-_TOKENIZERS: dict = {}
-
-
-def tokenizer(path: str):
-    if path not in _TOKENIZERS:
-        from tokenizers import Tokenizer
-        _TOKENIZERS[path] = t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-    return _TOKENIZERS[path]
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = 1, rows: int = 64) -> DataFrame:
@@ -40,18 +32,19 @@ def tokenized(docs: DataFrame, path: str, end_id: int = 1, rows: int = 64) -> Da
                        ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        tok, part, at = tokenizer(path), TaskContext.get().partitionId(), 0
+        part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for k in range(0, batch.num_rows, rows):
-                b = batch.slice(k, rows).to_pydict()
-                ids = [np.array([*e.ids, end_id], "<u4") for e in
-                       tok.encode_batch_fast([t or "" for t in b["text"]], add_special_tokens=False)]
-                n = [len(i) for i in ids]
-                ats = (at + np.cumsum([0, *n])).tolist()
-                at = ats[-1]
-                yield pa.RecordBatch.from_pydict({
-                    "part": [part] * len(n), "at": ats[:-1], "doc_id": b["doc_id"], "n": n,
-                    "ids": [i.tobytes() for i in ids]}, schema=arrow)
+                b = batch.slice(k, rows)
+                ids, offsets = loaded(path).encode(b.column("text").to_pylist())
+                n = np.diff(offsets) + 1
+                ends = np.cumsum(n)
+                raw = pa.py_buffer(np.insert(ids, offsets[1:], end_id).astype("<u4").tobytes())
+                cells = pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(n), part), pa.int32()), pa.array(at + ends - n), b.column("doc_id"), pa.array(n),
+                     pa.Array.from_buffers(pa.binary(), len(n), [None, cells, raw])], schema=arrow)
+                at += int(ends[-1])
 
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "part int, at long, doc_id long, n long, ids binary")
