@@ -161,13 +161,7 @@ def test_base_counts(docs):
         assert not (r.base_failed and r.kept)
 
 
-def test_model_is_a_distribution_and_rejects_noise(spark):
-    g, _ = quality.trigrams(["the cat sat on the mat and the dog sat on the log"] * 3)
-    m = quality.KneserNey(*np.unique(g, return_counts=True))
-    for ctx in ("th", "at", "zz"):
-        a, b = map(ord, ctx)
-        p = np.exp(m.log_p((a << 16 | b << 8) + np.arange(256)))
-        assert math.isclose(p.sum(), 1, rel_tol=1e-6)
+def test_model_rejects_noise(spark):
     rng = np.random.default_rng(0)
     vocab = ["river", "stone", "walks", "under", "green", "light", "seven", "house", "along", "quiet", "paper", "window"]
     rows = [(i, " ".join(rng.choice(vocab, 200)), "en") for i in range(200)]
@@ -272,3 +266,30 @@ def test_pipeline_stages(spark, tmp_path):
         .write.parquet(str(tmp_path / "documents.parquet"))
     out = P.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} <= set(range(40)) and len({r.doc_id for r in out}) >= 38
+
+
+def test_repeated_ids_link_by_any_of_their_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    rows = [(1, a), (1, b), (5, a + " one"), (6, b + " one"), (9, "alone here"), (9, "alone here")]
+    got = {r.doc_id: r.component_id for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 5: 1, 6: 1, 9: 9}
+
+
+def test_buckets_emit_no_hopeless_pairs(spark):
+    # many texts with a common passage, none linked: they share buckets, and hardly a pair leaves them
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"c{i}" for i in range(40))
+    texts = [passage + " " + " ".join(f"z{rng.integers(10**6)}" for _ in range(40)) for _ in range(400)]
+    classes = neardup.sketched(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")) \
+        .withColumn("id", F.col("doc_id")).withColumn("comp", F.col("doc_id"))
+    at = neardup.banded(classes).join(classes.select("id", "comp"), "id")
+    mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    at = at.join(mixed, "bucket")
+    shared = at.groupBy("bucket").count().selectExpr("sum(count * (count - 1) / 2) AS n").first().n
+    for block in (1000, 5):
+        assert neardup.bucket_pairs(at, neardup.marks(classes), block).count() < 0.02 * shared
+
+
+def test_one_shingle_sets_share_no_band(spark):
+    regs = [neardup.registers(np.array([h], np.uint64)) for h in np.random.default_rng(1).integers(0, 2 ** 63, 500)]
+    assert min(r.min() for r in regs) > 0 and len({r.tobytes()[:8] for r in regs}) == 500

@@ -69,6 +69,51 @@ class WordHash:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+_PLACE = 1 << 16  # bytes of a text hashed at a time
+_LONG = 1 << 12   # bytes of a word from which it is hashed by itself
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
+_BASE = 0x9E3779B97F4A7C15
+with np.errstate(over="ignore"):
+    _POWER = np.cumprod(np.full(2 * _PLACE, _BASE, np.uint64))
+    _INVERSE = np.cumprod(np.full(2 * _PLACE, pow(_BASE, -1, 1 << 64), np.uint64))
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text, in order, and
+    where they start: a polynomial of the word's bytes (from running sums, so all
+    words at once), finalized; words of ``_LONG`` bytes or more by xxhash."""
+    hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(raw):
+        stop = _BLANK.search(raw, at + _PLACE)
+        end = stop.start() if stop else len(raw)
+        if end - at > 2 * _PLACE - 2:  # a very long word: what is before it, then the word
+            last = max(raw.rfind(c, at, at + _PLACE) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
+            if last >= at:
+                end = last + 1
+            else:
+                stop = _BLANK.search(raw, at)
+                end = stop.start() if stop else len(raw)
+                if end - at >= _LONG:
+                    hashes.append(np.array([xxhash.xxh3_64_intdigest(raw[at:end])], np.uint64))
+                    starts.append(np.array([at]))
+                    at = end
+                    continue
+        b = np.frombuffer(raw, np.uint8, end - at, at)
+        inside = np.concatenate([[False], ~_SPACE[b], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        first, past = edges[::2], edges[1::2]
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b + np.uint64(1)) * _POWER[:len(b)], out=sums[1:])
+        h = mix((sums[past] - sums[first]) * _INVERSE[first])
+        for i in np.flatnonzero(past - first >= _LONG):
+            h[i] = xxhash.xxh3_64_intdigest(b[first[i]:past[i]].tobytes())
+        hashes.append(h)
+        starts.append(first + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash (splitmix)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

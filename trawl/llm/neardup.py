@@ -1,16 +1,17 @@
 """Near-duplicate documents by SetSketch registers.
 
 A document's set is its distinct 5-word shingles.  Each of ``REGISTERS``
-registers is the exponentially spaced, truncated minimum of the set's hashes;
-registers of two sets merge by maximum.  Equal sets are one class.  Classes
-sharing a band of register values are candidates; the number of equal and
-ordered registers gives a joint likelihood estimate that drops hopeless pairs,
-and the rest are verified on the full sets.
-
-No bucket is expanded into all its pairs: in pivot rounds each class is
-compared with the smallest class of another component in its buckets, then
-components are merged.  Only classes whose buckets still hold several
-components are compared in pairs, across components.
+registers is the exponentially spaced minimum of the set's hashes, on a scale
+that no set leaves; registers of two sets merge by maximum.  Equal sets are one
+class.  Classes sharing a band of register values are candidates; the number of
+equal and ordered registers gives a joint likelihood estimate that drops
+hopeless pairs, and the rest are verified on the full sets.
+
+In pivot rounds each class is compared with the smallest class of another
+component in its buckets, then components are merged.  Where a bucket still
+holds several components, classes of different components are compared by a
+digest of two bits a register, inside the join: only pairs whose digests agree as
+much as linked sets do leave it.  Large buckets are dealt out by a salt.
 
 Null or empty text: empty set, linked with nothing.  Fewer words than a
 shingle: the whole sequence is the one shingle.  Rows with a null doc_id are
@@ -28,44 +29,77 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import WordHash, arrow_map, hot_join, mix, rolling, words_of
+from trawl.llm.common import arrow_map, hot_join, mix, rolling, word_hashes
 from trawl.session import materialize
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 BASE = 1.02
-LEVELS = 4094
+LOWEST = 160      # added to the levels: the largest minimum of one hash is at -158
 NEED = 75         # percent of the union
-FLOOR = 0.5       # estimated similarity under which a pair is not verified (0.75 is 6 sigma away)
+FLOOR = 0.55      # estimated similarity under which a pair is not verified (0.75 is 5 sigma away)
+APART = 48        # of the digests' registers; sets of similarity 0.75 differ in 24 on average, sigma 4.4
 PIVOT_ROUNDS = 3
-_MULT = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
-
-
-def shingles(text: str | None, hashes: WordHash) -> np.ndarray:
-    """Sorted distinct hashes of the shingles."""
-    words = words_of(text)
-    return np.unique(rolling(hashes(words), SHINGLE)) if words else np.zeros(0, np.uint64)
+BLOCK = 1000      # classes of a bucket that a task compares with others
+_WORK = np.empty((REGISTERS, 1024), np.uint32)
+_STEP = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)) | np.uint64(1)
+_MULT = (mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)).astype(np.uint32)
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles."""
+    raws = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    words, starts = word_hashes(b"\n".join(raws))
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    own = np.searchsorted(ends, starts, "right")
+    borders = np.searchsorted(own, np.arange(len(raws) + 1))
+
+    def windows(h: np.ndarray, k: int) -> np.ndarray:
+        n = len(h) - k + 1
+        out = h[:n] * _STEP[0]
+        for i in range(1, k):
+            out += h[i:n + i] * _STEP[i]
+        return mix(out + np.uint64(k))
+
+    every = windows(words, SHINGLE) if len(words) >= SHINGLE else words[:0]
+    out = []
+    for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
+        if b - a >= SHINGLE:
+            s = np.sort(every[a:b - SHINGLE + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        else:
+            out.append(windows(words[a:b], b - a) if b > a else words[:0])
+    return out
 
 
 def registers(h: np.ndarray) -> np.ndarray:
-    """Truncated exponentially spaced minima of a non-empty set of hashes."""
-    low = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), 1024):
-        x = h[at:at + 1024, None] * _MULT
-        low = np.minimum(low, (x ^ (x >> np.uint64(32))).min(axis=0))
-    x = -np.log1p(-(low.astype(np.float64) + 0.5) / 2.0 ** 64)
-    return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, LEVELS).astype(np.int16)
+    """Exponentially spaced minima of a non-empty set of hashes."""
+    h = mix(h)  # the set is sorted by hash, its halves must not be
+    lo, hi = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32)
+    low = np.full(REGISTERS, np.iinfo(np.uint32).max, np.uint32)
+    step = _WORK.shape[1]
+    for at in range(0, len(h), step):
+        work = _WORK[:, :len(h[at:at + step])]
+        np.multiply(lo[at:at + step], _MULT[:, None], out=work)
+        work += hi[at:at + step]
+        np.minimum(low, work.min(axis=1), out=low)
+    x = -np.log1p(-(low.astype(np.float64) + 0.5) / 2.0 ** 32)
+    return (np.floor(1 - np.log(x) / np.log(BASE)) + LOWEST).astype(np.int16)
+
+
+def digests(regs: np.ndarray) -> np.ndarray:
+    """Two bits of every register, as four longs a row of registers."""
+    two = (mix(regs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(3)).reshape(len(regs), 4, REGISTERS // 4)
+    shifts = 2 * np.arange(REGISTERS // 4, dtype=np.uint64)
+    return np.bitwise_or.reduce(two << shifts, axis=2).view(np.int64)
 
 
 def sketched(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, set_key, regs) of every document, written once."""
-    hashes = WordHash()
-
     def fn(b):
         out = {"doc_id": b["doc_id"], "n_shingles": [], "set_key": [], "regs": []}
-        for t in b["text"]:
-            s = shingles(t, hashes)
+        for s in shingle_sets(b["text"]):
             out["n_shingles"].append(len(s))
             out["set_key"].append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
             out["regs"].append(registers(s).tobytes() if len(s) else None)
@@ -96,11 +130,22 @@ def banded(classes: DataFrame) -> DataFrame:
     return classes.select("id", "regs").mapInArrow(run, "bucket long, id long")
 
 
-def similarity(a: np.ndarray, b: np.ndarray, na: float, nb: float) -> float:
-    """Joint likelihood estimate of the Jaccard similarity of two sets from
-    their registers, given their sizes (maximum over a grid)."""
-    u, v = na / (na + nb), nb / (na + nb)
-    grid = np.linspace(0, min(u / v, v / u), 41)[:, None]
+def marks(classes: DataFrame) -> DataFrame:
+    """(id, d0 ... d3): the classes' digests."""
+    def fn(b):
+        d = digests(np.frombuffer(b"".join(b["regs"]), np.int16).reshape(-1, REGISTERS))
+        return {"id": b["id"], **{f"d{i}": d[:, i] for i in range(4)}}
+
+    return arrow_map(classes.select("id", "regs"), fn, "id long, d0 long, d1 long, d2 long, d3 long",
+                     pa.schema([(c, pa.int64()) for c in ("id", "d0", "d1", "d2", "d3")]), 4096)
+
+
+def similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Joint likelihood estimate of the Jaccard similarity of sets from their
+    registers (a row each), given their sizes (maximum over a grid)."""
+    a, b, na, nb = np.atleast_2d(a), np.atleast_2d(b), np.atleast_1d(na), np.atleast_1d(nb)
+    u, v = (na / (na + nb))[:, None], (nb / (na + nb))[:, None]
+    grid = np.linspace(0, 1, 41) * np.minimum(u / v, v / u)
 
     def p(x):  # chance of a register being larger in one set, by its share
         return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
@@ -108,12 +153,28 @@ def similarity(a: np.ndarray, b: np.ndarray, na: float, nb: float) -> float:
     more = np.clip(p(u - v * grid), 1e-9, 1)
     less = np.clip(p(v - u * grid), 1e-9, 1)
     same = np.clip(1 - more - less, 1e-9, 1)
-    n1, n2 = (a > b).sum(), (a < b).sum()
-    score = n1 * np.log(more) + n2 * np.log(less) + (len(a) - n1 - n2) * np.log(same)
-    return float(grid[np.argmax(score), 0])
+    n1, n2 = (a > b).sum(axis=1)[:, None], (a < b).sum(axis=1)[:, None]
+    score = n1 * np.log(more) + n2 * np.log(less) + (a.shape[1] - n1 - n2) * np.log(same)
+    return grid[np.arange(len(grid)), np.argmax(score, axis=1)]
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, set) of the classes, from one text of each; written once."""
+    def fn(b):
+        sets = shingle_sets(b["text"])
+        return {"doc_id": b["doc_id"], "set_key": [hashlib.md5(x.tobytes()).digest() for x in sets],
+                "set": [x.tobytes() for x in sets]}
+
+    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").join(
+        classes.select("doc_id").distinct(), "doc_id", "left_semi")
+    made = arrow_map(rows, fn, "doc_id long, set_key binary, set binary",
+                     pa.schema([("doc_id", pa.int64()), ("set_key", pa.binary()), ("set", pa.binary())]), 64)
+    # a repeated id can bring the same set several times
+    return materialize(made.join(classes.select("id", "doc_id", "set_key"), ["doc_id", "set_key"])
+                       .select("id", "set").dropDuplicates(["id"]), "sets")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     info = classes.select("id", "regs", "n_shingles")
 
@@ -124,36 +185,33 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
         return hot_join(df, rows, side, "b" if side == "a" else "a")
 
     def guess(b):
-        ok = [similarity(np.frombuffer(x, np.int16), np.frombuffer(y, np.int16), m, n) >= FLOOR
-              for x, y, m, n in zip(b["regs_a"], b["regs_b"], b["n_shingles_a"], b["n_shingles_b"])]
-        return {k: [v for v, o in zip(b[k], ok) if o] for k in ("a", "b")}
+        x, y = (np.frombuffer(b"".join(b[c]), np.int16).reshape(-1, REGISTERS) for c in ("regs_a", "regs_b"))
+        ok = np.flatnonzero(similarity(x, y, np.array(b["n_shingles_a"]), np.array(b["n_shingles_b"])) >= FLOOR)
+        return {k: [b[k][i] for i in ok] for k in ("a", "b")}
 
     ab = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     sized = sided(sided(pairs, "b", info), "a", info).where(
         f"100 * least(n_shingles_a, n_shingles_b) >= {NEED} * greatest(n_shingles_a, n_shingles_b)")
     hopeful = materialize(arrow_map(sized.select("a", "b", "regs_a", "regs_b", "n_shingles_a", "n_shingles_b"),
                                     guess, "a long, b long", ab), "hopeful")
-    hashes = WordHash()
 
     def check(b):
-        memo, out = {}, {"a": [], "b": []}
-        for a, c, x, y in zip(b["a"], b["b"], b["text_a"], b["text_b"]):
-            if a not in memo:
-                memo[a] = shingles(x, hashes)
-            s, t = memo[a], shingles(y, hashes)
-            both = len(np.intersect1d(s, t, assume_unique=True))
+        out = {"a": [], "b": []}
+        for a, c, x, y in zip(b["a"], b["b"], b["set_a"], b["set_b"]):
+            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
             if 100 * both >= NEED * (len(s) + len(t) - both):
                 out["a"].append(a)
                 out["b"].append(c)
         return out
 
-    return arrow_map(sided(sided(hopeful, "b", texts), "a", texts).select("a", "b", "text_a", "text_b"),
+    return arrow_map(sided(sided(hopeful, "b", sets), "a", sets).select("a", "b", "set_a", "set_b"),
                      check, "a long, b long", ab, 64)
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, comp): smallest reachable id; minimum labels with pointer jumping,
-    each round written to the shared folder."""
+    """(id, comp): smallest reachable label of ``nodes`` (id, comp); minimum labels
+    with pointer jumping, each round written to the shared folder."""
     both = materialize(links.select("a", "b").union(links.select("b", "a")), "links")
     comp = materialize(nodes.select("id", F.col("comp")), "comp")
     while True:
@@ -170,34 +228,55 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         comp = new.select("id", "comp")
 
 
+def bucket_pairs(at: DataFrame, marks: DataFrame, block: int | None = None) -> DataFrame:
+    """(a, b): classes of different components in a bucket (bucket, id, comp, lo, n)
+    whose digests (id, d0 ... d3) agree as those of linked sets do.
+
+    A class stands in the block of its salt and is met by every class of a larger
+    component; those go to all blocks of the bucket."""
+    at = materialize(at.join(marks, "id").withColumn("blocks", F.ceil(F.col("n") / (block or BLOCK)).cast("int")), "mixed")
+    mine = [F.col(f"d{i}").alias(f"e{i}") for i in range(4)]
+    other = at.where("comp <> lo").select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"), *mine,
+                                          F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
+    first = at.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"), *[f"d{i}" for i in range(4)],
+                      F.pmod(F.hash("id"), F.col("blocks")).alias("salt"))
+    odd = 0x5555555555555555
+    apart = " + ".join(f"bit_count(((d{i} ^ e{i}) | shiftright(d{i} ^ e{i}, 1)) & {odd})" for i in range(4))
+    return other.join(first, ["bucket", "salt"]).where(f"ca < cb AND {apart} <= {APART}").select("a", "b").distinct()
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     sk = sketched(docs)
     known = sk.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialize(known.groupBy("set_key").agg(
-        F.min("doc_id").alias("id"), F.min("regs").alias("regs"), F.min("n_shingles").alias("n_shingles")), "classes")
+        F.min("doc_id").alias("doc_id"), F.first("regs").alias("regs"), F.first("n_shingles").alias("n_shingles"))
+        .withColumn("id", F.monotonically_increasing_id()), "classes")
+    # texts of one doc_id are one document
+    twice = known.groupBy("doc_id").agg(F.min("set_key").alias("k0"), F.max("set_key").alias("k1")).where("k0 <> k1")
+    named = known.join(twice, "doc_id").select("doc_id", "k0", "set_key").distinct()
+    ids = classes.select("set_key", "id")
+    same = hot_join(named, ids, "set_key", "doc_id").select("doc_id", "k0", F.col("id").alias("b")).join(
+        ids.select(F.col("set_key").alias("k0"), F.col("id").alias("a")), "k0").where("a <> b").select("a", "b")
     rows = banded(classes)
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     rows = materialize(rows.join(shared, "bucket", "left_semi"), "buckets")
-    texts = materialize(docs.selectExpr("CAST(doc_id AS BIGINT) AS id", "text").join(
-        rows.select("id").distinct(), "id", "left_semi"), "texts")
-    comp = materialize(classes.select("id", F.col("id").alias("comp")).distinct(), "comp")
+    asked = materialize(classes.join(rows.select("id").distinct(), "id", "left_semi"), "asked")
+    sets = full_sets(docs, asked)
+    comp = components(classes.select("id", F.col("doc_id").alias("comp")), same)
     for _ in range(PIVOT_ROUNDS):
         at = rows.join(comp, "id")
         low = at.groupBy("bucket").agg(F.min(F.struct("comp", "id")).alias("p"))
         cand = (at.join(low, "bucket").where("comp <> p.comp").groupBy(F.col("id").alias("b"))
                 .agg(F.min("p.id").alias("a")).select("a", "b"))
-        comp = components(comp, verified(materialize(cand, "pivots"), classes, texts))
-    # what is left: pairs of different components that share a bucket
+        comp = components(comp, verified(materialize(cand, "pivots"), asked, sets))
+    # what is left: classes of different components that share a bucket
     at = rows.join(comp, "id")
-    mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    at = materialize(at.join(mixed, "bucket"), "mixed")
-    other = at.where("comp <> lo").select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"))
-    pairs = (other.join(at.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca")), "bucket")
-             .where("ca < cb").select("a", "b").distinct())
-    comp = components(comp, verified(materialize(pairs, "pairs"), classes, texts))
-    final = comp.join(classes.select("id", "set_key"), "id").select("set_key", "comp")
+    mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    pairs = bucket_pairs(at.join(mixed, "bucket"), marks(asked))
+    comp = components(comp, verified(materialize(pairs, "pairs"), asked, sets))
+    final = comp.join(ids, "id").select("set_key", "comp")
     out = hot_join(sk, final, "set_key", "doc_id", "left")
-    cid = F.coalesce("comp", "doc_id")
+    cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", "n_shingles", cid.alias("component_id"),
                       F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
