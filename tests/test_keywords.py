@@ -4,6 +4,8 @@ import math
 
 from pyspark.sql import functions as F
 
+from conftest import rows
+
 from trawl.operators import keywords as K
 
 
@@ -68,3 +70,29 @@ def test_missing_idf_uses_average(spark):
     stop = spark.createDataFrame([("zz",)], "word string")
     out = K.extract_keywords(docs, idf, stop, 5).first()
     assert math.isclose(out["weight"], 1.5)
+
+
+def test_textrank_packs_tokens_not_graphs(spark):
+    """A document's row to the ranking step holds its tokens; a batch of long documents stays small."""
+    words = [f"w{i * i % 211}" for i in range(900)]
+    docs = spark.createDataFrame([(i, " ".join(words)) for i in range(40)] + [(None, "left right left")],
+                                 "doc_id long, text string")
+    stop = spark.createDataFrame([("the",)], "word string")
+    kept = K.keyword_tokens(docs, stop)
+    assert kept.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism  # one file's worth: a task a core
+    packed = K.packed_tokens(kept)
+    assert packed.columns == ["doc_id", "tokens"] and {len(r["tokens"]) for r in packed.collect()} == {900, 3}
+    out = K.textrank_keywords(docs, stop, 5).collect()
+    first = {r["word"]: r["weight"] for r in out if r["doc_id"] == 7}
+    want = ranks(spark, words)
+    assert first == {w: want[w] for w in sorted(want, key=lambda w: (-want[w], w))[:5]}
+    assert {r["word"] for r in out if r["doc_id"] is None} == {"left", "right"}
+
+
+def test_partitions_follow_the_text(spark, monkeypatch):
+    from trawl.operators import tokenize
+
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(100)], "doc_id long, text string")
+    monkeypatch.setattr(tokenize, "PARTITION_BYTES", 500)
+    spread = tokenize.by_document(docs)
+    assert spread.rdd.getNumPartitions() == 20 and rows(spread) == rows(docs)
