@@ -21,16 +21,19 @@ Repeated or null page_ids: each row by itself.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections import Counter
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm.common import arrow_map, hot_join
+from trawl.session import bounded_broadcast, materialize
 
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = set("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form "
@@ -43,7 +46,7 @@ ROLE = re.compile(rf"(?:^|[\s_-])(?:{_WORDS})(?:$|[\s_-])", re.I)
 OUTER = re.compile(r"(?:^|\s)(?:(?:site|page|main|top|global)[_-])?(?:header|footer)(?:$|\s)", re.I)
 SOCIAL = re.compile(r"^\s*social\s*$|(?:^|\s)social[_-](?:links|icons|media|bar|buttons|share)", re.I)
 REFERENCES = 5
-CELLS = 40_000  # of an alignment table; wider lists are aligned by their equal parts
+CELLS = 40_000  # of an alignment table kept whole
 WHOLE = {"article", "main"}
 HEADS = {"header", "footer"}  # inside an article they are part of it
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "form"}
@@ -208,52 +211,71 @@ def key_of(x) -> int:
 
 def aligned(a: list, b: list) -> list[tuple[int, int]]:
     """Pairs of places in two lists of children, in order: equal ones first, then nodes
-    of one tag."""
+    of one tag.  Lists of any length are aligned by the same table; of wide ones a
+    few rows are kept, and those between are made again on the way back."""
     lo, ha, hb = 0, len(a), len(b)
     while lo < min(ha, hb) and key_of(a[lo]) == key_of(b[lo]):
         lo += 1
     while ha > lo and hb > lo and key_of(a[ha - 1]) == key_of(b[hb - 1]):
         ha, hb = ha - 1, hb - 1
     out = [(i, i) for i in range(lo)] + [(ha + i, hb + i) for i in range(len(a) - ha)]
+    rows, cols = ha - lo, hb - lo
+    if not rows or not cols:
+        return out
 
     def weight(x, y):
         if key_of(x) == key_of(y):
             return 2
         return int(isinstance(x, Tree) and isinstance(y, Tree) and x.tag == y.tag)
 
-    if (ha - lo) * (hb - lo) <= CELLS:
-        table = [[0] * (hb - lo + 1)]
-        for i in range(lo, ha):
-            prev, row = table[-1], [0]
-            for j in range(lo, hb):
-                row.append(max(prev[j - lo + 1], row[-1], prev[j - lo] + weight(a[i], b[j])))
-            table.append(row)
-        i, j = ha - lo, hb - lo
-        while i and j:
+    def back(table, i, j, top):
+        """The path from row i, column j up to row ``top``, the first of ``table``."""
+        while i > top and j:
             w = weight(a[lo + i - 1], b[lo + j - 1])
-            if w and table[i][j] == table[i - 1][j - 1] + w:
+            if w and table[i - top][j] == table[i - top - 1][j - 1] + w:
                 i, j = i - 1, j - 1
                 out.append((lo + i, lo + j))
-            elif table[i][j] == table[i - 1][j]:
+            elif table[i - top][j] == table[i - top - 1][j]:
                 i -= 1
             else:
                 j -= 1
+        return j
+
+    if rows * cols <= CELLS:
+        table = [[0] * (cols + 1)]
+        for i in range(lo, ha):
+            prev, row = table[-1], [0]
+            for j in range(lo, hb):
+                row.append(max(prev[j - lo + 1], row[-1], prev[j - lo] + weight(a[i], b[j])))
+            table.append(row)
+        back(table, rows, cols, 0)
         return out
-    # long lists: children that are there once on either side, as far as they keep their order, then tags between them
-    ones = [{k: i for i, k in enumerate(map(key_of, x[lo:h]), lo)} for x, h in ((a, ha), (b, hb))]
-    counts = [Counter(map(key_of, x[lo:h])) for x, h in ((a, ha), (b, hb))]
-    i, j = lo, lo
-    for at in [*range(lo, ha), ha]:
-        k = key_of(a[at]) if at < ha else None
-        to = hb if at == ha else ones[1].get(k, -1) if counts[0][k] == counts[1][k] == 1 else -1
-        if to < j:
-            continue
-        for x, y in zip(range(i, at), range(j, to)):
-            if weight(a[x], b[y]):
-                out.append((x, y))
-        if at < ha:
-            out.append((at, to))
-        i, j = at + 1, to + 1
+    keys = np.array([key_of(y) for y in b[lo:hb]], np.uint64)
+    number = {t: n for n, t in enumerate({y.tag for y in b[lo:hb] if isinstance(y, Tree)})}
+    tags = np.array([number[y.tag] if isinstance(y, Tree) else -1 for y in b[lo:hb]])
+
+    def following(prev, i):
+        """Row i + 1 of the table."""
+        x = a[lo + i]
+        w = (tags == number.get(x.tag, -2)).astype(np.int32) if isinstance(x, Tree) else np.zeros(cols, np.int32)
+        w[keys == np.uint64(key_of(x))] = 2
+        row = np.zeros(cols + 1, np.int32)
+        np.maximum.accumulate(np.maximum(prev[1:], prev[:-1] + w), out=row[1:])
+        return row
+
+    step = math.isqrt(rows) + 1
+    kept = [row := np.zeros(cols + 1, np.int32)]
+    for i in range(rows):
+        row = following(row, i)
+        if (i + 1) % step == 0:
+            kept.append(row)
+    j, end = cols, rows
+    while end and j:
+        top = (end - 1) // step * step
+        table = [kept[top // step]]
+        for i in range(top, end):
+            table.append(following(table[-1], i))
+        j, end = back(table, end, j, top), top
     return out
 
 
@@ -313,7 +335,14 @@ def extract(pages: DataFrame) -> DataFrame:
         return {"host": b["host"], "page_id": b["page_id"],
                 "tree": [json.dumps(outline(tree(h)), separators=(",", ":")) for h in b["html"]]}
 
-    trees = arrow_map(rows.where("page_id IS NOT NULL").select("host", "page_id", "html"), outlines,
+    # the references are chosen by page_id alone; only they are parsed here
+    own = rows.where("page_id IS NOT NULL")
+    ids = own.groupBy("host").agg(*[F.min_by("page_id", F.xxhash64("page_id", F.lit(i))).alias(f"id{i}") for i in range(REFERENCES)])
+    ids = materialize(ids, "references")
+    chosen = ids.select("host", F.explode(F.array_distinct(F.array(*[f"id{i}" for i in range(REFERENCES)]))).alias("page_id"))
+    n_hosts, longest = ids.agg(F.count(F.lit(1)), F.max(F.octet_length("host"))).first()
+    chosen = bounded_broadcast(chosen, n_hosts * REFERENCES, 48 + (longest or 0))
+    trees = arrow_map(own.join(chosen, ["host", "page_id"], "left_semi").select("host", "page_id", "html"), outlines,
                       "host string, page_id long, tree string",
                       pa.schema([("host", pa.string()), ("page_id", pa.int64()), ("tree", pa.string())]))
     refs = trees.groupBy("host").agg(*[F.min_by("tree", F.xxhash64("page_id", F.lit(i))).alias(f"ref{i}") for i in range(REFERENCES)])
