@@ -60,8 +60,11 @@ def best_hits(qwords: DataFrame, postings: DataFrame, k: int = T.RESULT_LIMIT,
         n_query_words = qwords.count()
     ranked_words = qwords.withColumn(
         "wr", F.dense_rank().over(Window.partitionBy("query_id").orderBy("word")))
-    qw = bounded_broadcast(ranked_words, n_query_words, QUERY_WORD_ROW_BYTES)
-    hits = postings.select("word", "doc_id", "weight").join(qw, "word")
+    if "word_rank" in postings.columns:
+        hits = promising_hits(ranked_words, postings, k, n_query_words)
+    else:
+        qw = bounded_broadcast(ranked_words, n_query_words, QUERY_WORD_ROW_BYTES)
+        hits = postings.select("word", "doc_id", "weight").join(qw, "word")
     slots = F.lit(WORD_SLOTS).cast(_DEC)
     key = ((rank_key() * F.lit(1e12)).cast(_DEC) * slots
            + (F.lit(WORD_SLOTS - 1) - F.col("wr")).cast(_DEC)).cast(_DEC)
@@ -77,6 +80,25 @@ def best_hits(qwords: DataFrame, postings: DataFrame, k: int = T.RESULT_LIMIT,
     return top.join(words, ["query_id", "wr"]).select("query_id", "doc_id", "word", "weight", "rank")
 
 
+def promising_hits(qwords: DataFrame, champions: DataFrame, k: int, n_query_words: int) -> DataFrame:
+    """(query_id, word, wr, doc_id, weight): the hits of a query that can be among its first ``k``.
+
+    A word with ``k`` documents promises that the query's k-th best weighs no
+    less than the word's k-th.  What weighs less than the best such promise of a
+    query's words is left out, whole words before the join: frequent words are
+    in most queries and weigh least.
+    """
+    # one row a word, read twice
+    words = materialize(champions.groupBy("word").agg(
+        F.max(rank_key()).alias("most"), F.max(F.when(F.col("word_rank") == k, rank_key())).alias("kth")), "word_weights")
+    known = qwords.join(words, "word")
+    least = known.groupBy("query_id").agg(F.max("kth").alias("least"))
+    going = known.join(least, "query_id").where(F.col("least").isNull() | (F.col("most") >= F.col("least")))
+    qw = bounded_broadcast(going.select("query_id", "word", "wr", "least"), n_query_words, QUERY_WORD_ROW_BYTES)
+    hits = champions.select("word", "doc_id", "weight").join(qw, "word")
+    return hits.where(F.col("least").isNull() | (rank_key() >= F.col("least"))).drop("least")
+
+
 def attach_documents(top: DataFrame, docs: DataFrame, n_rows_bound: int) -> DataFrame:
     """Join ranked hits with their documents and cut the snippet.
 
