@@ -1,6 +1,7 @@
 """The n-gram model and the band of op6_quality."""
 
 import math
+import pickle
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -145,3 +146,18 @@ def test_base_failures_do_not_widen_the_band(spark):
     s = spark.createDataFrame(rows, "lang string, n_words long, n_repeat_words long, log_ppl double")
     band = quality.bands(s, 2.5, 3.0).first()
     assert 7 < band.least < 9 and 10 < band.most < 13
+
+
+def test_each_level_has_a_plan_of_its_own(spark):
+    docs = spark.createDataFrame([(i, f"the quick brown fox jumps {i} times over the lazy dog", "en") for i in range(40)], SCHEMA)
+    plan = quality.probabilities(quality.counted(quality.prepared(docs)))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("Join ") <= 4  # one of all levels took the driver hundreds of MB
+
+
+def test_the_model_travels_without_what_tasks_can_make(rng=np.random.default_rng(3)):
+    keys = rng.integers(0, 2 ** 63, 5000).astype(np.uint64)
+    m = quality.Model(keys, *rng.random((2, 5000), np.float32))
+    sent = pickle.dumps(m)
+    assert len(sent) < 5000 * 16 + 2000
+    again = pickle.loads(sent)
+    assert (again.starts == np.searchsorted(again.keys, np.arange(len(again.starts), dtype=np.uint64) << again.shift)).all()

@@ -30,6 +30,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -296,19 +297,25 @@ def probabilities(grams: DataFrame) -> DataFrame:
         lower = p.withColumnsRenamed({"a": "sa", "b": "sb", "p0": "low0", "p1": "low1"})
         p = rows.join(back, ["lang", "ca", "cb"]).join(lower, ["lang", "sa", "sb"]).selectExpr("lang", "a", "b", *[
             f"CASE WHEN t{h} > 0 THEN rest{h} / t{h} + back{h} * low{h} ELSE low{h} END AS p{h}" for h in (0, 1)])
+        if k < ORDER:  # one plan of all levels takes the driver hundreds of MB
+            p = materialize(p, f"probabilities_{k}")
     return p
 
 
 class Model:
     """Log-probabilities in arrays sorted by the n-gram's hash; ``starts`` has the first
-    place of every leading bit pattern."""
+    place of every leading bit pattern.  It is made where texts are scored: it is as
+    large as the hashes, and the driver needs none."""
 
     def __init__(self, keys: np.ndarray, log_p0: np.ndarray, log_p1: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.log_p = keys[order], (log_p0[order], log_p1[order])
         self.shift = np.uint64(64 - max(1, int(len(keys)).bit_length()))
+
+    @cached_property
+    def starts(self) -> np.ndarray:
         lead = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
-        self.starts = np.searchsorted(self.keys, lead).astype(np.int64)
+        return np.searchsorted(self.keys, lead).astype(np.int64)
 
     def __call__(self, lang_key: int, half: int, texts: list[str]) -> np.ndarray:
         """The sum of each text by the model of the other half."""
