@@ -15,14 +15,21 @@ JSON result files.
 
 from __future__ import annotations
 
+import contextlib
+import itertools
+import os
 import re
+import uuid
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawl.functions import text as TX
 from trawl.operators.parse import assign_doc_id
+from trawl.operators.tokenize import by_document
 
 DOC_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType(), False),
@@ -43,6 +50,61 @@ def scan_corpus(spark: SparkSession, root: str, glob: str = "*.html") -> DataFra
     return files.select("path", html.alias("html"))
 
 
+def write_pages(pages: DataFrame, root: str, id_col: str = "page_id", html_col: str = "html") -> None:
+    """One text file a page below ``root``, whose name has ``page_id=<id>``.  Rows of an id follow each
+    other in its file, each with a final newline, as Spark's text writer leaves them.
+
+    Rows are dealt by id, so that a file is written by one task.  Below a mounted folder (``file:``)
+    the task writes the files itself, all in one folder, to a hidden name that then becomes theirs: a
+    task that is run again leaves the same.  Elsewhere Spark writes a folder a page.
+    """
+    dealt = by_document(pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")), "page_id", text_col="html")
+    mounted = re.match(r"file:(?://)?(/.*)", root)
+    if not mounted:
+        # a page's file is moved to its place by its task
+        dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("page_id").text(root)
+        return
+    os.makedirs(mounted[1], exist_ok=True)
+    name = F.coalesce(F.col("page_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    rows = dealt.select(name.alias("name"), F.col("html").cast("binary").alias("html")).sortWithinPartitions("name")
+    rows.mapInArrow(_page_files(mounted[1]), "files long").agg(F.sum("files")).collect()
+
+
+def _page_files(folder: str):
+    def rows(batches):
+        for batch in batches:
+            yield from zip(batch.column("name").to_pylist(), batch.column("html"))
+
+    def fn(batches):
+        n = 0
+        for name, group in itertools.groupby(rows(batches), itemgetter(0)):
+            path = os.path.join(folder, f"page_id={name}.txt")
+            hidden = os.path.join(folder, f".{name}-{uuid.uuid4().hex}")
+            with open(hidden, "wb") as f:
+                for _, html in group:
+                    f.write((html.as_py() or b"") + b"\n")
+            os.replace(hidden, path)
+            n += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+    return fn
+
+
+OPEN_COST = 64 << 10  # bytes read in the time that opening a page's file takes
+
+
+@contextlib.contextmanager
+def small_files(spark: SparkSession):
+    """Files that are opened in here count ``OPEN_COST`` and their size: by Spark's default of 4 MB
+    a task has 32 pages, and a corpus of millions as many tasks as makes its driver fall behind."""
+    key = "spark.sql.files.openCostInBytes"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(OPEN_COST))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def corpus_documents(spark: SparkSession, root: str, url_head: str, glob: str = "*.html") -> DataFrame:
     """(doc_id, path, title, url, content) for the accepted pages of a corpus
     directory; ids are dense and 0-based in path order."""
@@ -55,7 +117,8 @@ def corpus_documents(spark: SparkSession, root: str, url_head: str, glob: str =
     docs = (files.select("path", title.alias("title"), F.concat(F.lit(url_head), rel).alias("url"),
                          TX.html_body("html").alias("content"))
             .where(F.col("title") != ""))
-    return assign_doc_id(docs, "path").select("doc_id", "path", "title", "url", "content")
+    with small_files(spark):  # the files are read in here
+        return assign_doc_id(docs, "path").select("doc_id", "path", "title", "url", "content")
 
 
 def write_docs(docs: DataFrame, path: str, mode: str = "append") -> None:
