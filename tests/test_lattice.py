@@ -44,7 +44,7 @@ def one_by_one(cutter, batch, mode):
 def test_together_as_one_by_one(monkeypatch):
     rng = random.Random(5)
     for rep in range(40):
-        for name, values in (("LONG", (3, 200)), ("BLOCK", (10, 1000)), ("CHUNK", (50, 100_000)), ("DENSE", (1, 20, 1 << 21)), ("RUNS", (2, 9))):
+        for name, values in (("LONG", (3, 200)), ("BLOCK", (10, 1000)), ("CHUNK", (50, 100_000)), ("DENSE", (1, 20, 1 << 21)), ("RUNS", (2, 9)), ("EXPAND", (1, 30, 1000))):
             monkeypatch.setattr(LT, name, rng.choice(values))
         letters = "abc中é😀1." if rep % 2 else "ab国"
         words = {"".join(rng.choices(letters, k=rng.randint(1, rng.choice((3, 7))))): rng.choice((-1.0, -2.0, -3.5, -1e-10, -3.2e100))

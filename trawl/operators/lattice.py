@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 
 LONG = 200          # characters of a piece from which the best path is found by itself
-BLOCK = 1 << 18     # characters of distinct pieces that are cut together
-CHUNK = 4 << 20     # bytes of text that are split together
+BLOCK = 1 << 17     # characters of distinct pieces that are cut together
+CHUNK = 2 << 20     # bytes of text that are split together
 ROWS = 100_000      # rows of a batch that leaves the task
+EXPAND = 250_000    # tokens of texts that are held at a time
 TIMES = 4           # a dictionary of a lexicon takes so many times the memory of its trie, or more
 GATHER = 200_000    # pieces that are looked up together
 DENSE = 1 << 21     # least keys of a trie that have a direct table
@@ -285,32 +286,36 @@ class Table:
         self.counts, self.texts, self.chars, self.places, self.sizes = counts, texts, chars, places, sizes
 
     @classmethod
-    def of(cls, parts: list) -> Table:
-        rows = []
-        for p, at, size in parts:
-            own = p.starts[p.piece[at]]
-            rows.append((np.bincount(p.piece[at], minlength=len(p.names)), p.texts(at, size), at - own, p.bytes[at] - p.bytes[own], size))
-        if not rows:
+    def one(cls, p: Pieces, at: np.ndarray, size: np.ndarray) -> Table:
+        own = p.starts[p.piece[at]]
+        return cls(np.bincount(p.piece[at], minlength=len(p.names)), p.texts(at, size), at - own, p.bytes[at] - p.bytes[own], size)
+
+    @classmethod
+    def of(cls, parts: list[Table]) -> Table:
+        if not parts:
             empty = np.zeros(0, np.int64)
             return cls(empty, pa.array([], pa.string()), empty, empty, empty)
-        counts, texts, *more = zip(*rows)
-        return cls(np.concatenate(counts), pa.concat_arrays(texts), *map(np.concatenate, more))
+        return cls(np.concatenate([t.counts for t in parts]), pa.concat_arrays([t.texts for t in parts]),
+                   *(np.concatenate([getattr(t, c) for t in parts]) for c in ("chars", "places", "sizes")))
 
 
 class Tokens:
-    """The tokens of a chunk's texts; those of text ``i`` lie between ``ends[i]`` and ``ends[i + 1]``."""
-
-    def __init__(self, split: Split, table: Table):
-        self.split, self.table = split, table
-        self.counts = table.counts[split.codes]
-        first = np.cumsum(table.counts) - table.counts
-        self.at = ragged(first[split.codes], self.counts)
-        self.ends = np.concatenate([[0], np.cumsum(self.counts)])[split.first]
+    """The tokens of texts ``first`` to ``last`` of a chunk, ``rows`` in number; those of row ``i`` lie
+    between ``ends[i]`` and ``ends[i + 1]``."""
+
+    def __init__(self, split: Split, table: Table, first: int, last: int, starts: tuple):
+        x, y = split.first[first], split.first[last]
+        codes = split.codes[x:y]
+        self.first, self.rows, self.table = first, last - first, table
+        self.starts = [s[x:y] for s in starts]
+        self.counts = table.counts[codes]
+        self.at = ragged((np.cumsum(table.counts) - table.counts)[codes], self.counts)
+        self.ends = np.concatenate([[0], np.cumsum(self.counts)])[split.first[first:last + 1] - x]
         self.words = table.texts.take(pa.array(self.at))
 
     def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where tokens begin in their text, in bytes and in characters, and their characters."""
-        byte, char = self.split.starts()
+        byte, char = self.starts
         return (np.repeat(byte, self.counts) + self.table.places[self.at],
                 np.repeat(char, self.counts) + self.table.chars[self.at], self.table.sizes[self.at])
 
@@ -343,8 +348,15 @@ class Split:
         self.codes, self.names = found.indices.to_numpy(), found.dictionary.to_pylist()
         self.pieces, self.offsets, self.data = np.diff(self.first), offsets, data
 
-    def tokens(self, table: Table) -> Tokens:
-        return Tokens(self, table)
+    def tokens(self, table: Table, places: bool):
+        """``Tokens`` of about ``EXPAND`` tokens, or of one text."""
+        starts = self.starts() if places else ()
+        ends = np.concatenate([[0], np.cumsum(table.counts[self.codes])])[self.first]
+        at = 0
+        while at < len(self.pieces):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + EXPAND, side="right")) - 1)
+            yield Tokens(self, table, at, to, starts)
+            at = to
 
     def starts(self) -> tuple[np.ndarray, np.ndarray]:
         """Where every piece begins in its text, in bytes and in characters."""
